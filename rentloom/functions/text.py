@@ -27,21 +27,29 @@ def _ascii_forms() -> tuple[dict[str, str], dict[str, str]]:
 
 
 _SINGLE, _SEVERAL = _ascii_forms()
+_SEVERAL_TEXT = "\u0001".join(f"{char}\u0002{form}" for char, form in _SEVERAL.items())
+
+
+def once(c: Column, build) -> Column:
+    """``build(c)`` with ``c`` computed once per row although ``build`` names it several times."""
+    return F.element_at(F.transform(F.array(c), build), 1)
 
 
 def strip_accents(c: str | Column) -> Column:
-    """Compatibility decomposition reduced to ASCII, as three built-in expressions.
+    """Compatibility decomposition reduced to ASCII, from built-in expressions only.
 
-    Only text that holds one of the rare characters with a longer form, such as
-    a ligature, takes the per-character branch.
+    ASCII text passes untouched. Only text that holds one of the rare characters
+    with a longer form, such as a ligature, takes the per-character branch.
     """
-    c = col(c)
-    letters = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
-    longer = F.array_join(F.transform(letters, lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    has_longer = c.rlike("[" + "".join(_SEVERAL) + "]")
-    plain = F.translate(F.when(has_longer, longer).otherwise(c), "".join(_SINGLE), "".join(_SINGLE.values()))
-    return F.when(c.rlike(NON_ASCII), F.regexp_replace(plain, NON_ASCII, "")).otherwise(c)
+    def reduce_text(text: Column) -> Column:
+        letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+        table = F.str_to_map(F.lit(_SEVERAL_TEXT), F.lit("\u0001"), F.lit("\u0002"))   # folded to a constant
+        longer = F.array_join(F.transform(letters, lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+        has_longer = F.translate(text, "".join(_SEVERAL), "") != text
+        plain = F.translate(F.when(has_longer, longer).otherwise(text), "".join(_SINGLE), "".join(_SINGLE.values()))
+        return F.when(text.rlike(NON_ASCII), F.regexp_replace(plain, NON_ASCII, "")).otherwise(text)
+
+    return once(col(c), reduce_text)
 
 
 def title_case(c: str | Column) -> Column:

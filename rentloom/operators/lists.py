@@ -45,10 +45,14 @@ def item_names(df: DataFrame, items: str) -> list[str]:
 def one_hot_list(df: DataFrame, items: str, prefix: str, names: Sequence[str] | None = None) -> DataFrame:
     """One count column per item, 0 where the row lacks it; give ``names`` for a stable schema."""
     names = item_names(df, items) if names is None else names
-    made = {f"{prefix}{n}": F.size(F.filter(F.col(items), lambda x, n=n: x == n)).cast("bigint") for n in names}
+    made = {f"{prefix}{n}": occurrences(items, n) for n in names}
     return df.withColumns(made) if made else df
 
 
+def occurrences(items: str | Column, name: str) -> Column:
+    return F.size(F.filter(col(items), lambda x: x == name)).cast("bigint")
+
+
 def rank_score(c: str | Column) -> Column:
     """Number of items in the row's list, which is the sum of its count columns."""
     return F.when(col(c).isNotNull(), F.size(col(c))).otherwise(0).cast("double")

@@ -57,14 +57,14 @@ def clean_listings(raw: DataFrame, rates: DataFrame, row_id: str = S.ROW_ID) ->
     the business columns); the verdict is joined back on the unique row id.
     """
     raw = rename_headers(raw)
-    typed = type_listings(raw, row_id)
     rules = key_field_rules()
     rules[S.R_DATE] = parse_date(F.col(S.DATE).cast("string")).isNull()
-    business = [c for c in typed.columns if c != row_id]
-    fingerprint = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in business])), 256)
     # The missing-field rules read the raw cells; they ride along the same scan as the typed ones.
     given = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(r)) for r, bad in rules.items()]))
     opened = type_listings(raw.withColumn(REASONS, given), row_id)
+    typed = opened.drop(REASONS)
+    business = [F.col(f"`{c}`") for c in typed.columns if c != row_id]
+    fingerprint = F.sha2(F.to_json(F.struct(*business)), 256)
     opened = ExclusionLedger.apply(opened, sanity_rules())
     narrow = checkpointed(opened.select(
         row_id, REASONS, S.DATE, S.PRICE, S.CURRENCY, S.DURATION, S.FLOOR_AREA, fingerprint.alias("_print")))

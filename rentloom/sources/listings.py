@@ -49,7 +49,8 @@ def stack(*frames: DataFrame) -> DataFrame:
 
 def numeric_shares(df: DataFrame, threshold: float = NUMERIC_SHARE, exempt: Sequence[str] = ()) -> DataFrame:
     """Share of rows that parse as a number, per column, from one aggregate pass."""
-    columns = [c for c, t in df.dtypes if c not in exempt and t != "boolean"]
+    scalar = ("string", "double", "float", "tinyint", "smallint", "int", "bigint")
+    columns = [c for c, t in df.dtypes if c not in exempt and (t in scalar or t.startswith("decimal"))]
     shares = df.agg(*[F.avg(to_number(c).isNotNull().cast("double")).alias(c) for c in columns])
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("share")) for c in columns])
     out = shares.select(F.explode(pairs).alias("p")).select("p.column", "p.share")
