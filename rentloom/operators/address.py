@@ -181,6 +181,7 @@ def resolve_region(df: DataFrame, row_id: str, text: str, provinces: DataFrame,
     unit from the town or village: within the row's province, or where the name
     occurs under one unit only.
     """
+    provinces, units, localities = checkpointed(provinces), checkpointed(units), checkpointed(localities)
     province = fuzzy_lookup(df, row_id, text, provinces, "province").withColumnRenamed("match", "_pg")
     unit = fuzzy_lookup(df, row_id, text, units, "unit").withColumnRenamed("match", "_ug")
     out = df.join(province, row_id).join(unit, row_id)

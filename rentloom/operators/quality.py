@@ -115,7 +115,8 @@ def trim_bounds(df: DataFrame, column: str, low: float, high: float, keys: Seque
 
 def _approximate_bounds(df: DataFrame, column: str, low: float, high: float, keys: Sequence[str]) -> DataFrame:
     both = F.percentile_approx(column, F.array(F.lit(low), F.lit(high)), F.lit(10_000))
-    return df.groupBy(*keys).agg(both.alias("_b")).select(*keys, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+    found = df.groupBy(*keys).agg(both.alias("_b")).select(*keys, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+    return broadcast_if_small(checkpointed(found)) if keys else found
 
 
 def outside_bounds(df: DataFrame, column: str, low: float, high: float, keys: Sequence[str] = (),
@@ -123,8 +124,8 @@ def outside_bounds(df: DataFrame, column: str, low: float, high: float, keys: Se
     """Add ``_out``: the cell is missing or outside the quantile range of its group.
 
     ``among`` gives the rows that define the range. Rows with a missing group
-    key count as outside. The bounds table has one row per group; its size is
-    counted before it is broadcast.
+    key count as outside. The bounds table has one row per group; it is
+    broadcast when the groups were counted to be few.
     """
     base = df if among is None else among
     make = _approximate_bounds if approx else trim_bounds
@@ -133,7 +134,7 @@ def outside_bounds(df: DataFrame, column: str, low: float, high: float, keys: Se
     if not keys:
         inside = value.between(bounds.select("_lo").scalar(), bounds.select("_hi").scalar())
         return df.withColumn("_out", ~F.coalesce(inside, F.lit(False)))
-    tagged = df.join(broadcast_if_small(checkpointed(bounds)), list(keys), "left")
+    tagged = df.join(bounds, list(keys), "left")
     return tagged.withColumn("_out", ~F.coalesce(value.between(F.col("_lo"), F.col("_hi")), F.lit(False))).drop("_lo", "_hi")
 
 

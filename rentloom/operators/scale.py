@@ -87,7 +87,8 @@ def exact_quantiles(
     order statistics. Pass 2 counts what lies below each bracket and keeps only
     value counts inside it, a few parts in ten thousand of the rows. Both passes
     combine on the map side, so a group holding a third of the rows costs no
-    more shuffle than any other. The answer is exact.
+    more shuffle than any other. The answer is exact. It carries a broadcast
+    hint when the groups were counted to be few.
     """
     keys = list(keys)
     vals = _usable(df, value, keys)
@@ -112,8 +113,9 @@ def exact_quantiles(
             F.floor(at).cast("bigint").alias("r"), (at - F.floor(at)).alias("frac"),
         ))
     sketch = checkpointed(sketch.select(*keys, "n", F.array(*probes).alias("_p")))
+    few = not keys or sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if keys:
-        joined = vals.join(broadcast_if_small(sketch), keys)
+        joined = vals.join(F.broadcast(sketch) if few else sketch, keys)
     else:
         joined = vals.withColumns({"n": sketch.select("n").scalar(), "_p": sketch.select("_p").scalar()})
     # One row per (value, probe) whose value is not above the bracket; values
@@ -133,8 +135,9 @@ def exact_quantiles(
     )
     point = F.when(F.col("_f") == 0, F.col("_a")).otherwise(
         F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-    return found.groupBy(*keys, "n").agg(
+    out = found.groupBy(*keys, "n").agg(
         *[F.max(F.when(F.col("_i") == i, point)).alias(f"q{i}") for i in range(len(probs))])
+    return F.broadcast(out) if few else out
 
 
 def _bucket_splits(distinct: DataFrame, column: str) -> list[float]:
