@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -79,15 +81,14 @@ def cluster(df: DataFrame, features: str = "components", k: int = 3, seed: int =
 
 def fit_per_cluster(train: DataFrame, label: str, group: str = "Cluster", features: str = "features",
                     rounds: int = 200, rate: float = 0.1, seed: int = 42) -> dict:
-    """One boosted model per cluster label; the loop is over the few labels, each fit is distributed.
-
-    A cluster where the target does not vary still gets its model.
-    """
+    """One boosted model per cluster label. Each fit is distributed; the few labels are fitted side by side."""
     labels = [r[0] for r in train.select(group).where(F.col(group).isNotNull()).distinct().collect()]
     booster = GBTRegressor(
         featuresCol=features, labelCol=label, predictionCol="_pred", maxIter=rounds, stepSize=rate, maxBins=255,
-        minInstancesPerNode=20, seed=seed, cacheNodeIds=True, checkpointInterval=10)
-    return {g: booster.fit(train.where(F.col(group) == g)) for g in sorted(labels)}
+        minInstancesPerNode=20, seed=seed, checkpointInterval=10)
+    fit = inheritable_thread_target(train.sparkSession)(lambda g: booster.fit(train.where(F.col(group) == g)))
+    with ThreadPoolExecutor(max_workers=min(8, max(1, len(labels)))) as pool:
+        return dict(zip(sorted(labels), pool.map(fit, sorted(labels))))
 
 
 def predict_per_cluster(df: DataFrame, models: Mapping, group: str = "Cluster", output: str = "Predicted") -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
-
 from rentloom import schema as S
 from rentloom.functions.casts import flag_equals
 from rentloom.operators.profile import price_profile
@@ -21,28 +20,48 @@ def with_monthly_flag(df: DataFrame) -> DataFrame:
     return df.withColumn(MONTHLY, flag_equals(S.DURATION, "Monthly"))
 
 
+def duration_tests(df: DataFrame) -> dict[str, DataFrame]:
+    flagged = with_monthly_flag(df)
+    return {
+        "price_test": point_biserial(flagged, MONTHLY, S.MONTHLY_USD_PRICE),
+        "rooms_test": point_biserial(flagged, MONTHLY, S.ROOMS),
+    }
+
+
 def duration_boxes(df: DataFrame) -> dict[str, DataFrame]:
     flagged = with_monthly_flag(df)
     return {
         "price": box_summary(flagged, [MONTHLY], S.MONTHLY_USD_PRICE),
         "rooms": box_summary(flagged, [MONTHLY], S.ROOMS),
-        "price_test": point_biserial(flagged, MONTHLY, S.MONTHLY_USD_PRICE),
-        "rooms_test": point_biserial(flagged, MONTHLY, S.ROOMS),
+        **duration_tests(df),
         "matrix": correlation_matrix(flagged, [MONTHLY, S.ROOMS, S.MONTHLY_USD_PRICE], [MONTHLY]),
     }
 
 
-def rank_correlations(df: DataFrame, row_id: str, minimum: int = 50) -> dict[str, DataFrame]:
-    """Profiles by item rank without zero ranks, each on the rows the one before kept, then the matrix."""
+RANKS = [S.FAMILY_RANK[f] for f in (S.AMENITIES, S.PARKING, S.APPLIANCES)]
+
+
+def rank_profiles(df: DataFrame, row_id: str, wanted: Sequence[str] = RANKS, minimum: int = 50) -> dict[str, DataFrame]:
+    """Profiles by item rank without zero ranks, each on the rows the one before kept."""
     out = {}
-    ranks = [S.FAMILY_RANK[f] for f in (S.AMENITIES, S.PARKING, S.APPLIANCES)]
-    for column in ranks:
+    for column in RANKS:
         df = exclude_zero_rank(df, column)
-        out[column] = price_profile(df, [column], row_id, minimum=minimum)[0]
-    out["matrix"] = correlation_matrix(df, [S.MONTHLY_USD_PRICE, *S.FAMILY_RANK.values()])
+        if column in wanted:
+            out[column] = price_profile(df, [column], row_id, minimum=minimum)[0]
     return out
 
 
+def rank_matrix(df: DataFrame) -> DataFrame:
+    """Rank correlations of the price and the item ranks over rows without a zero rank."""
+    for column in RANKS:
+        df = exclude_zero_rank(df, column)
+    return correlation_matrix(df, [S.MONTHLY_USD_PRICE, *S.FAMILY_RANK.values()])
+
+
+def rank_correlations(df: DataFrame, row_id: str) -> dict[str, DataFrame]:
+    return {**rank_profiles(df, row_id), "matrix": rank_matrix(df)}
+
+
 def named_reports(row_id: str = S.ROW_ID) -> dict[str, Callable[[DataFrame], DataFrame | dict[str, DataFrame]]]:
     """Report name to a function of the cleaned listings."""
     return {
