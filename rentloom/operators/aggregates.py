@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentloom.functions.casts import blank
-from rentloom.operators.scale import broadcast_if_small, dense_positions, exact_quantiles
+from rentloom.operators.scale import dense_positions, exact_quantiles, skew_join
 from rentloom.session import checkpointed
 
 
@@ -67,13 +67,13 @@ def group_count_column(df: DataFrame, keys: Sequence[str], name: str = "Count",
     """The group's count on every row: a small aggregate joined back, not a window over the group."""
     count = F.count(counted) if counted else F.count(F.lit(1))
     sizes = checkpointed(df.groupBy(*keys).agg(count.alias(name)))
-    return df.join(broadcast_if_small(sizes), list(keys))
+    return skew_join(df, sizes, keys, "inner")
 
 
 def min_group_size(df: DataFrame, keys: Sequence[str], minimum: int) -> DataFrame:
     """Only the rows of groups with at least ``minimum`` rows."""
     large = checkpointed(group_sizes(df, keys).where(F.col("n") >= minimum).select(*keys))
-    return df.join(broadcast_if_small(large), list(keys), "left_semi")
+    return skew_join(df, large, keys, "inner")
 
 
 def order_categories(df: DataFrame, column: str, value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from rentloom import schema as S
 from rentloom.functions.casts import blank
 from rentloom.functions.geo import monthly_amount, usd_amount
 from rentloom.functions.text import address_key
-from rentloom.operators.scale import broadcast_if_small, skew_join
+from rentloom.operators.scale import skew_join
 from rentloom.session import checkpointed
 
 
@@ -72,7 +72,7 @@ def unmatched_report(addresses: DataFrame, listings: DataFrame, key: str = S.IND
 def attach_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], required: Sequence[str]) -> DataFrame:
     """Rows with the figures of their group; rows without a complete set fall out."""
     complete = checkpointed(stats.dropna(subset=list(required)))
-    return df.join(broadcast_if_small(complete), list(keys))
+    return skew_join(df, complete, keys, "inner")
 
 
 def lookup_parent(df: DataFrame, child: str, mapping: DataFrame, mapping_key: str, parent: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rentloom import schema as S
 from rentloom.functions.casts import blank, to_number
 from rentloom.functions.text import normalize_text
-from rentloom.operators.scale import broadcast_if_small, exact_quantiles
+from rentloom.operators.scale import exact_quantiles, skew_join
 from rentloom.session import checkpointed
 
 
@@ -116,7 +116,7 @@ def trim_bounds(df: DataFrame, column: str, low: float, high: float, keys: Seque
 def _approximate_bounds(df: DataFrame, column: str, low: float, high: float, keys: Sequence[str]) -> DataFrame:
     both = F.percentile_approx(column, F.array(F.lit(low), F.lit(high)), F.lit(10_000))
     found = df.groupBy(*keys).agg(both.alias("_b")).select(*keys, F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    return broadcast_if_small(checkpointed(found)) if keys else found
+    return found
 
 
 def outside_bounds(df: DataFrame, column: str, low: float, high: float, keys: Sequence[str] = (),
@@ -125,7 +125,7 @@ def outside_bounds(df: DataFrame, column: str, low: float, high: float, keys: Se
 
     ``among`` gives the rows that define the range. Rows with a missing group
     key count as outside. The bounds table has one row per group; it is
-    broadcast when the groups were counted to be few.
+    joined back by ``skew_join``.
     """
     base = df if among is None else among
     make = _approximate_bounds if approx else trim_bounds
@@ -134,7 +134,7 @@ def outside_bounds(df: DataFrame, column: str, low: float, high: float, keys: Se
     if not keys:
         inside = value.between(bounds.select("_lo").scalar(), bounds.select("_hi").scalar())
         return df.withColumn("_out", ~F.coalesce(inside, F.lit(False)))
-    tagged = df.join(bounds, list(keys), "left")
+    tagged = skew_join(df, checkpointed(bounds), keys)
     return tagged.withColumn("_out", ~F.coalesce(value.between(F.col("_lo"), F.col("_hi")), F.lit(False))).drop("_lo", "_hi")
 
 

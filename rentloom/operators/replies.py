@@ -37,7 +37,9 @@ def _with_fields(df: DataFrame, values: Mapping[str, Column], drop: list[str], f
 def flatten_nominatim(df: DataFrame, body: str = "body") -> DataFrame:
     """First result. A suburb that is a known district is the unit; of labels for one column the later counts."""
     shape = "array<struct<lat:string,lon:string,address:map<string,string>>>"
-    out = df.withColumn("_r", F.try_element_at(F.from_json(body, shape), F.lit(1)))
+    # An object where the list should be would read as a list of one empty result.
+    listed = F.when(F.ltrim(F.col(body)).startswith("["), F.col(body))
+    out = df.withColumn("_r", F.try_element_at(F.from_json(listed, shape), F.lit(1)))
     known = F.col("_r.address")["suburb"].isin(S.DISTRICTS)
 
     def get(label: str) -> Column:

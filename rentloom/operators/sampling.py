@@ -6,12 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rentloom.operators.aggregates import min_group_size
-from rentloom.operators.scale import exact_quantiles
-
-SALTS = 64
+from rentloom.operators.scale import exact_quantiles, skew_join
+from rentloom.session import checkpointed
 
 
 def chronological_sort(df: DataFrame, keys: Sequence[str], date: str, row_id: str | None = None) -> DataFrame:
@@ -27,20 +25,16 @@ def sample_per_group(df: DataFrame, keys: Sequence[str], row_id: str, minimum: i
                      maximum: int | None = None, seed: int = 42) -> DataFrame:
     """Leave out groups under ``minimum`` rows and take at most ``maximum`` rows of the others.
 
-    The rows with the lowest hash are taken. Every group is cut in salts first,
-    so a hot group is ranked in pieces; the second ranking sees at most
-    ``maximum`` rows per salt.
+    The rows with the lowest hash of the unique row id are taken, so the sample
+    does not depend on the partitioning. The hash that ends a group's sample is
+    an exact order statistic; no task ever sorts a group.
     """
-    if minimum > 1:
-        df = min_group_size(df, keys, minimum)
     if maximum is None:
-        return df
-    tagged = df.withColumn("_h", seeded_hash(row_id, seed)).withColumn("_s", F.pmod(F.xxhash64(row_id), F.lit(SALTS)))
-    order = [F.col("_h"), F.col(row_id)]
-    piece = Window.partitionBy(*keys, "_s").orderBy(*order)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    first = tagged.withColumn("_r", F.row_number().over(piece)).where(F.col("_r") <= maximum)
-    return first.withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= maximum).drop("_r", "_s", "_h")
+        return min_group_size(df, keys, minimum) if minimum > 1 else df
+    tagged = df.withColumn("_h", seeded_hash(row_id, seed))
+    last = exact_quantiles(tagged, "_h", [0.0], keys, rank=lambda n, p: F.least(n, F.lit(maximum)) - 1)
+    cuts = checkpointed(last.where(F.col("n") >= minimum).select(*keys, F.col("q0").alias("_cut")))
+    return skew_join(tagged, cuts, keys, "inner").where(F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
 
 
 def train_test_split(df: DataFrame, row_id: str, fraction: float = 0.8, seed: int = 42, exact: bool = True) -> DataFrame:

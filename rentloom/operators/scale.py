@@ -19,39 +19,30 @@ from rentloom.session import checkpointed
 
 BROADCAST_ROWS = 100_000
 HOT_SHARE = 1_000          # a key is hot when it holds over 1/1000 of the rows
-SKETCH_ACCURACY = 10_000   # rank error of percentile_approx is at most n / accuracy
-RANK_MARGIN = 4            # bracket half-width, in units of that error
+SKETCH_ACCURACY = 10_000    # rank error of percentile_approx is at most n / accuracy
+GRID = 500                  # sketched quantiles per group
+GRID_STEPS = 5              # a bracket spans at most this many grid steps
 WHOLE_GROUP_ROWS = 20_000   # groups up to this size need no bracket
+BRACKET_ROWS = 5_000_000    # rows a bracket may hold before the exact count
 ROWS_PER_BUCKET = 1_000_000
+_GRID_POINTS = "array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")"
 
 
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side fits.
-
-    ``df`` should be cheap to recompute or already checkpointed. When it is too
-    large no hint is given, and Spark shuffles both sides and splits skewed
-    partitions itself.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
-def skew_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def skew_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", small: bool | None = None) -> DataFrame:
     """Join ``big`` to a ``lookup`` that is unique on ``on``, whatever the key skew.
 
-    A small lookup is broadcast after its rows were counted. Otherwise keys that
-    hold over 1/1000 of the rows are split off: there are under 1000 of them, so
-    their lookup rows are always few enough to broadcast. All other keys are
-    small and go through a plain shuffle join.
+    A small lookup is broadcast after its rows were counted (``small`` tells the
+    outcome when the caller has counted). Otherwise keys that hold over 1/1000
+    of the rows are split off: there are under 1000 of them, so their lookup
+    rows are always few enough to broadcast. All other keys are small and go
+    through a plain shuffle join.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     on = list(on)
-    if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if small is None:
+        small = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if small:
         return big.join(F.broadcast(lookup), on, how)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = big.agg(F.count(F.lit(1)).alias("_t")).scalar()
@@ -69,12 +60,29 @@ def _usable(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     return reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, kept)
 
 
+def _grid(value: Column) -> Column:
+    """Sketched quantiles of ``value`` at GRID even steps."""
+    return F.percentile_approx(value, F.expr(_GRID_POINTS), F.lit(SKETCH_ACCURACY))
+
+
+def _tighten(low: Column, high: Column, below: Column, inside: Column, grid: Column, at: Column) -> list[Column]:
+    """The grid values around rank ``at``, given ``below`` rows under the bracket and ``inside`` rows in it.
+
+    One grid step of slack on either side is far over the sketch's rank error.
+    Few rows need no tighter bracket.
+    """
+    first = F.floor((at - below) / inside * GRID).cast("int") - 1
+    last = F.ceil((at + 2 - below) / inside * GRID).cast("int") + 1
+    few = inside <= WHOLE_GROUP_ROWS
+    return [F.when(few | (first <= 0), low).otherwise(F.get(grid, first)).alias("lo"),
+            F.when(few | (last >= GRID), high).otherwise(F.get(grid, last)).alias("hi")]
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
     probs: Sequence[float],
     keys: Sequence[str] = (),
-    accuracy: int = SKETCH_ACCURACY,
     rank: Callable[[Column, Column], Column] = lambda n, p: (n - 1) * p,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: columns ``keys``, ``n``, ``q0..``.
@@ -84,47 +92,45 @@ def exact_quantiles(
 
     Pass 1 sketches every group with ``percentile_approx``; its rank error has a
     proven bound, so two sketch values around a wanted rank bracket the exact
-    order statistics. Pass 2 counts what lies below each bracket and keeps only
-    value counts inside it, a few parts in ten thousand of the rows. Both passes
-    combine on the map side, so a group holding a third of the rows costs no
-    more shuffle than any other. The answer is exact. It carries a broadcast
-    hint when the groups were counted to be few.
+    order statistics. The last pass counts what lies below each bracket and
+    keeps only value counts inside it. While a bracket could still hold many
+    rows, passes in between narrow it the same way. All passes combine on the
+    map side, so a group holding a third of the rows costs no more shuffle than
+    any other. The answer is exact.
     """
     keys = list(keys)
     vals = _usable(df, value, keys)
-    step = RANK_MARGIN / accuracy
-    cuts = []
-    for p in probs:
-        cuts += [max(0.0, p - step), min(1.0, p + step)]
     sketch = vals.groupBy(*keys).agg(
-        F.percentile_approx("_v", F.array(*[F.lit(float(c)) for c in cuts]), F.lit(accuracy)).alias("_c"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.count(F.lit(1)).alias("n"),
-    ).where("n > 0")
+        _grid(F.col("_v")).alias("_g"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count(F.lit(1)).alias("n")).where("n > 0")
     probes = []
     for i, p in enumerate(probs):
-        whole = F.col("n") <= WHOLE_GROUP_ROWS
-        low = F.when(whole | F.lit(p - step <= 0), F.col("_min")).otherwise(F.col("_c")[2 * i])
-        high = F.when(whole | F.lit(p + step >= 1), F.col("_max")).otherwise(F.col("_c")[2 * i + 1])
         at = rank(F.col("n"), F.lit(float(p)))
-        probes.append(F.struct(
-            F.lit(i).alias("i"), low.alias("lo"), high.alias("hi"),
-            F.floor(at).cast("bigint").alias("r"), (at - F.floor(at)).alias("frac"),
-        ))
-    sketch = checkpointed(sketch.select(*keys, "n", F.array(*probes).alias("_p")))
-    few = not keys or sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if keys:
-        joined = vals.join(F.broadcast(sketch) if few else sketch, keys)
-    else:
-        joined = vals.withColumns({"n": sketch.select("n").scalar(), "_p": sketch.select("_p").scalar()})
-    # One row per (value, probe) whose value is not above the bracket; values
-    # below it lose their identity and collapse into one count.
-    hits = joined.select(*keys, "n", "_v", F.explode("_p").alias("_p")).where(F.col("_v") <= F.col("_p.hi"))
-    counted = hits.select(
-        *keys, "n", "_p",
-        F.when(F.col("_v") >= F.col("_p.lo"), F.col("_v")).alias("_v"),
-    ).groupBy(*keys, "n", "_p", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+        whole = F.floor(at).cast("bigint")
+        bracket = _tighten(F.col("_min"), F.col("_max"), F.lit(0), F.col("n"), F.col("_g"), whole)
+        probes.append(F.struct(F.lit(i).alias("i"), whole.alias("r"), (at - F.floor(at)).alias("frac"), *bracket))
+    brackets = checkpointed(sketch.select(*keys, "n", F.array(*probes).alias("_p")))
+    groups, largest = brackets.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    few = groups <= BROADCAST_ROWS
+
+    def hits() -> DataFrame:
+        """Rows not above a bracket, once per probe."""
+        if keys:
+            joined = skew_join(vals, brackets, keys, "inner", small=few)
+        else:
+            joined = vals.withColumns({c: brackets.select(c).scalar() for c in ("n", "_p")})
+        return joined.select(*keys, "n", "_v", F.explode("_p").alias("_p")).where(F.col("_v") <= F.col("_p.hi"))
+
+    width = largest
+    while (width := width * GRID_STEPS // GRID) > BRACKET_ROWS:
+        inside = F.col("_v") >= F.col("_p.lo")
+        inner = hits().groupBy(*keys, "n", "_p").agg(
+            F.count_if(~inside).alias("_b"), F.count_if(inside).alias("_m"), _grid(F.when(inside, F.col("_v"))).alias("_g"))
+        tighter = _tighten(F.col("_p.lo"), F.col("_p.hi"), F.col("_b"), F.col("_m"), F.col("_g"), F.col("_p.r"))
+        probe = F.struct("_p.i", "_p.r", "_p.frac", *tighter)
+        brackets = checkpointed(inner.select(*keys, "n", probe.alias("_p")).groupBy(*keys, "n").agg(F.collect_list("_p").alias("_p")))
+    # Values below the bracket lose their identity and collapse into one count.
+    counted = hits().select(*keys, "n", "_p", F.when(F.col("_v") >= F.col("_p.lo"), F.col("_v")).alias("_v")).groupBy(
+        *keys, "n", "_p", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
     upto = Window.partitionBy(*keys, "_p.i").orderBy(F.col("_v").asc_nulls_first())
     run = counted.withColumn("_end", F.sum("_cnt").over(upto))
     at, end, start = F.col("_p.r"), F.col("_end"), F.col("_end") - F.col("_cnt")
@@ -135,9 +141,8 @@ def exact_quantiles(
     )
     point = F.when(F.col("_f") == 0, F.col("_a")).otherwise(
         F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-    out = found.groupBy(*keys, "n").agg(
+    return found.groupBy(*keys, "n").agg(
         *[F.max(F.when(F.col("_i") == i, point)).alias(f"q{i}") for i in range(len(probs))])
-    return F.broadcast(out) if few else out
 
 
 def _bucket_splits(distinct: DataFrame, column: str) -> list[float]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rentloom.functions.casts import col
 from rentloom.functions.probability import correlation_p, normal_two_sided_p
-from rentloom.operators.scale import broadcast_if_small, exact_quantiles, skew_join, value_ranks
+from rentloom.operators.scale import exact_quantiles, skew_join, value_ranks
 from rentloom.session import checkpointed
 
 Z_95 = 1.959964
@@ -187,7 +187,7 @@ def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     complete = df.where(F.col(value).isNotNull())
     v = F.col(value)
     if keys:
-        marked = complete.join(broadcast_if_small(quartiles.select(*keys, "_lo", "_hi")), keys)
+        marked = skew_join(complete, quartiles.select(*keys, "_lo", "_hi"), keys, "inner")
     else:
         marked = complete.withColumns({c: quartiles.select(c).scalar() for c in ("_lo", "_hi")})
     inside = v.between(F.col("_lo"), F.col("_hi"))
