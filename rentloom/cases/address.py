@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rentloom import schema as S
 from rentloom.cases.ingest import hierarchy
 from rentloom.cases.registry import case
-from rentloom.cases.tables import table
+from rentloom.cases.tables import table, wide_table
 from rentloom.functions import text as T
 from rentloom.operators import address as A
 from rentloom.operators import replies as R
@@ -19,7 +19,7 @@ ID = "c_custkey"
 
 def raw_addresses(spark, sf) -> DataFrame:
     """(id, Address): six spellings made from the customers and their nations."""
-    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    c, n = wide_table(spark, sf, "customer"), table(spark, sf, "nation")
     j = c.join(n, c.c_nationkey == n.n_nationkey)
     k, i, seg = F.col(ID) % 6, F.col(ID).cast("string"), F.col("c_mktsegment")
     area, code = (F.col(ID) % 130).cast("string"), (F.col(ID) % 999 + 1).cast("string")
@@ -377,7 +377,7 @@ def select_untranslated(spark, sf):
 # --- stored replies ------------------------------------------------------------------------------------
 
 def _customers(spark, sf) -> DataFrame:
-    c, n, r = table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region")
+    c, n, r = wide_table(spark, sf, "customer"), table(spark, sf, "nation"), table(spark, sf, "region")
     return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rentloom import schema as S
 from rentloom.cases.registry import case
-from rentloom.cases.tables import ITEMS, LISTING, RATES, item_cells, listings, rates, table
+from rentloom.cases.tables import ITEMS, LISTING, RATES, item_cells, listings, rates, table, wide_table
 from rentloom.functions.casts import band, flag_equals, parse_date
 from rentloom.operators.lists import split_clean_list
 from rentloom.operators.quality import (
@@ -201,7 +201,7 @@ array_to_string(list_transform(regexp_extract_all(lower(trim(regexp_replace(rege
 
 @case("normalize_text_columns", f"SELECT doc_id AS id, lang, md5({NORMALIZED.format(c='text')}) AS text, md5({NORMALIZED.format(c='source')}) AS source FROM documents")
 def normalize_text_columns_query(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text", "source")
+    docs = wide_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang", "text", "source")
     return normalize_text_columns(docs, exclude=["lang"]).withColumns({"text": F.md5("text"), "source": F.md5("source")})
 
 

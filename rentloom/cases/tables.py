@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentloom import schema as S
+from rentloom.sources.stages import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
-def listings(spark: SparkSession, sf: str) -> DataFrame:
+def wide_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows cost much work each, spread over all cores."""
+    return spread(table(spark, sf, name))
+
+
+def listings(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
     """Orders as listings: the nation is the district, the market segment the street."""
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    o, c = table(spark, sf, "orders") if orders is None else orders, table(spark, sf, "customer")
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     joined = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
               .join(r, n.n_regionkey == r.r_regionkey))
@@ -88,7 +94,7 @@ items AS (
 
 def messy_listings(spark: SparkSession, sf: str) -> DataFrame:
     """Raw text listings with gaps, odd values and copies, made from the listing view by its row id."""
-    v, i = listings(spark, sf), F.col(S.ROW_ID)
+    v, i = listings(spark, sf, wide_table(spark, sf, "orders")), F.col(S.ROW_ID)
     day = F.when(i % 3 == 0, F.date_format(S.DATE, "yyyy-MM-dd")).when(i % 3 == 1, F.date_format(S.DATE, "dd/MM/yyyy")).otherwise(
         F.date_format(S.DATE, "d.M.yyyy"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,10 +41,24 @@ def text_or_blank(c: str | Column) -> Column:
     return F.coalesce(F.trim(col(c).cast("string")), F.lit(""))
 
 
+_SHAPES = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "d": r"\d{1,2}", "M": r"\d{1,2}"}
+
+
+def _shape(fmt: str) -> str:
+    """A pattern of the texts a date format can read."""
+    parts = re.findall(r"'[^']*'|([A-Za-z])(\1*)|(.)", fmt.replace("'T'", "\u0001"))
+    return "^" + "".join(
+        _SHAPES.get(a + b, r"\d{2}") if a else re.escape(other).replace("\u0001", "T") for a, b, other in parts) + "$"
+
+
 def parse_date(c: str | Column, formats: list[str] = DATE_FORMATS) -> Column:
-    """Mixed-format, day-first date; the first format that reads the whole text wins."""
+    """Mixed-format, day-first date; the first format that reads the whole text wins.
+
+    A format is only tried on text of its shape: a failed attempt costs far more
+    than a pattern test.
+    """
     text = F.trim(col(c))
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats])
+    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.to_date(F.try_to_timestamp(text, F.lit(f)))) for f in formats])
 
 
 def flag_default(c: str | Column) -> Column:

@@ -22,7 +22,7 @@ HOT_SHARE = 1_000          # a key is hot when it holds over 1/1000 of the rows
 SKETCH_ACCURACY = 10_000    # rank error of percentile_approx is at most n / accuracy
 GRID = 500                  # sketched quantiles per group
 GRID_STEPS = 5              # a bracket spans at most this many grid steps
-WHOLE_GROUP_ROWS = 20_000   # groups up to this size need no bracket
+WHOLE_GROUP_ROWS = 2_000    # groups up to this size need no bracket
 BRACKET_ROWS = 5_000_000    # rows a bracket may hold before the exact count
 ROWS_PER_BUCKET = 1_000_000
 _GRID_POINTS = "array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")"

@@ -128,8 +128,8 @@ DATE_FORMATS = [
 ]
 
 # --- fixed values: text patterns (Java syntax) --------------------------------
-UNICODE_SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-FILLER = rf"(?i)_|none|[{UNICODE_SPACE}]+"
+UNICODE_SPACE = r"\t\n\x0B\f\r \x1c\x1d\x1e\x1f\x85\p{Z}"
+FILLER = rf"_|[{UNICODE_SPACE}]+|(?i:none)"
 ORDINAL_SUFFIX = "(st|nd|rd|th)"
 AREA_SUFFIX = r"(?:district|micro[-\s]?district|micro|neighborhood|quarter)"
 ORDINAL = rf"(?i)(\d+)-?{ORDINAL_SUFFIX}"

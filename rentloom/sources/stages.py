@@ -32,6 +32,17 @@ def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], refres
     return spark.read.parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a file scan that came in fewer partitions than there are cores.
+
+    One unsplittable file would otherwise keep one core busy while the others
+    wait. A scan of many splits is left as it is. Take it straight after the
+    read (and after positional keys): it does not keep the row order.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def load_in_order(tables: Mapping[str, DataFrame], order: Sequence[str], root: str, **jdbc) -> list[str]:
     """Write parents before children and skip empty tables; returns the names written.
 
