@@ -141,17 +141,18 @@ def merge_providers(replies: DataFrame, flat: DataFrame | None = None, text: str
     replies only count when they name the address they found.
     """
     flat = flatten_replies(replies) if flat is None else flat
-    flat = flat.where((F.col("provider") == "Nominatim") | filled("Formatted").isNotNull())
     order = F.when(non_ascii_flag(text), F.array_position(F.array(*map(F.lit, S.PROVIDERS_NON_ASCII)), F.col("provider"))).otherwise(
         F.array_position(F.array(*map(F.lit, S.PROVIDERS_ASCII)), F.col("provider")))
-    ranked = flat.withColumns({f: filled(f) for f in _TEXT_FIELDS}).withColumn("_p", order)
+    # A reply that does not count gets no rank. As a filter the test would be pushed below the parsing and repeat it.
+    counts = (F.col("provider") == "Nominatim") | filled("Formatted").isNotNull()
+    ranked = flat.withColumns({f: filled(f) for f in _TEXT_FIELDS}).withColumn("_p", F.when(counts, order))
 
     def first(field: str) -> Column:
         c = F.col(f"`{field}`")
         return F.min_by(c, F.when(c.isNotNull(), F.col("_p")))
 
     any_field = F.coalesce(*[F.col(f"`{f}`").cast("string") for f in FIELDS]).isNotNull()
-    ranked = ranked.withColumn("api", F.when(any_field, F.col("provider")))
+    ranked = ranked.withColumn("api", F.when(any_field & F.col("_p").isNotNull(), F.col("provider")))
     fields = ["api", *FIELDS]
     per_candidate = ranked.groupBy("address", "candidate").agg(*[first(f).alias(f) for f in fields])
     turn = F.when(F.col("api").isNotNull(), F.when(F.col("candidate") == "native", 1).otherwise(2))
