@@ -30,11 +30,11 @@ def _run(spark, sf):
     return run_model(features(spark, sf), S.ROW_ID, S.MONTHLY_USD_PRICE, CATEGORICALS, NUMERICS, rounds=ROUNDS)
 
 
-@case("feature_pipeline", f"""
+@case("feature_vectors", f"""
 WITH {LISTING}, t AS (SELECT id, (duration = 'Monthly')::INTEGER::DOUBLE AS a, rooms::DOUBLE AS b, area AS c FROM listing)
 SELECT id, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 6) AS monthly, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 6) AS rooms,
        round((c - avg(c) OVER ()) / stddev_pop(c) OVER (), 6) AS area, CAST(3 AS DOUBLE) AS hot FROM t""")
-def feature_pipeline(spark, sf):
+def feature_vectors(spark, sf):
     df = features(spark, sf)
     pipeline = N.FeaturePipeline(CATEGORICALS, NUMERICS).fit(df)
     cells = pipeline.transform(df).select(F.col(S.ROW_ID).alias("id"), vector_to_array("features").alias("v"))

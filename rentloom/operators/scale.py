@@ -189,16 +189,23 @@ def value_ranks(df: DataFrame, value: str, weight: str | None = None) -> DataFra
             .select(F.col("_v").alias(value), "cnt", rank.alias("rank")))
 
 
+def _as_number(c: Column, dtype: str) -> Column:
+    """A number that never falls while ``c`` rises, in any session time zone."""
+    if dtype == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if dtype in ("date", "timestamp_ntz"):
+        days = F.date_diff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("double")
+        return days if dtype == "date" else days * 86_400 + F.hour(c) * 3_600 + F.minute(c) * 60 + F.second(c)
+    return c.cast("double")
+
+
 def dense_positions(df: DataFrame, order: str, tie: Sequence[str] = (), name: str = "position") -> DataFrame:
     """0-based dense position of every row by a numeric, date or time column.
 
     Buckets of the order column are numbered independently and shifted, so no
     task ever holds more than one bucket. ``order`` should be (nearly) unique.
     """
-    key = F.col(order)
-    if dict(df.dtypes)[order] in ("date", "timestamp", "timestamp_ntz"):
-        key = F.unix_micros(key.cast("timestamp"))
-    keyed = df.withColumn("_k", key.cast("double"))
+    keyed = df.withColumn("_k", _as_number(F.col(order), dict(df.dtypes)[order]))
     parts = _bucketed(keyed, "_k", _bucket_splits(keyed.select("_k"), "_k"))
     offsets = _offsets(parts.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_t")))
     within = Window.partitionBy("_bucket").orderBy(order, *tie)

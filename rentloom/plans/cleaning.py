@@ -52,9 +52,10 @@ def type_listings(raw: DataFrame, row_id: str) -> DataFrame:
 def clean_listings(raw: DataFrame, rates: DataFrame, row_id: str = S.ROW_ID) -> Cleaned:
     """All exclusion steps in order; ``row_id`` is a unique column of ``raw``.
 
-    The wide rows are read once to judge the row rules. The later steps work on
-    a narrow checkpointed table (row id, reasons, amounts and a fingerprint of
-    the business columns); the verdict is joined back on the unique row id.
+    The wide rows are scanned for the column types, for the row rules and for
+    the result. All steps between work on a narrow checkpointed table (row id,
+    reasons, amounts and a fingerprint of the business columns); the verdict is
+    joined back on the unique row id.
     """
     raw = rename_headers(raw)
     rules = key_field_rules()

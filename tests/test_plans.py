@@ -102,3 +102,34 @@ def test_unseen_cluster_has_no_prediction(spark):
 def test_feature_labels():
     assert N.clean_feature_label("cat_Street_Abovyan", ["Street"]) == "Abovyan"
     assert N.clean_feature_label("num_Duration", ["Duration"]) == "num_Duration"
+
+
+def test_counts_come_from_observations(spark):
+    from pyspark.sql import Observation
+
+    from rentloom.operators.quality import exclude_zero_rank, require_columns
+
+    df = spark.createDataFrame([("a", 0.0), (" ", 1.0), (None, 2.0), ("b", 3.0)], "k string, r double")
+    seen, zero = Observation(), Observation()
+    assert require_columns(df, ["k"], seen).count() == 2
+    assert seen.get == {"rows": 4, "excluded": 2}
+    assert exclude_zero_rank(df, "r", zero).count() == 3
+    assert zero.get == {"excluded": 1}
+
+
+def test_misspelt_addresses_share_a_cluster(spark):
+    from rentloom.operators.clusters import embed_and_cluster
+
+    names = {"Abovyan Street, Kentron": 0, "Abovian Street, Kentron": 0, "Abovyan Stret, Kentron": 0,
+             "Tigran Mets Avenue, Shengavit": 1, "Tigran Metz Avenue, Shengavit": 1, "Tigran Mets Avenu, Shengavit": 1}
+    df = spark.createDataFrame(list(names), "string").withColumnRenamed("value", "address")
+    found = {r["address"]: r["cluster"] for r in embed_and_cluster(df, 2, text="address").collect()}
+    assert len({(names[a], c) for a, c in found.items()}) == 2
+
+
+def test_city_by_coordinate_range(spark):
+    from rentloom.operators.clusters import infer_city
+
+    rows = [(1, "A", 40.0, 44.0), (2, "A", 40.4, 44.4), (3, "B", 40.1, 44.1), (4, "B", 40.2, 44.2), (5, None, 40.15, 44.15), (6, "", 40.3, 44.3), (7, None, 10.0, 10.0)]
+    df = spark.createDataFrame(rows, "id int, `Town` string, `Latitude` double, `Longitude` double")
+    assert {r["id"]: r["Town"] for r in infer_city(df).collect()} == {1: "A", 2: "A", 3: "B", 4: "B", 5: "B", 6: "A", 7: None}

@@ -12,7 +12,7 @@ read_rates_json read_hierarchy_json assign_row_key parse_dates normalize_text_co
 trim_outliers trim_grouped_outliers dedupe_keep_first monthly_usd_price one_hot_wide reindex_addresses apply_translations
 streetwise_change_by_district group_price_median order_categories sample_per_group bridge_tables upsert check_references
 extract_all_components fuzzy_lookup similar_pairs resolve_region merge_providers spearman correlation_matrix dunn_posthoc
-box_summary infer_city feature_pipeline
+box_summary infer_city feature_vectors
 """.split()
 
 

@@ -118,3 +118,10 @@ def test_change_of_short_series(spark):
     assert got == {"a": None, "c": 1.0}
     kept = {r["k"]: r["change"] for r in first_last_change(df, ["k"], "v", ["d", "id"], "absolute", 1).collect()}
     assert kept == {"a": 5.0, "b": 0.0, "c": 2.0}
+
+
+@pytest.mark.parametrize("dtype", ["date", "timestamp", "timestamp_ntz"])
+def test_positions_by_time(spark, dtype):
+    df = spark.range(500).select("id", F.expr(f"cast(timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id as int), 7) as {dtype}) as t"))
+    got = {r["id"]: r["position"] for r in scale.dense_positions(df, "t").collect()}
+    assert got == {i: i for i in range(500)}
