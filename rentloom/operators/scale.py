@@ -74,8 +74,8 @@ def _tighten(low: Column, high: Column, below: Column, inside: Column, grid: Col
     first = F.floor((at - below) / inside * GRID).cast("int") - 1
     last = F.ceil((at + 2 - below) / inside * GRID).cast("int") + 1
     few = inside <= WHOLE_GROUP_ROWS
-    return [F.when(few | (first <= 0), low).otherwise(F.get(grid, first)).alias("lo"),
-            F.when(few | (last >= GRID), high).otherwise(F.get(grid, last)).alias("hi")]
+    return [F.when(few | (first <= 0), low).otherwise(F.get(grid, first)).alias("_lo"),
+            F.when(few | (last >= GRID), high).otherwise(F.get(grid, last)).alias("_hi")]
 
 
 def exact_quantiles(
@@ -107,7 +107,7 @@ def exact_quantiles(
         at = rank(F.col("n"), F.lit(float(p)))
         whole = F.floor(at).cast("bigint")
         bracket = _tighten(F.col("_min"), F.col("_max"), F.lit(0), F.col("n"), F.col("_g"), whole)
-        probes.append(F.struct(F.lit(i).alias("i"), whole.alias("r"), (at - F.floor(at)).alias("frac"), *bracket))
+        probes.append(F.struct(F.lit(i).alias("_i"), whole.alias("_r"), (at - F.floor(at)).alias("_f"), *bracket))
     brackets = checkpointed(sketch.select(*keys, "n", F.array(*probes).alias("_p")))
     groups, largest = brackets.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     few = groups <= BROADCAST_ROWS
@@ -118,24 +118,24 @@ def exact_quantiles(
             joined = skew_join(vals, brackets, keys, "inner", small=few)
         else:
             joined = vals.withColumns({c: brackets.select(c).scalar() for c in ("n", "_p")})
-        return joined.select(*keys, "n", "_v", F.explode("_p").alias("_p")).where(F.col("_v") <= F.col("_p.hi"))
+        return joined.select(*keys, "n", "_v", F.inline("_p")).where(F.col("_v") <= F.col("_hi"))
 
-    width = largest
+    width, inside, kept = largest, F.col("_v") >= F.col("_lo"), ["n", "_r", "_f", "_lo", "_hi"]
     while (width := width * GRID_STEPS // GRID) > BRACKET_ROWS:
-        inside = F.col("_v") >= F.col("_p.lo")
-        inner = hits().groupBy(*keys, "n", "_p").agg(
-            F.count_if(~inside).alias("_b"), F.count_if(inside).alias("_m"), _grid(F.when(inside, F.col("_v"))).alias("_g"))
-        tighter = _tighten(F.col("_p.lo"), F.col("_p.hi"), F.col("_b"), F.col("_m"), F.col("_g"), F.col("_p.r"))
-        probe = F.struct("_p.i", "_p.r", "_p.frac", *tighter)
-        brackets = checkpointed(inner.select(*keys, "n", probe.alias("_p")).groupBy(*keys, "n").agg(F.collect_list("_p").alias("_p")))
+        inner = hits().groupBy(*keys, "_i").agg(
+            F.count_if(~inside).alias("_b"), F.count_if(inside).alias("_m"), _grid(F.when(inside, F.col("_v"))).alias("_g"),
+            *[F.first(c).alias(c) for c in kept])
+        tighter = _tighten(*[F.col(c) for c in ("_lo", "_hi", "_b", "_m", "_g", "_r")])
+        probe = F.struct("_i", "_r", "_f", *tighter)
+        brackets = checkpointed(inner.groupBy(*keys, "n").agg(F.collect_list(probe).alias("_p")))
     # Values below the bracket lose their identity and collapse into one count.
-    counted = hits().select(*keys, "n", "_p", F.when(F.col("_v") >= F.col("_p.lo"), F.col("_v")).alias("_v")).groupBy(
-        *keys, "n", "_p", "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-    upto = Window.partitionBy(*keys, "_p.i").orderBy(F.col("_v").asc_nulls_first())
+    counted = hits().withColumn("_v", F.when(inside, F.col("_v"))).groupBy(*keys, "_i", "_v").agg(
+        F.count(F.lit(1)).alias("_cnt"), *[F.first(c).alias(c) for c in kept[:3]])
+    upto = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
     run = counted.withColumn("_end", F.sum("_cnt").over(upto))
-    at, end, start = F.col("_p.r"), F.col("_end"), F.col("_end") - F.col("_cnt")
+    at, end, start = F.col("_r"), F.col("_end"), F.col("_end") - F.col("_cnt")
     here = F.col("_v").isNotNull()
-    found = run.groupBy(*keys, "n", F.col("_p.i").alias("_i"), F.col("_p.frac").alias("_f")).agg(
+    found = run.groupBy(*keys, "n", "_i", "_f").agg(
         F.max(F.when(here & (start <= at) & (end > at), F.col("_v"))).alias("_a"),
         F.max(F.when(here & (start <= at + 1) & (end > at + 1), F.col("_v"))).alias("_b"),
     )
