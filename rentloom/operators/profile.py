@@ -87,6 +87,11 @@ def price_profile(
     return skew_join(df, order.select(x, "sort_key"), [x], "inner"), x
 
 
+def value_label(method: str | None) -> str:
+    """The name of the profile's value axis."""
+    return S.VALUE_LABELS[method]
+
+
 def bar_rows(profile: DataFrame, x: str, method: str | None, price: str = S.MONTHLY_USD_PRICE) -> DataFrame:
     """The bars: distinct (x, centre, deviation, count), or the plain points without a method."""
     if method is None:

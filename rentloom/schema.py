@@ -115,6 +115,16 @@ R_DUPLICATE = "Row was a duplicate"
 R_RATE = "The exchange rate was missing"
 R_USD_TRIM = "The monthly USD price was outside the 1% to 99% range"
 
+# --- fixed values: what a profile's value axis is called, by method ------------
+VALUE_LABELS = {
+    "absolute": "Price Change (USD)",
+    "percent": "Price Change (%)",
+    "log": "Log Price Change",
+    "mean": "Average Price",
+    "median": "Average Price",
+    None: "Monthly USD Price",
+}
+
 # --- fixed values: cells read as missing -------------------------------------
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",

@@ -133,3 +133,43 @@ def test_city_by_coordinate_range(spark):
     rows = [(1, "A", 40.0, 44.0), (2, "A", 40.4, 44.4), (3, "B", 40.1, 44.1), (4, "B", 40.2, 44.2), (5, None, 40.15, 44.15), (6, "", 40.3, 44.3), (7, None, 10.0, 10.0)]
     df = spark.createDataFrame(rows, "id int, `Town` string, `Latitude` double, `Longitude` double")
     assert {r["id"]: r["Town"] for r in infer_city(df).collect()} == {1: "A", 2: "A", 3: "B", 4: "B", 5: "B", 6: "A", 7: None}
+
+
+def _rows_and_background(spark):
+    rows = spark.createDataFrame([(i, float(i), float(i * i % 7)) for i in range(40)], "id long, a double, b double")
+    back = spark.createDataFrame([(0, (1.0, 2.0))], "slot int, row struct<a: double, b: double>")
+    return rows, back
+
+
+def test_attributions_of_a_linear_score_are_exact(spark):
+    rows, back = _rows_and_background(spark)
+    parts = N.shapley_importance(rows, "id", ["a", "b"], lambda d: d.withColumn("_pred", 2 * F.col("a") + 3 * F.col("b")), back, 3)
+    got = {(r["id"], r["feature"]): r["attribution"] for r in parts.collect()}
+    for r in rows.collect():
+        assert got[r["id"], "a"] == pytest.approx(2 * (r["a"] - 1.0))
+        assert got[r["id"], "b"] == pytest.approx(3 * (r["b"] - 2.0))
+
+
+def test_attributions_sum_to_the_difference_from_the_background(spark):
+    rows, back = _rows_and_background(spark)
+    parts = N.shapley_importance(rows, "id", ["a", "b"], lambda d: d.withColumn("_pred", F.col("a") * F.col("b") + 1), back, 5)
+    got = {r[0]: r[1] for r in parts.groupBy("id").agg(F.sum("attribution")).collect()}
+    for r in rows.collect():
+        assert got[r["id"]] == pytest.approx(r["a"] * r["b"] - 2.0)
+
+
+def test_background_is_bounded_and_stable(spark):
+    df = spark.range(1000).withColumn("a", F.col("id") * 1.0)
+    first = N.background_rows(df, "id", ["a"]).collect()
+    again = N.background_rows(df.repartition(7), "id", ["a"]).collect()
+    assert len(first) == N.BACKGROUND_ROWS and sorted(map(str, first)) == sorted(map(str, again))
+
+
+def test_unknown_category_encodes_to_zeros(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    df = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("b", 5.0)], "c string, x double")
+    encoder = N.FeaturePipeline(["c"], ["x"]).fit(df)
+    got = [r[0] for r in encoder.transform(spark.createDataFrame([("z", 3.0), ("b", 3.0)], "c string, x double")).select(vector_to_array("features")).collect()]
+    assert got == [[0.0, 0.0, 0.0], [0.0, 1.0, 0.0]]
+    assert encoder.names == ["a", "b", "x"]
