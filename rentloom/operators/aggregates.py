@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,26 @@ def change(first: Column, last: Column, method: str) -> Column:
     raise ValueError(f"unknown change method: {method}")
 
 
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """One comparable value for a date or time and a whole-number tie-break.
+
+    A decimal of fixed width can be updated in place, so the aggregate over it
+    hashes; over a struct it would have to sort all rows first. Other column
+    types fall back to the struct.
+    """
+    kinds = [dict(df.dtypes)[c] for c in order]
+    whole = ("tinyint", "smallint", "int")
+    if len(order) != 2 or kinds[1] not in (*whole, "bigint") or kinds[0] not in (*whole, "date", "timestamp"):
+        return F.struct(*[F.col(f"`{c}`") for c in order])
+    first, second = F.col(f"`{order[0]}`"), F.col(f"`{order[1]}`")
+    if kinds[0] == "date":
+        first = F.unix_date(first)
+    elif kinds[0] == "timestamp":
+        first = F.unix_micros(first)
+    # Steps of 2 * 10^19 leave room for every 64-bit tie-break.
+    return first.cast("decimal(18,0)") * F.lit(Decimal(20_000_000_000_000_000_000)) + second.cast("decimal(19,0)")
+
+
 def first_last_change(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str],
                       method: str = "percent", min_series: int = 2) -> DataFrame:
     """Chronological first against last value per group, in one combining aggregate.
@@ -40,7 +61,7 @@ def first_last_change(df: DataFrame, keys: Sequence[str], value: str, order: Seq
     ``order`` is the date and then the row id, so ties have one answer. Groups
     with under ``min_series`` rows are left out; 1 keeps them with change 0.
     """
-    when = F.struct(*order)
+    when = order_key(df, order)
     ends = df.groupBy(*keys).agg(
         F.min_by(value, when).alias("_first"), F.max_by(value, when).alias("_last"), F.count(F.lit(1)).alias("_n"))
     return ends.where(F.col("_n") >= min_series).select(

@@ -125,3 +125,15 @@ def test_positions_by_time(spark, dtype):
     df = spark.range(500).select("id", F.expr(f"cast(timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id as int), 7) as {dtype}) as t"))
     got = {r["id"]: r["position"] for r in scale.dense_positions(df, "t").collect()}
     assert got == {i: i for i in range(500)}
+
+
+@pytest.mark.parametrize("kind", ["int", "date", "timestamp", "string"])
+def test_first_and_last_by_any_order_type(spark, kind):
+    """Ties on the date go by the row id, also for negative and very large ids; text takes the struct."""
+    big = 9_000_000_000_000_000_000
+    rows = [("a", 3, -big, 1.0), ("a", 3, big, 2.0), ("a", 1, 5, 4.0), ("a", 1, -5, 8.0), ("b", -2, 1, 3.0), ("b", 2, 0, 9.0)]
+    df = spark.createDataFrame(rows, "k string, n int, id long, v double")
+    days = F.date_add(F.lit("2024-01-05").cast("date"), F.col("n"))
+    when = {"int": F.col("n"), "date": days, "timestamp": days.cast("timestamp"), "string": days.cast("string")}[kind]
+    got = {r["k"]: r["change"] for r in first_last_change(df.withColumn("d", when), ["k"], "v", ["d", "id"], "absolute").collect()}
+    assert got == {"a": 2.0 - 8.0, "b": 6.0}
