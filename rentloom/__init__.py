@@ -1 +1,8 @@
 """Listing analytics as Spark jobs: every public function takes and returns DataFrames or Columns."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of the package: functions sent to them carry their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
