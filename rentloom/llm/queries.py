@@ -12,6 +12,8 @@ from rentloom.llm.chat import format_conversations
 from rentloom.llm.decontaminate import contamination
 from rentloom.llm.fingerprints import fingerprints
 from rentloom.llm.piece_codec import round_trip
+from rentloom.llm.repeated_spans import remove_repeats
+from rentloom.llm.shingle_links import similar_documents
 from rentloom.llm.token_counts import token_counts
 from rentloom.llm.token_records import token_records
 
@@ -49,6 +51,14 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"), digest=True)
+
+
+def op7_shingle_links(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_documents(table(spark, folder, "documents")).drop("_k1", "_k2")
+
+
 def op8_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return token_records(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json").decode(), END_ID)
 
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_fingerprints": op3_fingerprints,
     "op4_decontamination": op4_decontamination,
+    "op6_repeated_spans": op6_repeated_spans,
+    "op7_shingle_links": op7_shingle_links,
     "op8_token_records": op8_token_records,
     "op9_token_counts": op9_token_counts,
 }
@@ -85,6 +97,32 @@ _CONTAMINATION = r"""
            sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
     FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
+_REPEATS = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    edges AS (SELECT doc_id, p, sha256(array_to_string(w[p:p + 34], ' ')) AS g
+              FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)),
+    twice AS (SELECT doc_id, p FROM edges WHERE g IN (SELECT g FROM edges GROUP BY g HAVING count(*) > 1)),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS q FROM twice),
+    per_doc AS (SELECT doc_id, list(q) AS qs, count(*) AS n FROM gone GROUP BY doc_id),
+    left_over AS (SELECT doc_id, string_agg(w[q], ' ' ORDER BY q) AS kept
+                  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS q FROM d) WHERE (doc_id, q) NOT IN (SELECT doc_id, q FROM gone)
+                  GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN per_doc USING (doc_id) LEFT JOIN left_over USING (doc_id)"""
+
+_LINKS = r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 4) - 1], ' ') AS g
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS p FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id != b.doc_id GROUP BY ALL),
+    links AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 85 * (p.n + q.n - i)),
+    reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+    lows AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM lows LEFT JOIN n USING (doc_id)"""
+
 #: Twins in SQL, for the queries that SQL can express.
 SQL: dict[str, str] = {
     "op2_chat_format": r"""
@@ -103,4 +141,6 @@ SQL: dict[str, str] = {
                sum(length('<|im_start|>') + length(name) + 1 + length(shown) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
         FROM written GROUP BY conv_id""",
     "op4_decontamination": _CONTAMINATION,
+    "op6_repeated_spans": _REPEATS,
+    "op7_shingle_links": _LINKS,
 }
