@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rentloom.llm.batches import raw_texts, typed, words_of
 from rentloom.llm.hashing import RunHashes, WordHashes
-from rentloom.llm.neighbours import with_followers
+from rentloom.llm.neighbours import with_neighbours
 
 SHINGLE = 5       # words
 FRACTION = 8      # one hash in so many is retained
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     buckets; a task holds one document and its successor.
     """
     picked = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    ordered = with_followers(picked, "_id", "_text").select("_id", "_bucket", "_copy", "_text")
+    ordered = with_neighbours(picked, "_id", "_text").select("_id", "_bucket", "_copy", "_text")
     fields = (f"{typed(picked, '_id').replace('_id', id)}, n_chars long, edited_sha256 string, fingerprint string, "
               "edited_fingerprint string, near_edited double, near_next double")
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             rows = zip(batch.column("_bucket").to_pylist(), batch.column("_copy").to_pylist(), batch.column("_id").to_pylist(),
                        raw_texts(batch, "_text"), strict=True)
             for bucket, copy, key, raw in rows:
-                if last is None and copy:
+                if copy < 0 or (last is None and copy):
                     continue
                 own, text_ = sketch(raw), raw.decode("utf-8", "replace")
                 if last is not None:

@@ -6,28 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def with_followers(rows: DataFrame, key: str, *ties: str) -> DataFrame:
-    """Rows sorted by ``key`` inside buckets, each bucket followed by a copy of the next bucket's first rows.
+def with_neighbours(rows: DataFrame, key: str, *ties: str) -> DataFrame:
+    """Rows sorted by ``key`` inside buckets, with copies of the rows next to each bucket.
 
-    Adds ``_bucket`` and ``_copy``. A task that reads its rows in order sees
-    after every row the one that follows it in the whole table; the last bucket
-    ends with the first rows of all. The buckets are those of a range
-    partitioning of the keys: the driver sees one cut per partition. Rows
-    without a key have no place in the order and get negative buckets.
+    Adds ``_bucket`` and ``_copy``: 0 for the row itself, -1 for copies that
+    come before the bucket (rows with the last key of the bucket before), 1 for
+    copies that come after it (rows with the first key of the next). The order
+    is a ring. A task that reads its rows in order sees around every row those
+    next to it in the whole table. Buckets are those of a range partitioning of
+    the keys: the driver sees two cuts per partition. Rows without a key have no
+    place in the order and get negative buckets, dealt by the first tie.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = rows.select(key).where(F.col(key).isNotNull())
-    ranged = keys.repartitionByRange(parts, key).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(key).alias("_cut"))
-    cuts = sorted({r["_cut"] for r in ranged.select("_cut").collect()})
-    # Rows without a key are dealt by their content, so that a repeated task deals them alike.
-    apart = -1 - F.pmod(F.xxhash64(*ties), F.lit(parts)).cast("int")
+    ranged = keys.repartitionByRange(parts, key).groupBy(F.spark_partition_id().alias("_p")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    cuts = sorted((r["low"], r["high"]) for r in ranged.collect())
     kind = dict(rows.dtypes)[key]
-    listed = F.array(*map(F.lit, cuts)).cast(f"array<{kind}>")
-    own = F.size(F.filter(listed, lambda cut: cut <= F.col(key)))
-    real = F.struct(F.when(F.col(key).isNotNull(), own).otherwise(apart).alias("_bucket"), F.lit(False).alias("_copy"))
-    copy = F.struct(F.when(own > 1, own - 1).otherwise(len(cuts)).alias("_bucket"), F.lit(True).alias("_copy"))
-    buckets = F.when(F.array_contains(listed, F.col(key)), F.array(real, copy)).otherwise(F.array(real))
-    placed = rows.withColumn("_at", F.explode(buckets)).select("*", "_at._bucket", "_at._copy").drop("_at")
-    return placed.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_copy", key, *ties)
+    lows, highs = (F.array(*[F.lit(c[i]) for c in cuts]).cast(f"array<{kind}>") for i in (0, 1))
+    own = F.size(F.filter(lows, lambda cut: cut <= F.col(key)))
+    apart = -1 - F.pmod(F.xxhash64(*ties), F.lit(parts)).cast("int")
 
+    def place(bucket, copy: int):
+        return F.struct(bucket.cast("int").alias("_bucket"), F.lit(copy).alias("_copy"))
+
+    real = F.array(place(F.when(F.col(key).isNotNull(), own).otherwise(apart), 0))
+    after = F.when(F.array_contains(lows, F.col(key)), F.array(place(F.when(own > 1, own - 1).otherwise(len(cuts)), 1)))
+    before = F.when(F.array_contains(highs, F.col(key)), F.array(place(F.when(own < len(cuts), own + 1).otherwise(1), -1)))
+    places = F.flatten(F.filter(F.array(real, after, before), lambda p: p.isNotNull()))
+    placed = rows.withColumn("_at", F.explode(places)).select("*", "_at._bucket", "_at._copy").drop("_at")
+    return placed.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_copy", key, *ties)
