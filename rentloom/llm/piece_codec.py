@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -63,7 +64,7 @@ class Encoder:
         return ids, edges[:-1], edges[1:]
 
 
-def _lists(arrays: list, kind: pa.DataType) -> pa.Array:
+def _lists(arrays: Sequence, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
     values = np.concatenate([np.asarray(a, np.int64) for a in arrays]) if arrays else np.zeros(0, np.int64)
@@ -107,30 +108,32 @@ def decode_pieces(encoded: DataFrame, model: bytes, ids: str = "ids", name: str
     return encoded.withColumn(name, decode(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, model: bytes, id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model: bytes, id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Digests of encoding and decoding every text.
 
     Columns ``id``, ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas),
-    ``decoded_sha256`` and ``spans_tile`` (every byte of the text belongs to
-    exactly one span, in order). Special cases as in :func:`encode_pieces`.
+    ``decoded_sha256``, ``spans_tile`` (every byte of the text belongs to
+    exactly one span, in order) and, with ``keep_ids``, ``ids``. Special cases
+    as in :func:`encode_pieces`.
     """
     picked = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    names = [id, "n_tokens", "ids_sha256", "decoded_sha256", "spans_tile"] + ["ids"] * keep_ids
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         encoder, library = Encoder(model), sentencepiece.SentencePieceProcessor(model_proto=model)
-        decimal = Memo(str, 1 << 20)
-        for batch in batches:
-            rows = []
-            for raw in raw_texts(batch, "_text"):
-                ids, starts, ends = encoder(raw)
-                tile = bool(np.array_equal(starts[1:], ends[:-1]) and (ends[-1] == len(raw) and starts[0] == 0 if ids else not raw))
-                rows.append((len(ids), hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(),
-                             hashlib.sha256(library.decode(ids).encode()).hexdigest(), tile))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()),
-                 pa.array(columns[3], pa.bool_())], [id, "n_tokens", "ids_sha256", "decoded_sha256", "spans_tile"])
-
-    return picked.mapInArrow(digest, f"{typed(picked, id)}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_tile boolean")
+        decimal = list(map(str, range(library.get_piece_size())))
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):      # few texts at a time
+                batch = whole.slice(low, 512)
+                rows = []
+                for raw in raw_texts(batch, "_text"):
+                    ids, starts, ends = encoder(raw)
+                    tile = starts[0] == 0 and ends[-1] == len(raw) and np.array_equal(starts[1:], ends[:-1]) if ids else not raw
+                    rows.append((len(ids), hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(),
+                                 hashlib.sha256(library.decode(ids).encode()).hexdigest(), bool(tile), ids))
+                *columns, listed = zip(*rows, strict=True)
+                made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made, *([_lists(listed, pa.int32())] if keep_ids else [])], names)
+
+    fields = ", n_tokens long, ids_sha256 string, decoded_sha256 string, spans_tile boolean" + ", ids array<int>" * keep_ids
+    return picked.mapInArrow(digest, typed(picked, id) + fields)

@@ -7,10 +7,13 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rentloom.llm.chat import format_conversations
 from rentloom.llm.decontaminate import contamination
 from rentloom.llm.fingerprints import fingerprints
+from rentloom.llm.language import identify, page_evidence
+from rentloom.llm.pages import extract_pages
 from rentloom.llm.piece_codec import round_trip
 from rentloom.llm.repeated_spans import remove_repeats
 from rentloom.llm.shingle_links import similar_documents
@@ -51,12 +54,25 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents")).drop("_k1", "_k2")
+
+
+def language_of_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages carry all evidence: their text is scored by the letters of the documents."""
+    pages = table(spark, folder, "pages")
+    visible = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    found = identify(pages.withColumn("_visible", visible), id="page_id", text="_visible", train=table(spark, folder, "documents"),
+                     **page_evidence())
+    return found.drop("_k1", "_k2")
+
+
 def op6_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), digest=True)
 
 
 def op7_shingle_links(spark: SparkSession, folder: str) -> DataFrame:
-    return similar_documents(table(spark, folder, "documents")).drop("_k1", "_k2")
+    return similar_documents(table(spark, folder, "documents")).drop("_k1", "_k2", "_root")
 
 
 def op8_token_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,15 +83,22 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), CONTEXT_TOKENS)
 
 
+def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_chat_format": op2_chat_format,
     "op3_fingerprints": op3_fingerprints,
     "op4_decontamination": op4_decontamination,
+    "op5_language_id": op5_language_id,
+    "language_of_pages": language_of_pages,
     "op6_repeated_spans": op6_repeated_spans,
     "op7_shingle_links": op7_shingle_links,
     "op8_token_records": op8_token_records,
     "op9_token_counts": op9_token_counts,
+    "op10_main_text": op10_main_text,
 }
 
 _CONTAMINATION = r"""
