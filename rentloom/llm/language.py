@@ -17,7 +17,7 @@ LANGUAGES = 1000           # a label needs at least 1 / LANGUAGES of the labelle
 EFFECTIVE = 60             # triples overlap; a text counts as at most so many independent ones
 SMOOTHING = 20.0           # weight of the wider unit in the prior of a host, a site and an address suffix
 SURE = 0.5                 # least posterior of an accepted text
-STRANGE = 8.0              # standard deviations below the usual score of its language at which a text is rejected
+STRANGE = 4.0              # log likelihood per triple below the usual text of its language at which a text is rejected
 
 
 def triples(text: str) -> np.ndarray:
@@ -114,8 +114,8 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", label: str
     rows. Unknown declarations, hosts and suffixes are units of their own.
 
     A text is accepted if its language has a posterior of at least SURE and it
-    scores no more than STRANGE standard deviations below the usual text of
-    that language. Null and empty texts and texts without letters are not
+    scores no more than STRANGE per triple below the usual text of that
+    language, as texts in no known language do. Null and empty texts and texts without letters are not
     accepted and have no language; neither has any text if there is no label.
     Equal rows get equal results, tied and null ids are rows of their own, an
     empty table gives no rows; columns are read under names of their own, so
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", label: str
     per_best = said.groupBy("best").agg(F.sum("count").alias("total"))
     trust = said.join(per_best, "best").groupBy("declared").agg(F.map_from_entries(F.collect_list(F.struct(
         "best", ((F.col("count") + 1) / (F.col("total") + kinds)).alias("p")))).alias("trust"))
-    usual = scored.where("best IS NOT NULL").groupBy("best").agg(F.avg("mean").alias("usual"), F.stddev_pop("mean").alias("spread"))
+    usual = scored.where("best IS NOT NULL").groupBy("best").agg(F.avg("mean").alias("usual"))
     joined = (scored.join(by_host.drop("all"), ["suffix", "site", "host"], "left").join(trust, "declared", "left").join(F.broadcast(usual), "best", "left"))
     log_posterior = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (
         F.get("likely", i) + F.log(F.coalesce(F.get("wide", i), F.lit(1.0 / n)))
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", label: str
         "confidence", 1 / F.aggregate("lp", F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
     known = F.col("triples") > 0
     language = F.get(F.array(*map(F.lit, names)), F.array_position("lp", top).cast("int") - 1)
-    strange = F.coalesce(F.col("mean") < F.col("usual") - STRANGE * F.greatest(F.col("spread"), F.lit(0.05)), F.lit(False))
+    strange = F.coalesce(F.col("mean") < F.col("usual") - STRANGE, F.lit(False))
     return posterior.select(F.col("_id").alias(id), "_k1", "_k2", F.when(known, language).alias("language"), F.when(known, F.col("confidence")).otherwise(0.0).alias("confidence"),
                             "triples", (known & (F.col("confidence") >= SURE) & ~strange).alias("accepted"))
 
