@@ -9,6 +9,7 @@ checksum stored next to its data does not look like data.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -28,10 +29,10 @@ from rentloom.session import new_shared_path
 
 MASK_DELTA = 0xA282EAD8
 READ_BYTES = 8 << 20      # index rows are read back in groups of about this size
-_UNSAFE_CUT = re.compile(r"(?:^|[^!-~À-ÖØ-öø-ɏ]) ")      # a space that white space or an unusual character may join
-_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[.,;:!?#$%&*()\-]"
-_PLAIN = re.compile(rf" ?{_LETTERS}{_MARKS}*(?:\n{_LETTERS}{_MARKS}*)*")      # runs of letters, marks and single line ends
-_RUNS = re.compile(rf" ?{_LETTERS}|{_MARKS}+|\n")
+# The split of the byte-level vocabulary, for texts of visible ASCII, Latin letters, spaces and line ends.
+_WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|[ \n]+(?![^ \n])|[ \n]+")
+_OTHER = re.compile(r"[^ \n!-~À-ÖØ-öø-ɏ]")
+_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 def masked(data: bytes) -> int:
@@ -64,46 +65,37 @@ def byte_alphabet() -> list[str]:
 class TokenBytes:
     """Packed ids of a text as the library gives them without added special tokens.
 
-    The byte-level split never lets a token start before a space and reach over
-    it when the space follows a visible character, so the text is cut there and
-    each part is encoded once. Parts of plain words and marks are cut again at
-    the borders of the runs, which no token crosses. A text with any other
-    space goes to the library whole.
+    A text of common characters without special strings is split here; its
+    words, which repeat across a corpus, go to the library's byte-pair model
+    once each. Any other text goes to the library whole.
     """
 
     def __init__(self, spec: str) -> None:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        splits = self.library.pre_tokenizer.__class__.__name__ == "ByteLevel" and self.library.normalizer is None
-        self.cuttable = splits and not any(" " in t.content or t.lstrip or t.rstrip or t.single_word
-                                           for t in self.library.get_added_tokens_decoder().values())
-        self.code = "H" if self.kind == "<u2" else "I"
+        self.kind, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        parts = json.loads(spec)
+        split = parts.get("pre_tokenizer") or {}
+        self.plain = (parts.get("normalizer") is None and parts["model"]["type"] == "BPE"
+                      and _SPLIT.items() <= split.items() and not parts["model"].get("ignore_merges"))
+        self.special = [t["content"] for t in parts.get("added_tokens", ())]
         self.alphabet = byte_alphabet()
-        self.runs = Memo(self._run)
-        self.later = Memo(lambda part: self._part(" " + part))
-        self.first = Memo(self._part, 20_000)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _run(self, run: str) -> bytes:
-        """One run is one word of the byte-pair model, written in its byte alphabet."""
-        spelled = run.replace(" ", self.alphabet[32]).replace("\n", self.alphabet[10]) if run.isascii() else "".join(map(self.alphabet.__getitem__, run.encode()))
+        self.words = Memo(self._word, 300_000)
+
+    def _word(self, word: str) -> bytes:
+        """One word of the byte-pair model, written in its byte alphabet."""
+        if word.isascii():
+            spelled = word.replace(" ", self.alphabet[32]).replace("\n", self.alphabet[10])
+        else:
+            spelled = "".join(map(self.alphabet.__getitem__, word.encode()))
         ids = [t.id for t in self.library.model.tokenize(spelled)]
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def _part(self, part: str) -> bytes:
-        if not _PLAIN.fullmatch(part):
-            return self.whole(part)
-        return b"".join(map(self.runs.__getitem__, _RUNS.findall(part)))
-
     def __call__(self, text: str) -> bytes:
-        if not self.cuttable or _UNSAFE_CUT.search(text):
-            return self.whole(text)
-        parts = text.split(" ")
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        if not self.plain or _OTHER.search(text) or any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return b"".join(map(self.words.__getitem__, _WORDS.findall(text)))
 
 
 def write_records(docs: DataFrame, path: str, spec: str, end_id: int, id: str = "doc_id", text: str = "text") -> DataFrame:
