@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.batches import raw_texts, row_key, typed, words_of
+from rentloom.llm.batches import raw_texts, row_key, stored, typed, words_of
 from rentloom.llm.hashing import BASES, RunHashes, WordHashes, anchors, mix
 
 WINDOW = 35        # words of an edge
 GRAM = 8           # words of an anchor
-REACH = WINDOW - GRAM + 1
+PLACE_BITS = 16    # a place is the first edge of a path and, in its lower bits, the number of edges
 _KEY = "_k1 long, _k2 long"
 
 
@@ -33,7 +33,7 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 
 class Paths:
-    """Compacted paths of a text: first edge, number of edges, anchor hash and two hashes of the whole content."""
+    """Compacted paths of a text: first edge, number of edges, anchor hash and a hash of the whole content."""
 
     def __init__(self, window: int) -> None:
         self.window, self.reach = window, window - GRAM + 1
@@ -52,9 +52,8 @@ class Paths:
         at = anchor[first]
         place = ((at - first).astype(np.uint64) << np.uint64(32)) | count.astype(np.uint64)
         end = first + count + self.window - 1
-        one = mix(self.one.runs(sums, first, end) ^ mix(place))
-        two = mix(self.two.runs(self.two.sums(hashes), first, end) + place)
-        return first, count, grams[at], one, two
+        whole = mix(self.two.runs(self.two.sums(hashes), first, end) + place)
+        return first, count, grams[at], whole
 
 
 def _paths(window: int):
@@ -70,14 +69,10 @@ def _paths(window: int):
             if not found:
                 continue
             row = np.concatenate(rows)
-            first, count, anchor, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
-            k1, k2 = keys[0][row], keys[1][row]
-            with np.errstate(over="ignore"):
-                occurrence = mix(k1.view(np.uint64) ^ mix(k2.view(np.uint64) + first.astype(np.uint64)))
+            first, count, anchor, whole = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k1), pa.array(k2), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), _signed(anchor),
-                 _signed(one), _signed(two), _signed(occurrence)],
-                ["_k1", "_k2", "first", "edges", "anchor", "one", "two", "occurrence"])
+                [pa.array(keys[0][row]), pa.array(keys[1][row]), pa.array((first << PLACE_BITS) | count), _signed(anchor), _signed(whole)],
+                ["_k1", "_k2", "place", "anchor", "whole"])
     return run
 
 
@@ -89,8 +84,9 @@ def _open(window: int):
             out = []
             for i, (raw, opened) in enumerate(zip(raw_texts(batch, "_text"), batch.column("opened").to_pylist(), strict=True)):
                 hashes = words_hash(words_of(raw))
-                start = np.concatenate([np.arange(o["first"], o["first"] + o["edges"]) for o in opened])
-                wanted = np.concatenate([np.full(o["edges"], o["wanted"]) for o in opened])
+                places = [(o["place"] >> PLACE_BITS, o["place"] & ((1 << PLACE_BITS) - 1), o["wanted"]) for o in opened]
+                start = np.concatenate([np.arange(first, first + count) for first, count, _ in places])
+                wanted = np.concatenate([np.full(count, want) for _, count, want in places])
                 out.append((np.full(len(start), i), start, wanted, one.runs(one.sums(hashes), start, start + window),
                             two.runs(two.sums(hashes), start, start + window)))
             if not out:
@@ -111,26 +107,34 @@ def _covered(spans: list | None, n: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def repeated_spans(source: DataFrame, dealt: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(source: DataFrame, dealt: DataFrame, text: str, window: int = WINDOW) -> DataFrame:
     """Spans whose words are covered by a window that starts more than once: ``_k1``, ``_k2``, ``spans``.
 
     ``source`` has the row key and ``_text``; ``dealt`` has the same rows dealt
     out by the key, so that opened paths and the caller read one shuffle.
     """
     texts = source.select("_k1", "_k2", "_text").where(F.col("_text").isNotNull())
-    paths = texts.mapInArrow(_paths(window), f"{_KEY}, first int, edges int, anchor long, one long, two long, occurrence long")
-    same = paths.groupBy("anchor", "one", "two").agg(F.count(F.lit(1)).alias("n"), F.min("occurrence").alias("chosen"))
-    shared = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total")).where("total >= 2")
-    met = paths.join(shared.select("anchor", "contents"), "anchor")
-    judged = met.join(same.where("n >= 2").drop("n"), ["anchor", "one", "two"], "left")
+    paths = texts.mapInArrow(_paths(window), f"{_KEY}, place long, anchor long, whole long")
+    same = paths.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("_k1", "_k2", "place")).alias("chosen"))
+    # Both look-ups are keyed by complements, so that they are dealt out anew and hot keys of the paths can be split.
+    # They use the same columns of ``same``, so that its shuffle is read twice and not made twice.
+    shared = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total"), F.min("chosen").alias("any"))
+    shared = shared.where("total >= 2 AND any IS NOT NULL").select(F.bitwise_not("anchor").alias("_a"), "contents")
+    again = same.where("n >= 2").select(F.bitwise_not("anchor").alias("_a"), F.bitwise_not("whole").alias("_w"), "chosen")
+    met = paths.withColumns({"_a": F.bitwise_not("anchor"), "_w": F.bitwise_not("whole")}).drop("anchor", "whole")
+    judged = met.join(shared, "_a").join(again, ["_a", "_w"], "left")
     repeated = F.col("chosen").isNotNull()
     # A path that repeats as a whole needs its edges only as partners, and only once.
-    opens = (F.col("contents") >= 2) & (~repeated | (F.col("chosen") == F.col("occurrence")))
-    opened = judged.where(opens).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("first", "edges", (~repeated).alias("wanted"))).alias("opened"))
-    edges = dealt.join(opened, ["_k1", "_k2"]).mapInArrow(_open(window), f"{_KEY}, first int, wanted boolean, one long, two long")
-    twice = edges.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
-    edge_spans = edges.where("wanted").join(twice, ["one", "two"], "left_semi").select("_k1", "_k2", "first", F.lit(window).alias("words"))
-    path_spans = judged.where(repeated).select("_k1", "_k2", "first", (F.col("edges") + (window - 1)).alias("words"))
+    opens = (F.col("contents") >= 2) & (~repeated | (F.col("chosen") == F.xxhash64("_k1", "_k2", "place")))
+    judged = judged.select("_k1", "_k2", "place", repeated.alias("repeated"), opens.alias("opens")).where("repeated OR opens")
+    judged = stored(judged, "paths")
+    opened = judged.where("opens").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("place", (~F.col("repeated")).alias("wanted"))).alias("opened"))
+    edges = dealt.join(opened, ["_k1", "_k2"]).drop(text).mapInArrow(_open(window), f"{_KEY}, first int, wanted boolean, one long, two long")
+    twice = edges.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.bitwise_not("one").alias("_o"), F.bitwise_not("two").alias("_t"))
+    wanted = edges.where("wanted").withColumns({"_o": F.bitwise_not("one"), "_t": F.bitwise_not("two")})
+    edge_spans = wanted.join(twice, ["_o", "_t"], "left_semi").select("_k1", "_k2", "first", F.lit(window).alias("words"))
+    first, count = F.shiftright("place", PLACE_BITS), F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    path_spans = judged.where("repeated").select("_k1", "_k2", first.cast("int").alias("first"), (count + (window - 1)).cast("int").alias("words"))
     spans = path_spans.unionByName(edge_spans)
     return spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
 
@@ -147,14 +151,15 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     Repeats are judged on the input. Equal rows repeat each other; tied ids with
     different texts are different documents; a null or empty text and a text
     shorter than the window keep what they have; a null text stays null; an
-    empty table gives no rows. Content is compared by 128 bits of hash. Paths
+    empty table gives no rows. Content is compared by 128 bits of hash: of the anchor
+    and the whole path, or two of the window. Paths
     combine before they are shuffled, and what comes back to a document is at
     most its own paths.
     """
     carried = [id, text] if digest else list(docs.columns)
     source = docs.select(*[F.col(f"`{c}`") for c in carried], *row_key(id, text))
     dealt = source.repartition("_k1", "_k2").withColumn("_text", F.col(text))
-    spans = repeated_spans(source.withColumn("_text", F.col(text)), dealt, window)
+    spans = repeated_spans(source.withColumn("_text", F.col(text)), dealt, text, window)
     judged = dealt.join(spans, ["_k1", "_k2"], "left").select(*[f"`{c}`" for c in carried], "spans")
     if digest:
         schema = f"{typed(docs, id)}, n_words long, n_removed long, kept_sha256 string"
