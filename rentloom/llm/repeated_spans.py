@@ -116,10 +116,10 @@ def repeated_spans(source: DataFrame, dealt: DataFrame, text: str, window: int =
     texts = source.select("_k1", "_k2", "_text").where(F.col("_text").isNotNull())
     paths = texts.mapInArrow(_paths(window), f"{_KEY}, place long, anchor long, whole long")
     same = paths.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("_k1", "_k2", "place")).alias("chosen"))
-    # Both look-ups are keyed by complements, so that they are dealt out anew and hot keys of the paths can be split.
-    # They use the same columns of ``same``, so that its shuffle is read twice and not made twice.
-    shared = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total"), F.min("chosen").alias("any"))
-    shared = shared.where("total >= 2 AND any IS NOT NULL").select(F.bitwise_not("anchor").alias("_a"), "contents")
+    same = stored(same, "contents")
+    # Aggregated sides are keyed by complements, so that they are dealt out anew and hot keys of the other side can be split.
+    shared = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total")).where("total >= 2")
+    shared = shared.select(F.bitwise_not("anchor").alias("_a"), "contents")
     again = same.where("n >= 2").select(F.bitwise_not("anchor").alias("_a"), F.bitwise_not("whole").alias("_w"), "chosen")
     met = paths.withColumns({"_a": F.bitwise_not("anchor"), "_w": F.bitwise_not("whole")}).drop("anchor", "whole")
     judged = met.join(shared, "_a").join(again, ["_a", "_w"], "left")
