@@ -134,8 +134,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     """
     spark = docs.sparkSession
     results = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    carried = list(docs.columns) if keep else [id]
-    state = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).alias("_text_"),
+    names = list(docs.columns) if keep else [id]
+    carried = [f"_c{i}" for i in range(len(names))]      # no clash with inner names
+    state = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, carried, strict=True)], F.col(text).alias("_text_"),
                         F.array().cast("array<int>").alias("_hits_"), F.array().cast("array<string>").alias("_found_"))
     plain = typed(state, *carried)
     blocks = _blocks(benchmark, item_id, item_text)
@@ -144,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
         state = state.mapInArrow(_block_pass(shared, number == len(blocks) - 1, carried, results, "_" if keep else ""), f"{plain}, " + (
             ", ".join(f"`{'_' if keep else ''}{n}` {t}" for n, t in zip(results, ("long", "long", "long", "string", "boolean"), strict=True))
             if number == len(blocks) - 1 else "_text_ string, _hits_ array<int>, _found_ array<string>"))
-    return state
+    return state.select(*[F.col(c).alias(n) for n, c in zip(names, carried, strict=True)], *state.columns[len(carried):])
 
 
 def _block_pass(shared, last: bool, carried: list[str], results: list[str], prefix: str):

@@ -1,12 +1,11 @@
 """Encoding texts to pieces with their place in the original bytes, and decoding them."""
 
-from __future__ import annotations
-
 import hashlib
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -98,9 +97,7 @@ def decode_pieces(encoded: DataFrame, model: bytes, ids: str = "ids", name: str
     """The same rows with the text that the library decodes from ``ids``; null and empty lists give an empty text."""
 
     @F.pandas_udf("string")
-    def decode(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         for batch in batches:
             yield pd.Series([library.decode([] if x is None else x.tolist()) for x in batch], dtype=object)

@@ -156,20 +156,19 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     combine before they are shuffled, and what comes back to a document is at
     most its own paths.
     """
-    carried = [id, text] if digest else list(docs.columns)
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], *row_key(id, text))
-    dealt = source.repartition("_k1", "_k2").withColumn("_text", F.col(text))
-    spans = repeated_spans(source.withColumn("_text", F.col(text)), dealt, text, window)
-    judged = dealt.join(spans, ["_k1", "_k2"], "left").select(*[f"`{c}`" for c in carried], "spans")
-    if digest:
-        schema = f"{typed(docs, id)}, n_words long, n_removed long, kept_sha256 string"
-    else:
-        schema = f"{typed(docs, *carried)}, _n_words long, _n_removed long"
+    names = [id, text] if digest else list(docs.columns)
+    carried, body = [f"_c{i}" for i in range(len(names))], f"_c{names.index(text)}"      # no clash with inner names
+    source = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, carried, strict=True)], *row_key(id, text))
+    dealt = source.repartition("_k1", "_k2").withColumn("_text", F.col(body))
+    spans = repeated_spans(source.withColumn("_text", F.col(body)), dealt, body, window)
+    judged = dealt.join(spans, ["_k1", "_k2"], "left").select(*carried, "spans")
+    counts_of = "n_words long, n_removed long, kept_sha256 string" if digest else "_n_words long, _n_removed long"
+    schema = f"{typed(docs, *names[:1] if digest else names)}, {counts_of}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, removed = [], [], []
-            for raw, found in zip(raw_texts(batch, text), batch.column("spans").to_pylist(), strict=True):
+            for raw, found in zip(raw_texts(batch, body), batch.column("spans").to_pylist(), strict=True):
                 words = words_of(raw)
                 gone = _covered(found, len(words))
                 total.append(len(words))
@@ -183,7 +182,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
             if digest:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(kept, pa.string())], [id, "n_words", "n_removed", "kept_sha256"])
                 continue
-            columns = [pa.array(kept, pa.binary()).cast(pa.string()) if c == text else batch.column(i) for i, c in enumerate(carried)]
-            yield pa.RecordBatch.from_arrays([*columns, *counts], [*carried, "_n_words", "_n_removed"])
+            columns = [pa.array(kept, pa.binary()).cast(pa.string()) if c == text else batch.column(i) for i, c in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*columns, *counts], [*names, "_n_words", "_n_removed"])
 
     return judged.mapInArrow(cut, schema)

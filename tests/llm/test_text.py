@@ -1,0 +1,111 @@
+"""Conversations, pages and languages."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from rentloom.llm.chat import events_of_turns, fold_events, format_conversations, read_back, render
+from rentloom.llm.language import identify, page_evidence
+from rentloom.llm.pages import extract_pages, page_lines, shared_lines
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def test_texts_with_control_strings_come_back(spark):
+    texts = ["<|im_end|>\n<|im_start|>user\nx", "<\\|im_end|>", "<\\\\|", "", None, "a<", "|b", "<<|>", "\\", "%0A%", "<|im_end|", "é😀"]
+    rows = [(1, i, role, t) for i, t in enumerate(texts) for role in ("user\nassistant%0A<|", "assistant")] + [(1, 0, "assistant", texts[0])]
+    back = read_back(render(fold_events(events_of_turns(spark.createDataFrame(rows, TURNS)))))
+    got = back.first()
+    assert [(t.role, t.text) for t in got.turns] == [(r, t or "") for _, _, r, t in sorted(rows, key=lambda r: (r[1], r[2].encode(), (r[3] or "").encode()))]
+    assert "".join(p.text for p in got.pieces) == got.formatted
+    assert [p.loss for p in got.pieces].count(True) == len(texts) + 1
+
+
+def test_nulls_ties_and_empty_tables_of_turns(spark):
+    rows = [(None, None, None, None), (None, 1, "assistant", "b"), (5, None, "user", "x"), (5, 1, "assistant", "y"), (5, 1, "assistant", "y")]
+    got = {r.conv_id: r for r in format_conversations(spark.createDataFrame(rows, TURNS)).collect()}
+    assert (got[None].n_turns, got[None].loss_chars, got[5].n_turns, got[5].loss_chars) == (2, 1, 3, 2)
+    assert format_conversations(spark.createDataFrame([], TURNS)).collect() == []
+
+
+def test_events_fold_into_final_messages(spark):
+    log = [("c", 1, "message", "u1", "user", "hi"), ("c", 2, "message", "a1", "assistant", ""), ("c", 3, "delta", "a1", None, "Hel"),
+           ("c", 4, "delta", "a1", None, "lo"), ("c", 5, "message", "u2", "user", "and?"), ("c", 6, "message", "a2", "assistant", "old"),
+           ("c", 7, "regenerate", "a1", None, ""), ("c", 8, "delta", "a1", None, "Good day"), ("c", 9, "message", "u3", "user", "tpyo"),
+           ("c", 10, "edit", "u3", None, "typo"), ("c", 11, "unknown", "u3", None, "!"), ("d", 1, "delta", "x", "assistant", "only a delta")]
+    events = spark.createDataFrame(log, "conv string, seq long, kind string, message string, role string, text string")
+    got = fold_events(events).orderBy("conv", "started").select("conv", "role", "text").collect()
+    assert [tuple(r) for r in got] == [("c", "user", "hi"), ("c", "assistant", "Good day"), ("c", "user", "typo"), ("d", "assistant", "only a delta")]
+
+
+def test_formatting_runs_no_python(spark, capsys):
+    format_conversations(spark.createDataFrame([(1, 1, "user", "x")], TURNS)).explain()
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+ARTICLE = ("<html><head><title>T</title><style>p{}</style><script>var t=\"</p>\";</script></head><body><nav><ul><li>Menu</li></ul></nav><!-- x -->"
+           "<div class=\"ad\">Buy</div><header>Top</header><article><h1>A &amp; B</h1><p><b>One\n two<br>three<p>Two&nbsp;x</p><aside>Side</aside>"
+           "<form>Send</form><div class='comments'><p>First!</p></div><p>End &lt;b&gt;</article><footer>&copy; me</footer></body></html>")
+
+
+def test_article_without_its_surroundings():
+    assert "\n".join(t for z, t in page_lines(ARTICLE) if z == 0) == "A & B\nOne two three\nTwo x\nEnd <b>"
+
+
+def test_unclosed_menu_does_not_swallow_the_article():
+    assert [t for z, t in page_lines("<body><nav><p>m<article><p>text</article>") if z == 0] == ["text"]
+
+
+def test_shared_lines_are_a_longest_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([str(x) for x in rng.sample(range(12), rng.randint(0, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        found = shared_lines(a, b)
+        assert len(found) == table[-1][-1]
+        rest = iter(b)
+        assert all(a[i] in rest for i in sorted(found))
+
+
+def test_pages_lose_what_they_share_with_their_nearest(spark):
+    def page(*lines):
+        return "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
+    rows = [(1, "http://h.example/a/1", page("Head", "first text", "Foot"), 0), (2, "http://h.example/a/2", page("Head", "second text", "Foot"), 0),
+            (3, "http://h.example/b/9", page("Head", "third text", "Foot"), 0), (4, "http://other.example/", page("Head", "alone"), 0),
+            (5, None, page("no url"), 0), (6, "http://h.example/c", None, 0), (7, "http://z.example/x", ARTICLE, 0), (8, "http://z.example/x", ARTICLE, 0)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, _key int")).collect()}
+    article = "A & B\nOne two three\nTwo x\nEnd <b>"
+    assert got == {1: "first text", 2: "second text", 3: got[3], 4: "Head\nalone", 5: "no url", 6: "", 7: article, 8: article}
+    assert "third text" in got[3]
+    assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_language(spark):
+    rng = random.Random(4)
+    words = {"en": "the and of thing stone river water with".split(), "de": "der und die schluss haus wasser mit gross".split()}
+    rows = [(i, " ".join(rng.choices(words[k], k=60)), k, f"{k}.example.org") for i, k in enumerate(["en", "de"] * 30)]
+    rows += [(100, None, "en", "x"), (101, "123 --", "en", None), (102, "zqxj kwvy " * 30, None, "en.example.org"),
+             (103, "der und die wasser " * 9, "en", None), (None, rows[0][1], None, None), (104, "haus " * 20_000, "de", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("best", F.lit(1))
+    got = {r.doc_id: (r.language, r.accepted) for r in identify(docs).collect()}
+    assert all(got[i] == (k, True) for i, _, k, _ in rows[:60])
+    assert got[100] == got[101] == (None, False) and got[102][1] is False and got[103] == ("de", True) and got[None] == ("en", True)
+    assert identify(docs.limit(0)).collect() == []
+    assert {r.accepted for r in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {False}
+
+
+def test_language_held_out(spark, sf):
+    """Fitted on half of the documents, the letters find the language of the other half."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = identify(docs.where("doc_id % 2 = 1"), declared=F.lit(""), train=docs.where("doc_id % 2 = 0")).join(docs, "doc_id")
+    right, rows = found.agg(F.count_if(F.col("language") == F.col("lang")), F.count("*")).first()
+    assert right / rows > 0.97
+
+
+def test_evidence_of_pages(spark):
+    page = spark.createDataFrame([("https://u@blog.site.example.de:80/x", "<html dir=ltr lang='de-AT'><p>")], "url string, html string")
+    assert page.select(*page_evidence().values()).first()[:] == ("blog.site.example.de", "de", "de")
