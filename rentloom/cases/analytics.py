@@ -154,7 +154,7 @@ def fisher_ci(spark, sf):
 
 @case("significance_labels", f"""
 SELECT p, s, t, count(*) AS rows FROM (SELECT CASE WHEN l_discount / 2 < 0.001 THEN 'P < 0.001' WHEN l_discount / 2 < 0.01 THEN 'P < 0.01' WHEN l_discount / 2 < 0.05 THEN 'P < 0.05' ELSE '' END AS p,
-  CASE WHEN l_discount / 2 < 0.001 THEN 'P < 0.001 VERY SIGNIFICANT' WHEN l_discount / 2 < 0.01 THEN 'P < 0.01' WHEN l_discount / 2 < 0.05 THEN 'P < 0.05' ELSE 'NOT SIGNIFICANT' END AS t,
+  CASE WHEN l_discount / 2 < 0.001 THEN 'P < 0.001' || chr(10) || 'VERY SIGNIFICANT' WHEN l_discount / 2 < 0.01 THEN 'P < 0.01' WHEN l_discount / 2 < 0.05 THEN 'P < 0.05' ELSE 'NOT SIGNIFICANT' END AS t,
   {STRENGTH.format('(l_tax * -10)')} AS s FROM lineitem) GROUP BY ALL""")
 def significance_labels(spark, sf):
     p = F.col("l_discount") / 2

@@ -126,11 +126,15 @@ def similar_pairs(phrases: DataFrame, names: DataFrame, cutoff: int = S.FUZZY_CU
     all pairs: a name is cut in one more piece than the edits it may take, so a
     similar phrase holds at least one piece unchanged, shifted by no more than
     those edits. Pieces and equally long cuts of the phrases meet in an equi join.
+    With a low cutoff a name may take more edits than it has letters; such names
+    meet the phrases by length.
     """
     ratio = (200 - cutoff) / cutoff           # longest length a match can have, relative to the name
     size = F.length("name")
     longest = F.floor(size * F.lit(ratio) + F.lit(1e-9)).cast("int")
     cut = names.withColumn("_k", _max_distance(size, longest, cutoff)).withColumn("_w", F.floor(size / (F.col("_k") + 1)).cast("int"))
+    spans = F.sequence(F.greatest(F.lit(1), size - F.col("_k")), size + F.col("_k"))
+    short = cut.where("_w = 0").select("name", F.explode(spans).alias("_length"))
     cut = cut.where("_w > 0").select("name", "_k", "_w", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_i"))
     start = F.col("_i") * F.col("_w") + 1
     width = F.when(F.col("_i") == F.col("_k"), F.length("name") - start + 1).otherwise(F.col("_w"))
@@ -142,14 +146,17 @@ def similar_pairs(phrases: DataFrame, names: DataFrame, cutoff: int = S.FUZZY_CU
     spots = spots.select("phrase", "_pos", F.substring(text, F.col("_pos"), F.col("_w")).alias("_piece"))
     near = spots.join(pieces, "_piece").where(
         (F.abs(F.col("_pos") - F.col("_at")) <= F.col("_k")) & (F.abs(F.length("phrase") - F.length("name")) <= F.col("_k")))
-    near = near.select("phrase", "name").distinct()
+    by_length = phrases.select("phrase", F.length(text).alias("_length")).join(short, "_length")
+    near = near.select("phrase", "name").unionByName(by_length.select("phrase", "name")).distinct()
     both = F.length("phrase") + F.length("name")
     score = 100 * (1 - F.levenshtein("phrase", "name") / both)
     return near.withColumn("score", score).where(F.col("score") >= cutoff)
 
 
 def fuzzy_lookup(df: DataFrame, row_id: str, text: str, choices: DataFrame, choice: str, cutoff: int = S.FUZZY_CUTOFF) -> DataFrame:
-    """(row id, match): the first word that is a choice, else the best similar word or word pair, else ''.
+    """(row id, match): the first word that is a choice, else the best similar run of words, else ''.
+
+    Runs are as long as the choice with the most words, two at least.
 
     Exact words are found by an equi join. Only rows without one go on; their
     distinct phrases are compared once each, so a frequent phrase costs nothing.
@@ -161,8 +168,13 @@ def fuzzy_lookup(df: DataFrame, row_id: str, text: str, choices: DataFrame, choi
     exact = exact.groupBy(row_id).agg(F.min_by("name", "pos").alias("match"))
     rest = df.join(exact, row_id, "left_anti").select(row_id, F.col(f"`{text}`").alias("_t"))
     lower = F.transform(_title_words(F.col("_t")), lambda w: F.lower(w))
-    pairs = F.zip_with(lower, F.slice(lower, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
-    phrases = rest.select(row_id, F.explode(F.array_distinct(F.concat(lower, F.array_compact(pairs)))).alias("phrase"))
+    most = max(2, names.agg(F.max(F.size(F.split(F.trim("name"), r"\s+")))).first()[0] or 2)
+
+    def runs(k: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(lower) - k + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(lower, i, k), " "))
+
+    phrases = rest.where(F.size(lower) > 0).select(row_id, F.explode(F.array_distinct(F.concat(*map(runs, range(1, most + 1))))).alias("phrase"))
     lowered = names.groupBy(F.lower("name").alias("name")).agg(F.min("name").alias("_proper"))
     similar = similar_pairs(phrases.select("phrase").distinct(), lowered.select("name"), cutoff).join(lowered, "name")
     best = similar.groupBy("phrase").agg(

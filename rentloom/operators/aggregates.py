@@ -85,10 +85,14 @@ def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFram
 
 
 def group_count_column(df: DataFrame, keys: Sequence[str], name: str = "Count", counted: str | None = None) -> DataFrame:
-    """The group's count on every row: a small aggregate joined back, not a window over the group."""
+    """The group's count on every row: a small aggregate joined back, not a window over the group.
+
+    The groups meet on a struct of the keys, in which nulls are values like any other.
+    """
     count = F.count(counted) if counted else F.count(F.lit(1))
-    sizes = checkpointed(df.groupBy(*keys).agg(count.alias(name)))
-    return skew_join(df, sizes, keys, "inner")
+    tagged = df.withColumn("_group", F.struct(*keys))
+    sizes = checkpointed(tagged.groupBy("_group").agg(count.alias(name)))
+    return skew_join(tagged, sizes, ["_group"], "inner").drop("_group")
 
 
 def min_group_size(df: DataFrame, keys: Sequence[str], minimum: int) -> DataFrame:

@@ -48,12 +48,12 @@ def keys_per_address(listings: DataFrame, key: str = S.INDEX, address: str = S.A
 
 
 def reindex_addresses(addresses: DataFrame, listings: DataFrame, key: str = S.INDEX) -> DataFrame:
-    """One row per (address, row key); an address without listings keeps one row with a NULL key.
+    """One row per (address row, row key); an address row without listings keeps one row with a NULL key.
 
     Both sides are matched on the normalised text. The listings are the large,
-    possibly skewed side; the addresses are unique.
+    possibly skewed side; address rows that share a text all stay.
     """
-    known = addresses.drop(key).withColumn(S.ADDRESS, address_key(S.ADDRESS)).dropDuplicates([S.ADDRESS])
+    known = addresses.drop(key).withColumn(S.ADDRESS, address_key(S.ADDRESS))
     known = checkpointed(known)
     bridge = address_bridge(listings, key)
     matched = skew_join(bridge, known, [S.ADDRESS], "inner")

@@ -204,9 +204,11 @@ def dense_positions(df: DataFrame, order: str, tie: Sequence[str] = (), name: st
 
     Buckets of the order column are numbered independently and shifted, so no
     task ever holds more than one bucket. ``order`` should be (nearly) unique.
+    Rows without an order value come last, in a bucket of their own.
     """
     keyed = df.withColumn("_k", _as_number(F.col(order), dict(df.dtypes)[order]))
-    parts = _bucketed(keyed, "_k", _bucket_splits(keyed.select("_k"), "_k"))
+    known = _bucketed(keyed.where("_k IS NOT NULL"), "_k", _bucket_splits(keyed.select("_k"), "_k"))
+    parts = known.unionByName(keyed.where("_k IS NULL").withColumn("_bucket", F.lit(float("inf"))))
     offsets = _offsets(parts.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_t")))
     within = Window.partitionBy("_bucket").orderBy(order, *tie)
     pos = (F.col("_off") + F.row_number().over(within) - 1).cast("bigint")

@@ -7,6 +7,7 @@ the few result rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def significance_label(p: str | Column) -> Column:
 
 def posthoc_label(p: str | Column) -> Column:
     p = col(p)
-    return (F.when(p < 0.001, "P < 0.001 VERY SIGNIFICANT").when(p < 0.01, "P < 0.01").when(p < 0.05, "P < 0.05")
+    return (F.when(p < 0.001, "P < 0.001\nVERY SIGNIFICANT").when(p < 0.01, "P < 0.01").when(p < 0.05, "P < 0.05")
             .otherwise("NOT SIGNIFICANT"))
 
 
@@ -94,20 +95,29 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], binary: Sequence[s
 
     Pairs with a binary column use the point-biserial method, others ranks. All
     pairs come from two aggregates, one over the rows and one over ranked value
-    counts. ``n`` is the smaller count of non-missing cells.
+    counts. Every pair uses the rows in which both columns are present, and
+    ``n`` is their number; where a third column has gaps in them, the pair is
+    ranked on its own.
     """
     columns = list(columns)
     number = {c: F.col(f"`{c}`").cast("double") for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     is_binary = {(a, b): a in binary or b in binary for a, b in pairs}
     direct = [F.corr(number[a], number[b]).alias(f"c_{a}_{b}") for a, b in pairs if is_binary[a, b]]
-    sizes = [F.count(number[c]).alias(f"n_{c}") for c in columns]
+    present = {(a, b): number[a].isNotNull() & number[b].isNotNull() for a, b in pairs}
+    sizes = [F.count(number[c]).alias(f"n_{c}") for c in columns] + [F.count_if(both).alias(f"n_{a}_{b}") for (a, b), both in present.items()]
     figures = df.agg(*sizes, *direct)
     ranked_columns = sorted({c for p in pairs if not is_binary[p] for c in p}, key=columns.index)
     if ranked_columns:
         at = {c: f"_d{i}" for i, c in enumerate(ranked_columns)}
         ranked = _centred(_ranked_counts(df, ranked_columns), len(ranked_columns))
-        by_rank = ranked.agg(*[_weighted_corr(at[a], at[b]).alias(f"c_{a}_{b}") for a, b in pairs if not is_binary[a, b]])
+        by_pair = [(a, b) for a, b in pairs if not is_binary[a, b]]
+        whole = reduce(lambda x, y: x & y, (number[c].isNotNull() for c in ranked_columns))
+        complete, *each = df.agg(F.count_if(whole), *[F.count_if(present[pair]) for pair in by_pair]).first()
+        alike = [pair for pair, rows in zip(by_pair, each, strict=True) if rows == complete]
+        apart = {pair: spearman(df, *pair) for pair in by_pair if pair not in alike}
+        by_rank = ranked.agg(*[_weighted_corr(at[a], at[b]).alias(f"c_{a}_{b}") for a, b in alike], F.count(F.lit(1)).alias("_rows")).drop("_rows")
+        figures = figures.select("*", *[own.select("r").scalar().alias(f"c_{a}_{b}") for (a, b), own in apart.items()])
         figures = figures.select("*", *[by_rank.select(f"`{c}`").scalar().alias(c) for c in by_rank.columns])
     cells = []
     for a in columns:
@@ -118,7 +128,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], binary: Sequence[s
                 key = (a, b) if (a, b) in is_binary else (b, a)
                 r = F.col(f"`c_{key[0]}_{key[1]}`")
                 method = F.lit("point biserial" if is_binary[key] else "spearman")
-                n = F.least(F.col(f"`n_{a}`"), F.col(f"`n_{b}`"))
+                n = F.col(f"`n_{key[0]}_{key[1]}`")
             cells.append(F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), method.alias("method"), r.alias("r"), n.alias("n")))
     out = figures.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
     same = F.col("row") == F.col("col")
