@@ -162,11 +162,10 @@ def extract_street_number(spark, sf):
 
 
 @case("extract_building_last", f"""
-WITH {NORMAL}, input AS (SELECT id, text AS street, '' AS building FROM normal WHERE NOT contains(text, 'August')),
+WITH {NORMAL}, input AS (SELECT id, text AS street, '' AS building FROM normal),
 {_extract_sql('a', 'input', 'street', 'building', S.BUILDING, True)} SELECT id, street, building FROM a""")
 def extract_building_last(spark, sf):
     df = raw_addresses(spark, sf).select("id", T.normalize_address(S.ADDRESS).alias("street"), F.lit("").alias(S.BUILDING))
-    df = df.where(~F.col("street").contains("August"))
     return A.extract_component(df, "street", S.BUILDING, S.BUILDING_PATTERN, last=True).withColumnRenamed(S.BUILDING, "building")
 
 

@@ -13,7 +13,7 @@ from rentloom.operators import clusters as C
 from rentloom.operators import profile as P
 from rentloom.operators import stats as M
 from rentloom.operators.model import evaluate
-from rentloom.plans.reports import MONTHLY, duration_tests, named_reports, rank_matrix, rank_profiles, with_monthly_flag
+from rentloom.plans.reports import MONTHLY, duration_matrix, duration_tests, named_reports, rank_matrix, rank_profiles, with_monthly_flag
 
 PLACE = [S.PROVINCE, S.UNIT]
 
@@ -340,8 +340,8 @@ def report_rooms_duration_correlation(spark, sf):
     return _matrix(named_reports()["rooms_duration_correlation"](priced(spark, sf)))
 
 
-RANKED = f"""{LISTING}, v AS (SELECT price AS a, (id % 4)::DOUBLE AS b, (floor(price)::BIGINT % 3)::DOUBLE AS c, (area::BIGINT % 5)::DOUBLE AS d FROM listing),
-t AS (SELECT * FROM v WHERE b <> 0 AND c <> 0 AND d <> 0)"""
+RANKS_OF = f"""{LISTING}, v AS (SELECT price AS a, (id % 4)::DOUBLE AS b, (floor(price)::BIGINT % 3)::DOUBLE AS c, (area::BIGINT % 5)::DOUBLE AS d FROM listing)"""
+RANKED = f"{RANKS_OF}, t AS (SELECT * FROM v WHERE b <> 0 AND c <> 0 AND d <> 0)"
 
 
 @case("report_rank_correlations", _matrix_sql(RANKED, {S.MONTHLY_USD_PRICE: "a", "Amenities_Rank": "b", "Appliances_Rank": "c", "Parking_Rank": "d"}, []))
@@ -357,6 +357,28 @@ def report_rank_profile(spark, sf):
     return out.groupBy(F.col("Amenities_Rank").alias("x"), F.col("Count").alias("n"), "sort_key").agg(F.count(F.lit(1)).alias("rows"))
 
 
+_MEDIANS = "(SELECT x, count(*) AS n, median(price) AS m FROM {} GROUP BY 1 HAVING count(*) >= 50)"
+_RANK_STEPS = [("Amenities_Rank", "b", "b <> 0"), ("Parking_Rank", "d", "b <> 0 AND d <> 0"), ("Appliances_Rank", "c", "b <> 0 AND c <> 0 AND d <> 0")]
+
+
+@case("report_rank_profiles", f"WITH {RANKS_OF} " + " UNION ALL ".join(
+    f"SELECT '{name}' AS rank, x, n, n AS rows, row_number() OVER (ORDER BY m, x) AS sort_key FROM "
+    + _MEDIANS.format(f"(SELECT {c} AS x, a AS price FROM v WHERE {kept})") for name, c, kept in _RANK_STEPS))
+def report_rank_profiles(spark, sf):
+    """All three item ranks, each on the rows the one before kept."""
+    found = rank_profiles(priced(spark, sf), S.ROW_ID)
+    parts = [out.groupBy(F.lit(name).alias("rank"), F.col(name).alias("x"), F.col("Count").alias("n"), "sort_key").agg(F.count(F.lit(1)).alias("rows"))
+             for name, out in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@case("report_duration_matrix", _matrix_sql(
+    f"{LISTING}, t AS (SELECT rooms AS a, price AS b, (duration = 'Monthly')::INTEGER AS c FROM listing)",
+    {MONTHLY: "c", S.ROOMS: "a", S.MONTHLY_USD_PRICE: "b"}, [MONTHLY]))
+def report_duration_matrix(spark, sf):
+    return _matrix(duration_matrix(priced(spark, sf)))
+
+
 @case("bar_rows", f"""
 WITH {LISTING}, g AS (SELECT province || ' – ' || district AS place, median(price) AS m, stddev_samp(price) AS s, count(*) AS n FROM listing GROUP BY province, district)
 SELECT place, round(m, 4) AS mean_price, round(s, 4) AS std_price, n FROM g WHERE n >= 100 AND s IS NOT NULL""")

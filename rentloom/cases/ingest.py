@@ -166,6 +166,20 @@ def parse_dates_query(spark, sf):
     return parse_dates(cells, ["date"]).withColumn("date", F.col("date").cast("string"))
 
 
+MIXED_DATES = ["MMM d, yyyy", "d/M/yy", "d-MMM-yyyy", "yyyy.MM.dd", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'+04:00'"]
+
+
+@case("parse_dates_mixed", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 <> 7 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date FROM orders""")
+def parse_dates_mixed(spark, sf):
+    """Month names first, years of two digits, dots, no separators, clock times with a zone."""
+    text = F.when(F.lit(False), "")
+    for k, f in enumerate(MIXED_DATES):
+        text = text.when(F.col("o_orderkey") % 8 == k, F.date_format("o_orderdate", f))
+    cells = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), text.otherwise("later").alias("date"))
+    return parse_dates(cells, ["date"]).withColumn("date", F.col("date").cast("string"))
+
+
 FLAG_WORDS = ["", "False", "0", "Yes", "not available", "  "]
 
 

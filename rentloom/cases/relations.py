@@ -390,9 +390,10 @@ def check_model_keys(spark, sf):
     """All primary keys of the model; the total of broken keys must be 0."""
     keys = {S.PROVINCE: ["name"], S.TOWN: ["name"], S.RENOVATION: ["type"], S.CONSTRUCTION: ["type"], S.CURRENCY: ["code"],
             "Exchange Rate": ["Date", "Currency"], S.UNIT: ["name", "province"], "Listing": [S.ROW_ID], S.ADDRESS: [S.ROW_ID],
-            "Property": [S.ROW_ID], S.AMENITIES: ["type"], "Property_Amenities": ["Property_ID", "Amenities_type"]}
+            "Property": [S.ROW_ID], S.AMENITIES: ["type"], "Property_Amenities": ["Property_ID", "Amenities_type"],
+            **{t: k for family in (S.APPLIANCES, S.PARKING) for t, k in ((family, ["type"]), (f"Property_{family}", ["Property_ID", f"{family}_type"]))}}
     tables = _model(spark, sf)
-    counts = [R.check_keys(tables[t], k).agg(F.count(F.lit(1)).alias("n")) for t, k in keys.items()]
+    counts = [R.check_keys(tables[t], k).agg(F.count(F.lit(1)).alias("n")) for t, k in keys.items() if t in tables]
     total = counts[0]
     for c in counts[1:]:
         total = total.unionByName(c)

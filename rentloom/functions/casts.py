@@ -55,9 +55,13 @@ def parse_date(c: str | Column, formats: list[str] = DATE_FORMATS) -> Column:
     """Mixed-format, day-first date; the first format that reads the whole text wins.
 
     A format is only tried on text of its shape: a failed attempt costs far more
-    than a pattern test.
+    than a pattern test. Fractions of a second and a time zone behind a clock
+    time are left out: the date is the one that is written. Years of two digits
+    lie between 1969 and 2068.
     """
-    text = F.trim(col(c))
+    text = F.regexp_replace(F.trim(col(c)), r"(:\d{2})(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?$", "$1")
+    for years, century in (("69|[7-9]\\d", 19), ("[0-5]\\d|6[0-8]", 20)):
+        text = F.regexp_replace(text, rf"^(\d{{1,2}}[/.]\d{{1,2}}[/.])({years})$", f"$1{century}$2")
     return F.coalesce(*[F.when(text.rlike(_shape(f)), F.to_date(F.try_to_timestamp(text, F.lit(f)))) for f in formats])
 
 

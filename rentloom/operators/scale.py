@@ -18,7 +18,9 @@ from pyspark.sql.window import Window
 from rentloom.session import checkpointed
 
 BROADCAST_ROWS = 100_000
-HOT_SHARE = 1_000          # a key is hot when it holds over 1/1000 of the rows
+BROADCAST_BYTES = 64 << 20  # cells of a broadcast lookup, as counted before it is sent
+HOT_SHARE = 1_000           # a key is hot when it holds over 1/1000 of the rows
+HOT_ROWS = 10_000_000       # or over this many rows, whatever its share
 SKETCH_ACCURACY = 10_000    # rank error of percentile_approx is at most n / accuracy
 GRID = 500                  # sketched quantiles per group
 GRID_STEPS = 5              # a bracket spans at most this many grid steps
@@ -28,25 +30,45 @@ ROWS_PER_BUCKET = 1_000_000
 _GRID_POINTS = "array(" + ", ".join(f"{i / GRID}D" for i in range(GRID + 1)) + ")"
 
 
+def _bytes(df: DataFrame) -> Column:
+    """About the size of a row: texts by their length, nested cells by their JSON, others 16 bytes."""
+    sizes = [F.lit(16 * len(df.columns))]
+    for name, kind in df.dtypes:
+        cell = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(cell), F.lit(0)))
+        elif kind.startswith(("array", "struct", "map")):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(cell.alias("c")))), F.lit(0)))
+    return reduce(lambda a, b: a + b, sizes).cast("bigint")
+
+
+def fits_broadcast(lookup: DataFrame) -> bool:
+    """Whether a lookup is small in rows and in bytes; reads no more than the rows that decide it."""
+    rows, size = lookup.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_bytes(lookup)), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def skew_join(big: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", small: bool | None = None) -> DataFrame:
     """Join ``big`` to a ``lookup`` that is unique on ``on``, whatever the key skew.
 
-    A small lookup is broadcast after its rows were counted (``small`` tells the
-    outcome when the caller has counted). Otherwise keys that hold over 1/1000
-    of the rows are split off: there are under 1000 of them, so their lookup
-    rows are always few enough to broadcast. All other keys are small and go
-    through a plain shuffle join.
+    A small lookup is broadcast after its rows and bytes were counted (``small``
+    tells the outcome when the caller has counted). Otherwise both sides are
+    written once, and keys that hold over 1/1000 of the rows, or over HOT_ROWS,
+    are split off: there are at most 1000 plus one per HOT_ROWS rows of them, so
+    their lookup rows are few enough to broadcast. All other keys are small and
+    go through a plain shuffle join.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     on = list(on)
     if small is None:
-        small = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        small = fits_broadcast(lookup)
     if small:
         return big.join(F.broadcast(lookup), on, how)
+    big, lookup = checkpointed(big), checkpointed(lookup)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = big.agg(F.count(F.lit(1)).alias("_t")).scalar()
-    hot = checkpointed(counts.where(F.col("_n") * HOT_SHARE > total).drop("_n"))
+    least = min(big.count() // HOT_SHARE, HOT_ROWS)
+    hot = checkpointed(counts.where(F.col("_n") > least).drop("_n"))
     hot_keys = F.broadcast(hot)
     cold_part = big.join(hot_keys, on, "left_anti").join(lookup, on, how)
     hot_lookup = F.broadcast(lookup.join(hot_keys, on, "left_semi"))

@@ -34,10 +34,14 @@ def duration_boxes(df: DataFrame) -> dict[str, DataFrame]:
         "price": box_summary(flagged, [MONTHLY], S.MONTHLY_USD_PRICE),
         "rooms": box_summary(flagged, [MONTHLY], S.ROOMS),
         **duration_tests(df),
-        "matrix": correlation_matrix(flagged, [MONTHLY, S.ROOMS, S.MONTHLY_USD_PRICE], [MONTHLY]),
+        "matrix": duration_matrix(df),
     }
 
 
+def duration_matrix(df: DataFrame) -> DataFrame:
+    return correlation_matrix(with_monthly_flag(df), [MONTHLY, S.ROOMS, S.MONTHLY_USD_PRICE], [MONTHLY])
+
+
 RANKS = [S.FAMILY_RANK[f] for f in (S.AMENITIES, S.PARKING, S.APPLIANCES)]
 
 

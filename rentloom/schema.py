@@ -135,6 +135,8 @@ NA_TOKENS = [
 DATE_FORMATS = [
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd",
     "d/M/yyyy", "d.M.yyyy", "d-M-yyyy", "d/M/yyyy HH:mm", "d/M/yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy",
+    "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy", "yyyy.MM.dd", "yyyyMMdd", "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm",
 ]
 
 # --- fixed values: text patterns (Java syntax) --------------------------------

@@ -53,6 +53,9 @@ def test_majority_boundary(spark):
 def test_dates(spark):
     got = column(spark, casts.parse_date, ["2022-11-24", "24/11/2022", "03/04/2023", "soon", None, "1.2.2023"])
     assert got == [dt.date(2022, 11, 24), dt.date(2022, 11, 24), dt.date(2023, 4, 3), None, None, dt.date(2023, 2, 1)]
+    forms = ["Nov 24, 2022", "24/11/22", "24-Nov-2022", "2022.11.24", "20221124", "2022-11-24T23:30:00Z", "2022-11-24 10:00:00.5+04:00"]
+    assert column(spark, casts.parse_date, forms) == [dt.date(2022, 11, 24)] * len(forms)
+    assert column(spark, casts.parse_date, ["1/2/95", "1.2.68"]) == [dt.date(1995, 2, 1), dt.date(2068, 2, 1)]
 
 
 def test_monthly_usd(spark):

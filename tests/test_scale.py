@@ -56,6 +56,17 @@ def test_skew_join_splits_hot_keys(skewed, monkeypatch, how):
     assert sorted(map(tuple, got.select("id", "k", "name").collect())) == want
 
 
+def test_wide_lookups_are_not_broadcast(spark, skewed, monkeypatch, capsys):
+    lookup = skewed.select("k").distinct().withColumn("name", F.repeat("k", 1000))
+    assert scale.fits_broadcast(lookup)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 10_000)
+    assert not scale.fits_broadcast(lookup)
+    assert not scale.fits_broadcast(lookup.select(F.array("name").alias("names")))
+    monkeypatch.setattr(scale, "HOT_ROWS", 3)      # every key is hot
+    got = scale.skew_join(skewed, lookup, ["k"])
+    assert got.count() == skewed.count() and got.where("name IS NULL AND k IS NOT NULL").isEmpty()
+
+
 def test_average_ranks(skewed):
     pdf = skewed.toPandas()
     want = dict(zip(pdf["v"], pdf["v"].rank()))
