@@ -90,14 +90,20 @@ def _scores(names: list[str], model) -> object:
 
 
 def _shares(scored: DataFrame, unit: list[str], wider: DataFrame | None, languages: int) -> DataFrame:
-    """log P(language | unit) as an array per unit, smoothed towards the wider unit the unit lies in."""
+    """Shares of the languages as an array per unit, smoothed towards the wider unit the unit lies in.
+
+    Without a ``unit`` it is one row for the whole table; a table of one row is read as a value.
+    """
     counts = scored.where("best IS NOT NULL").groupBy(*unit, "best").count()
     per_unit = counts.groupBy(*unit).agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("best", "count"))).alias("by"))
     numbers = F.sequence(F.lit(0), F.lit(languages - 1))
     if wider is None:
         prior = F.transform(numbers, lambda i: F.lit(1.0 / languages))
-    else:
+    elif unit[:-1]:
         per_unit, prior = per_unit.join(wider, unit[:-1]), F.col("wide")
+    else:
+        per_unit = per_unit.withColumn("wide", wider.select("wide").scalar())
+        prior = F.col("wide")
     share = F.transform(numbers, lambda i: (F.coalesce(F.try_element_at("by", i), F.lit(0)) + SMOOTHING * F.get(prior, i)) / (F.col("total") + SMOOTHING))
     return per_unit.select(*unit, share.alias("wide"))
 
@@ -137,17 +143,17 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", label: str
         return scored.select(F.col("_id").alias(id), "_k1", "_k2", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), "triples",
                              F.lit(False).alias("accepted"))
     n = len(names)
-    everywhere = _shares(scored.withColumn("all", F.lit(0)), ["all"], None, n)
-    by_suffix = _shares(scored.withColumn("all", F.lit(0)), ["all", "suffix"], everywhere, n)
-    by_site = _shares(scored.withColumn("all", F.lit(0)), ["all", "suffix", "site"], by_suffix, n)
-    by_host = _shares(scored.withColumn("all", F.lit(0)), ["all", "suffix", "site", "host"], by_site, n)
+    everywhere = _shares(scored, [], None, n)
+    by_suffix = _shares(scored, ["suffix"], everywhere, n)
+    by_site = _shares(scored, ["suffix", "site"], by_suffix, n)
+    by_host = _shares(scored, ["suffix", "site", "host"], by_site, n)
     said = scored.where("best IS NOT NULL").groupBy("best", "declared").count()
     kinds = said.select("declared").distinct().count() + 1
     per_best = said.groupBy("best").agg(F.sum("count").alias("total"))
     trust = said.join(per_best, "best").groupBy("declared").agg(F.map_from_entries(F.collect_list(F.struct(
         "best", ((F.col("count") + 1) / (F.col("total") + kinds)).alias("p")))).alias("trust"))
     usual = scored.where("best IS NOT NULL").groupBy("best").agg(F.avg("mean").alias("usual"))
-    joined = (scored.join(by_host.drop("all"), ["suffix", "site", "host"], "left").join(trust, "declared", "left").join(F.broadcast(usual), "best", "left"))
+    joined = (scored.join(by_host, ["suffix", "site", "host"], "left").join(trust, "declared", "left").join(F.broadcast(usual), "best", "left"))
     log_posterior = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (
         F.get("likely", i) + F.log(F.coalesce(F.get("wide", i), F.lit(1.0 / n)))
         + F.log(F.coalesce(F.try_element_at("trust", i), F.lit(1.0 / (kinds + 1))))))
