@@ -169,3 +169,50 @@ def test_fingerprints_estimate_containment(spark, docs_of):
     inside, back, both = pair.select(containment(F.col("a"), F.col("b")), containment(F.col("b"), F.col("a")),
                                      containment(F.col("c"), merged(F.col("a"), F.col("c")))).first()
     assert inside > 0.95 and abs(back - 0.125) < 0.04 and both == 1.0
+
+
+def brute_roots(texts, like, width):
+    sets = [{tuple(w[p:p + min(width, len(w))]) for p in range(len(w) - min(width, len(w)) + 1)} for w in map(split, texts)]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            if 100 * shared >= like * (len(a) + len(sets[j]) - shared):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return [find(i) for i in range(len(sets))]
+
+
+def test_similar_documents_of_five_words_and_eighty_per_cent(docs_of):
+    """Copies on both sides of 0.80 and of 0.85, with short and with long prefixes."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(40):
+        words = [f"k{rng.randrange(10**6)}" for _ in range(240 if i % 2 else 700)]
+        at, gone = rng.randrange(len(words) // 2), round(len(words) * (0.06 + 0.002 * i))
+        texts += [" ".join(words), " ".join(words[:at] + [f"n{rng.randrange(10**6)}" for _ in range(gone)] + words[at + gone:])]
+    got = {r.doc_id: r.component_id for r in similar_documents(docs_of(list(enumerate(texts))), like=80, shingle=5).collect()}
+    want = brute_roots(texts, 80, 5)
+    assert [got[i] for i in range(len(texts))] == want
+    assert want != brute_roots(texts, 85, 5) and want != brute_roots(texts, 85, 4)
+
+
+def test_a_low_share_loses_no_links(docs_of):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(120):
+        both, *own = ([f"k{rng.randrange(10**6)}" for _ in range(n)] for n in (26, 194, 194))
+        texts += [" ".join(both + own[0]), " ".join(both + own[1])]
+    got = {r.doc_id: r.component_id for r in similar_documents(docs_of(list(enumerate(texts))), like=5).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_roots(texts, 5, 4) == [i - i % 2 for i in range(len(texts))]
+
+
+def test_limits_of_prefixes_follow_the_share():
+    assert shingle_links.prefix_limits(85) == (32, 4)
+    lengths = [shingle_links.prefix_limits(like)[0] for like in (95, 90, 85, 80, 70, 60)]
+    assert lengths == sorted(lengths) and shingle_links.prefix_limits(50) == (None, 1)
