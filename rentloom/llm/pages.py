@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.batches import typed
+from rentloom.llm.batches import row_key, stored, typed
 from rentloom.llm.neighbours import with_neighbours
 
 ARTICLE, OTHER = 0, 1
 EMITTED = 256
+TABLE_BITS = 1 << 28       # an alignment of more bits than this is halved
 
 # Fixed values of the markup language, and names that mark the parts of a page that are not its article.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
@@ -113,47 +114,117 @@ def page_lines(page: str) -> list[tuple[int, str]]:
     return lines
 
 
-def shared_lines(mine: list[str], other: list[str]) -> set[int]:
-    """Positions in ``mine`` of a longest common subsequence of both lists.
-
-    The k-th occurrence of a line stands for the k-th in the other list, so
-    every line has one partner at most and the longest common subsequence is a
-    longest increasing run of partners.
-    """
-    count: Counter = Counter()
-    places = {}
+def _vectors(mine: list[str], other: list[str]) -> Iterator[int]:
+    """After every line of ``mine``, the row of the table of common lengths: bit j is 0 where the length grows at other[j]."""
+    places: dict[str, list[int]] = {}
     for j, line in enumerate(other):
-        count[line] += 1
-        places[line, count[line]] = j
-    count.clear()
-    tails: list[int] = []          # smallest last partner of a run of each length
-    ends: list[int] = []           # position in mine of that end
-    back: dict[int, int | None] = {}
-    for i, line in enumerate(mine):
-        count[line] += 1
-        j = places.get((line, count[line]))
-        if j is None:
-            continue
-        k = bisect_left(tails, j)
-        back[i] = ends[k - 1] if k else None
-        if k == len(tails):
-            tails.append(j)
-            ends.append(i)
+        places.setdefault(line, []).append(j)
+    often: dict[str, int] = {}         # bits of lines with many places: few, so that they can be kept
+    full = (1 << len(other)) - 1
+    row = full
+    for line in mine:
+        bits = often.get(line)
+        if bits is None:
+            held = bytearray(len(other) // 8 + 1)
+            for j in places.get(line, ()):
+                held[j >> 3] |= 1 << (j & 7)
+            bits = int.from_bytes(held, "little")
+            if len(places.get(line, ())) > 64:
+                often[line] = bits
+        grown = row & bits
+        row = ((row + grown) | (row - grown)) & full
+        yield row
+
+
+def _lengths(mine: list[str], other: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of ``mine`` and every beginning of ``other``."""
+    row = 0
+    for row in _vectors(mine, other):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(other) // 8 + 1, "little"), np.uint8), bitorder="little")[:len(other)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _aligned(mine: list[str], other: list[str]) -> list[int]:
+    """Positions in ``mine`` of a longest common subsequence; large tables are halved, so memory is bounded."""
+    if not mine or not other:
+        return []
+    if len(mine) > 1 and len(mine) * len(other) > TABLE_BITS:
+        half = len(mine) // 2
+        cut = int((_lengths(mine[:half], other) + _lengths(mine[:half - 1:-1], other[::-1])[::-1]).argmax())
+        return _aligned(mine[:half], other[:cut]) + [half + i for i in _aligned(mine[half:], other[cut:])]
+    rows = [(1 << len(other)) - 1, *_vectors(mine, other)]
+    found, i, j = [], len(mine), len(other)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
         else:
-            tails[k], ends[k] = j, i
-    found, i = set(), ends[-1] if ends else None
-    while i is not None:
-        found.add(i)
-        i = back[i]
+            i, j = i - 1, j - 1
+            found.append(i)
     return found
 
 
-def main_text(lines: list[tuple[int, str]], near: list[tuple[int, str]] | None) -> str:
-    """The article lines of a page if its markup names an article; else the lines it does not share with ``near``."""
-    if any(zone == ARTICLE for zone, _ in lines):
-        return "\n".join(line for zone, line in lines if zone == ARTICLE)
-    shared = shared_lines([line for _, line in lines], [line for _, line in near]) if near else set()
-    return "\n".join(line for i, (_, line) in enumerate(lines) if i not in shared)
+def shared_lines(mine: list[str], other: list[str]) -> set[int]:
+    """Positions in ``mine`` of a longest common subsequence of both lists, lines that repeat included."""
+    least = min(len(mine), len(other))
+    low = next((i for i in range(least) if mine[i] != other[i]), least)
+    high = next((i for i in range(least - low) if mine[-1 - i] != other[-1 - i]), least - low)
+    rest = other[low:len(other) - high]
+    both = set(rest).intersection(mine[low:len(mine) - high])
+    at = [i for i in range(low, len(mine) - high) if mine[i] in both]
+    found = _aligned([mine[i] for i in at], [line for line in rest if line in both])
+    return {*range(low), *range(len(mine) - high, len(mine)), *(at[i] for i in found)}
+
+
+def content(lines: list[tuple[int, str]]) -> list[int]:
+    """Positions of the lines inside articles, of all lines if the markup names no article."""
+    return [i for i, (zone, _) in enumerate(lines) if zone == ARTICLE] or list(range(len(lines)))
+
+
+def main_text(lines: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -> str:
+    """The lines a page does not share with the first page of ``near`` that is another article.
+
+    The markup is a check of what the alignment leaves: lines outside a marked
+    article go too, and where the shared lines are all of a marked article, or
+    more than half of the longer of both, the other page is a version of it and
+    the next one is tried.
+    """
+    own = content(lines)
+    marked = bool(own) and lines[own[0]][0] == ARTICLE
+    mine = [line for _, line in lines]
+    size = sum(len(mine[i]) for i in own)
+    for page in near:
+        shared = shared_lines(mine, [line for _, line in page])
+        left = [i for i in own if i not in shared]
+        if marked:
+            longer = max(size, sum(len(page[i][1]) for i in content(page)))
+            if not left or 2 * (size - sum(len(mine[i]) for i in left)) > longer:
+                continue
+        return "\n".join(mine[i] for i in left)
+    return "\n".join(mine[i] for i in own)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest of the content of every page, null without any."""
+    for batch in batches:
+        digests = []
+        for body in batch.column("_page").to_pylist():
+            lines = page_lines(body)
+            digests.append(xxhash.xxh3_128_digest("\n".join(lines[i][1] for i in content(lines)).encode("utf-8", "replace")) if lines else None)
+        others = [n for n in batch.schema.names if n != "_page"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), pa.array(digests, pa.binary())], [*others, "content"])
+
+
+def _copies(picked: DataFrame) -> DataFrame:
+    """Rows (``_k1``, ``_k2``) whose content an earlier row of the same host has, with the key of the first such row, stored."""
+    narrow = picked.where("_key IS NOT NULL").select(F.substring_index("_key", "\x01", 1).alias("host"), "_key", "_id", "_k1", "_k2", "_page")
+    schema = f"host string, _key string, {typed(picked, '_id')}, _k1 long, _k2 long, content binary"
+    marks = stored(narrow.mapInArrow(_contents, schema).where("content IS NOT NULL").distinct(), "contents")
+    first = marks.groupBy("host", "content").agg(F.min(F.struct("_key", "_id", "_k1", "_k2")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    pairs = marks.join(first.where("rows > 1"), ["host", "content"]).select("_k1", "_k2", F.col("first._k1").alias("l1"), F.col("first._k2").alias("l2"))
+    return stored(pairs.where("_k1 != l1 OR _k2 != l2"), "copies")
 
 
 def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -162,58 +233,80 @@ def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", page:
     Pages are sorted by host and path; the page before or after on the same
     host whose path shares the longer beginning (the one after, if equal) is
     the nearest. The lines of both are aligned by their longest common
-    subsequence, and shared lines are deleted where the markup does not vouch
-    for them as part of an article. Equal URLs follow by id, then by html;
-    repeated rows are each other's nearest, so without an article nothing is
-    left of them. Pages without URL have no nearest page. Null and empty html
-    gives an empty text. One output row per input row; an empty table gives
-    none; other columns are not read. The pages are shuffled once; a task holds
-    three pages at a time.
+    subsequence and shared lines are deleted; see :func:`main_text` for what the
+    markup says afterwards. Pages of one host with the same content are one
+    page, at the first path, so copies are nobody's nearest: each gets the text
+    of the first. Equal URLs follow by id, then by html. Pages without URL have
+    no nearest page. Null and empty html gives an empty text. One output row
+    per input row; an empty table gives none; other columns are not read. The
+    pages are read twice and shuffled once, and again only where there are many
+    copies; a task holds three pages at a time.
     """
     host = F.regexp_extract(F.lower(F.col(url)), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
     path = F.regexp_replace(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?[^/?#]*", "")
     picked = pages.select(F.col(id).alias("_id"), F.col(url).alias("_url"), F.coalesce(F.col(page), F.lit("")).alias("_page"),
                           F.when(F.col(url).isNotNull(), F.concat(host, F.lit("\x01"), path)).alias("_key"))
-    ordered = with_neighbours(picked, "_key", "_id", "_page").select("_id", "_url", "_page", "_key", "_bucket", "_copy")
-    schema = f"{typed(picked, '_id').replace('_id', id)}, {typed(picked, '_url').replace('_url', url)}, text string, n_chars long"
+    picked = picked.select("*", *row_key("_id", "_url", "_page"))
+    copies = _copies(picked)
+    if copies.isEmpty():
+        return _differences(picked).select(F.col("_id").alias(id), F.col("_url").alias(url), "text", "n_chars")
+    texts = stored(_differences(picked.join(copies, ["_k1", "_k2"], "left_anti")), "texts")
+    firsts = texts.join(copies.select(F.col("l1").alias("_k1"), F.col("l2").alias("_k2")).distinct(), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    firsts = firsts.select(F.col("_k1").alias("l1"), F.col("_k2").alias("l2"), "text", "n_chars")
+    copied = picked.select("_id", "_url", "_k1", "_k2").join(copies, ["_k1", "_k2"]).join(firsts, ["l1", "l2"])
+    columns = [F.col("_id").alias(id), F.col("_url").alias(url), "text", "n_chars"]
+    return texts.select(*columns).unionByName(copied.select(*columns))
+
+
+def _differences(picked: DataFrame) -> DataFrame:
+    """Main text of pages, of which only repeated rows have the same content on one host."""
+    ordered = with_neighbours(picked, "_key", "_id", "_page").select("_id", "_url", "_k1", "_k2", "_page", "_key", "_bucket", "_copy")
+    schema = f"{typed(picked, '_id', '_url')}, _k1 long, _k2 long, text string, n_chars long"
 
-    def nearest(key: str, before: tuple | None, after: tuple | None) -> list | None:
-        host_ = key.split("\x01", 1)[0] + "\x01"
-        best, length = None, -1
-        for other in (after, before):
-            if other and other[0].startswith(host_) and (n := len(commonprefix([key, other[0]]))) > length:
-                best, length = other[1], n
-        return best
+    def by_nearness(key: str, others: tuple) -> list[list]:
+        host = key.split("\x01", 1)[0] + "\x01"
+        there = [o for o in others if o and o[0].startswith(host)]
+        return [o[1] for o in sorted(there, key=lambda o: -len(commonprefix([key, o[0]])))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        before = here = None      # (key, lines, bucket, copy, id, url)
-
-        def emit(row: tuple, previous: tuple | None, following: tuple | None) -> None:
-            found = main_text(row[1], nearest(row[0], previous, following) if row[0] is not None else None)
-            out.append((row[4], row[5], found, len(found)))
+        before = here = None      # (key, lines, bucket, content); rows that repeat are counted
+        pending: list[list] = []  # [number, row] of the rows here
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
             out.clear()
-            kinds = (types[0], types[1], pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [id, url, "text", "n_chars"])
+            kinds = (*types, pa.int64(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                                              ["_id", "_url", "_k1", "_k2", "text", "n_chars"])
+
+        def emit(following: tuple | None) -> Iterator[pa.RecordBatch]:
+            if pending:
+                found = main_text(here[1], by_nearness(here[0], (following, before)) if here[0] is not None else [])
+                for times, row in pending:
+                    for _ in range(times):
+                        out.append((*row, found, len(found)))
+                        if len(out) >= EMITTED:
+                            yield flush()
+                pending.clear()
 
         types = None
         for batch in batches:
             types = batch.schema.field("_id").type, batch.schema.field("_url").type
-            for key, address, body, full, bucket, copy in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                row = (full, page_lines(body), bucket, copy, key, address)
-                if full is None:
-                    emit(row, None, None)
-                else:
-                    if here is not None and here[2] != bucket:
-                        before = here = None
-                    if here is not None and here[3] == 0:
-                        emit(here, before, row)
-                    before, here = here, row
-                if len(out) >= EMITTED:
-                    yield flush()
+            for *row, body, key, bucket, copy in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                lines = page_lines(body)
+                same = key and (key.split("\x01", 1)[0], [lines[i] for i in content(lines)])
+                if key is None or here is None or here[2] != bucket or here[3] != same or not lines:
+                    inside = key is not None and here is not None and here[2] == bucket
+                    now = key, lines, bucket, same
+                    yield from emit(now if inside else None)
+                    before, here = here if inside else None, now
+                if copy == 0:
+                    if pending and pending[-1][1] == row:
+                        pending[-1][0] += 1
+                    else:
+                        pending.append([1, row])
+        yield from emit(None)
         if out:
             yield flush()
 

@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from rentloom.llm import pages
 from rentloom.llm.chat import events_of_turns, fold_events, format_conversations, read_back, render
 from rentloom.llm.language import identify, page_evidence
 from rentloom.llm.pages import extract_pages, page_lines, shared_lines
@@ -109,3 +111,42 @@ def test_language_held_out(spark, sf):
 def test_evidence_of_pages(spark):
     page = spark.createDataFrame([("https://u@blog.site.example.de:80/x", "<html dir=ltr lang='de-AT'><p>")], "url string, html string")
     assert page.select(*page_evidence().values()).first()[:] == ("blog.site.example.de", "de", "de")
+
+
+def common_length(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 8])
+def test_repeated_lines_are_aligned(monkeypatch, bits):
+    monkeypatch.setattr(pages, "TABLE_BITS", bits)      # 8: every table is halved
+    assert len(shared_lines(["m", "a", "m"], ["a", "m"])) == 2
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        found = shared_lines(a, b)
+        assert len(found) == common_length(a, b)
+        rest = iter(b)
+        assert all(a[i] in rest for i in sorted(found))
+    assert len(shared_lines(["x"] * 3000 + ["y"], ["y"] + ["x"] * 2000)) == 2000
+
+
+def test_articles_lose_shared_lines_and_copies_keep_theirs(spark):
+    def page(*lines, marked=False):
+        inner = "".join(f"<div>{x}</div>" for x in lines)
+        return f"<body><article>{inner}</article><div>Out {lines[0]}</div></body>" if marked else f"<body>{inner}</body>"
+    first, second = "the text of the first article " * 3, "what the second one says " * 3
+    rows = [(1, "http://m.example/a/1", page("Share this", first, marked=True)), (2, "http://m.example/a/2", page("Share this", second, marked=True)),
+            (3, "http://m.example/a/2?x", page("Share this", second, "one line more", marked=True)),
+            *[(i, f"http://c.example/p/{i}", page("Head", first, "Head", "Foot")) for i in (11, 12, 13)],
+            (14, "http://c.example/p/14", page("Head", second, "Foot")), (14, "http://c.example/p/14", page("Head", second, "Foot")),
+            (20, "http://alone.example/", page("Head", "alone")), (20, "http://alone.example/", page("Head", "alone"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in extract_pages(frame).collect())
+    one, two = first.strip(), second.strip()
+    assert got == [(1, one), (2, two), (3, f"Share this\n{two}\none line more"), *[(i, f"{one}\nHead") for i in (11, 12, 13)],
+                   (14, two), (14, two), (20, "Head\nalone"), (20, "Head\nalone")]
