@@ -29,26 +29,41 @@ select svg template textarea title video""".split())
 MARKS = frozenset("""ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies
 disclaimer footer header login menu nav navbar navigation newsletter notice notification popup promo promotion related replies share
 sharing sidebar social sponsor sponsored subscribe toolbar widget""".split())
+CONTAINERS = frozenset("center details div dl fieldset ol section table ul".split())
 ROLES = frozenset("banner complementary contentinfo dialog form menu menubar navigation search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style")
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)
     |<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.IGNORECASE | re.DOTALL | re.VERBOSE)
-_NAMED = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-_SPLIT = re.compile(r"[^a-z]+")
+_NAMED = re.compile(r"class|id|role|hidden", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_PARTS = re.compile(r"[-_]+")
 
 
-def _is_chrome(name: str, rest: str) -> bool:
-    if name in CHROME:
+def _attributes(rest: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name, with lower-case values; the first of a name counts."""
+    found: dict[str, str] = {}
+    if _NAMED.search(rest):
+        for name, *values in _ATTRIBUTE.findall(rest):
+            found.setdefault(name.lower(), "".join(values).lower())
+    return found
+
+
+def _marked(token: str) -> bool:
+    """Whether a name consists of marks only, as ``cookie-notice`` does and ``ad-hoc`` does not."""
+    return MARKS.issuperset(_PARTS.split(token))
+
+
+def _is_chrome(name: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is no part of an article; ids inside an article name its sections and say nothing."""
+    if name in CHROME or "hidden" in attributes:
+        return True
+    if not ROLES.isdisjoint(attributes.get("role", "").split()[:1]):
         return True
-    if not rest or "=" not in rest and "hidden" not in rest:
+    if name not in CONTAINERS:
         return False
-    for key, *values in _NAMED.findall(rest):
-        value = "".join(values).lower()
-        if key.lower() == "hidden" or (value in ROLES if key.lower() == "role" else not MARKS.isdisjoint(_SPLIT.split(value))):
-            return True
-    return False
+    return any(map(_marked, attributes.get("class", "").split())) or not in_article and _marked(attributes.get("id", "").strip())
 
 
 def page_lines(page: str) -> list[tuple[int, str]]:
@@ -99,12 +114,13 @@ def page_lines(page: str) -> list[tuple[int, str]]:
                     _, was_chrome, was_article = stack.pop()
                     chrome -= was_chrome
                     article -= was_article
-            starts = name in ("article", "main") or 'role="main"' in token["rest"]
+            attributes = _attributes(token["rest"])
+            starts = name in ("article", "main") or attributes.get("role") == "main"
             if starts and chrome and not any(s[0] in ("article", "main") for s in stack):
                 # An element left open before the article does not swallow it.
                 stack = [(n, False, a) for n, _, a in stack]
                 chrome = 0
-            hides = not starts and _is_chrome(name, token["rest"])
+            hides = not starts and _is_chrome(name, attributes, article > 0)
             stack.append((name, hides, starts))
             chrome += hides
             article += starts

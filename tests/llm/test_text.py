@@ -150,3 +150,19 @@ def test_articles_lose_shared_lines_and_copies_keep_theirs(spark):
     one, two = first.strip(), second.strip()
     assert got == [(1, one), (2, two), (3, f"Share this\n{two}\none line more"), *[(i, f"{one}\nHead") for i in (11, 12, 13)],
                    (14, two), (14, two), (20, "Head\nalone"), (20, "Head\nalone")]
+
+
+@pytest.mark.parametrize("kept", [
+    '<a href="/the-hidden-valley">x</a>', '<p title="hidden gems">x</p>', '<p aria-hidden="false">x</p>', "<div data-hidden>x</div>",
+    '<h2 id="login">x</h2>', '<section id="related-work">x</section>', '<section id="notice">x</section>', '<p class="ad-hoc">x</p>',
+    '<div class="has-sidebar">x</div>', '<div data-class="ad" data-role="menu">x</div>', '<p title="a class=ad b">x</p>'])
+def test_attributes_that_hide_nothing(kept):
+    assert page_lines(f"<article>{kept}</article>") == [(0, "x")]
+
+
+@pytest.mark.parametrize("gone", [
+    "<p hidden>x</p>", '<p class=a HIDDEN="">x</p>', "<div class='main ad'>x</div>", '<div class="cookie-notice">x</div>', "<p role=navigation>x</p>",
+    "<section class=related>x</section>"])
+def test_attributes_that_hide(gone):
+    assert page_lines(f"<article>{gone}</article>") == []
+    assert page_lines('<div id="sidebar">x</div><div class="has-sidebar">y</div>') == [(1, "y")]
