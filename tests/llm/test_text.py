@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rentloom.llm import pages
+from rentloom.llm import language, pages
 from rentloom.llm.chat import events_of_turns, fold_events, format_conversations, read_back, render
 from rentloom.llm.language import identify, page_evidence
 from rentloom.llm.pages import extract_pages, page_lines, shared_lines
@@ -166,3 +166,19 @@ def test_attributes_that_hide_nothing(kept):
 def test_attributes_that_hide(gone):
     assert page_lines(f"<article>{gone}</article>") == []
     assert page_lines('<div id="sidebar">x</div><div class="has-sidebar">y</div>') == [(1, "y")]
+
+
+@pytest.mark.parametrize("block", [128, 2])
+def test_rare_languages_stay(spark, monkeypatch, block):
+    """Two labels on one row in 3000 each; two to a block, the model has two blocks."""
+    monkeypatch.setattr(language, "BLOCK", block)
+    rng = random.Random(3)
+    words = {"en": "the and of thing stone river water with".split(), "fi": "talo vesi joki kivi suuri pieni".split(),
+             "cy": "dwfr llyn mynydd cwm ffordd ysgol".split()}
+    rows = [(i, " ".join(rng.choices(words["en"], k=30)), "en", "h") for i in range(3000)]
+    rows += [(4000 + i, " ".join(rng.choices(words[k], k=60)), k, "h") for i, k in enumerate(("fi", "cy"))]
+    rows += [(5000, "zqxj kwvy " * 30, "en", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = {r.doc_id: (r.language, r.accepted) for r in identify(docs).collect()}
+    assert got[4000] == ("fi", True) and got[4001] == ("cy", True) and got[5000][1] is False
+    assert len(got) == len(rows) and all(got[i] == ("en", True) for i in range(3000))
