@@ -10,7 +10,7 @@ import pytest
 from rentloom.llm import decontaminate, shingle_links
 from rentloom.llm.components import components
 from rentloom.llm.decontaminate import contamination
-from rentloom.llm.fingerprints import containment, fingerprints, merged
+from rentloom.llm.fingerprints import containment, fingerprints, merged, short_text_containment
 from rentloom.llm.repeated_spans import remove_repeats
 from rentloom.llm.shingle_links import similar_documents
 
@@ -216,3 +216,34 @@ def test_limits_of_prefixes_follow_the_share():
     assert shingle_links.prefix_limits(85) == (32, 4)
     lengths = [shingle_links.prefix_limits(like)[0] for like in (95, 90, 85, 80, 70, 60)]
     assert lengths == sorted(lengths) and shingle_links.prefix_limits(50) == (None, 1)
+
+
+def test_short_texts_inside_long_ones(spark, docs_of):
+    from pyspark.sql import functions as F
+    rng = random.Random(12)
+    words = [f"t{rng.randrange(10**6)}" for _ in range(2000)]
+    shorts = {10 + i: words[40 * i:40 * i + n] for i, n in enumerate((1, 3, 5, 8, 10, 10, 10, 12, 20, 20))}
+    half = words[500:509] + [f"u{i}" for i in range(5)]                # 5 of 10 shingles
+    docs = docs_of([(1, " ".join(words)), (9, " ".join(half)), *((i, " ".join(w)) for i, w in shorts.items())])
+    prints = {r.doc_id: r.fingerprint for r in fingerprints(docs).collect()}
+    got = {(r.doc_id, r.other_id): r.containment for r in short_text_containment(docs, docs.where("doc_id = 1")).collect()}
+    assert got == {(9, 1): 0.5, **{(i, 1): 1.0 for i in shorts}}
+    pairs = spark.createDataFrame([(prints[i], prints[1], prints[9]) for i in shorts], "a string, b string, c string")
+    for row in pairs.select(containment(F.col("a"), F.col("b")).alias("inside"), containment(F.col("a"), F.col("c")).alias("apart"),
+                            containment(F.col("a"), merged(F.col("a"), F.col("c"))).alias("both"),
+                            (F.substring_index(merged(F.col("a"), F.col("b")), "+", 1) == F.col("b")).alias("same"), "b").collect():
+        assert row.inside in (None, 1.0) and (row.apart, row.both, row.same) == (0.0, 1.0, True)
+    assert "+" not in prints[1] and all(int(h, 16) < 2**61 for h in re.findall("[0-9a-f]{16}", prints[1]))
+
+
+def test_edited_short_texts_are_compared_exactly(docs_of):
+    rows = [(1, "a b c d e f g h i j " * 2 + "k l m n o p q r s t"), (2, "one two three four five six seven eight nine ten")]
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[p:p + 5]) for p in range(len(w) - 4)}
+    for row in fingerprints(docs_of(rows)).collect():
+        text, following = dict(rows)[row.doc_id], dict(rows)[3 - row.doc_id]
+        half = len(text) // 2
+        a, b = shingles(text), shingles(text[:len(text) - half] + following[:half])
+        assert row.near_edited == pytest.approx(len(a & b) / len(a | b)) and 0 < row.near_edited < 1
