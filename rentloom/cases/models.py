@@ -12,11 +12,10 @@ from rentloom.cases.tables import LISTING, listings, table
 from rentloom.functions.casts import flag_equals
 from rentloom.operators import clusters as C
 from rentloom.operators import model as N
-from rentloom.plans.modelling import explain_cluster, run_model
+from rentloom.plans.modelling import explain_clusters, run_model
 
 CATEGORICALS = [S.UNIT, S.CONSTRUCTION, S.STREET]
 NUMERICS = ["Monthly", S.ROOMS, S.FLOOR_AREA]
-ROUNDS = 20   # boosting rounds of the registered runs; the operator's own default is 200
 
 
 def features(spark, sf) -> DataFrame:
@@ -27,7 +26,7 @@ def features(spark, sf) -> DataFrame:
 
 
 def _run(spark, sf):
-    return run_model(features(spark, sf), S.ROW_ID, S.MONTHLY_USD_PRICE, CATEGORICALS, NUMERICS, rounds=ROUNDS)
+    return run_model(features(spark, sf), S.ROW_ID, S.MONTHLY_USD_PRICE, CATEGORICALS, NUMERICS)
 
 
 @case("feature_vectors", f"""
@@ -77,8 +76,7 @@ def model_metrics(spark, sf):
 
 @case("shapley_importance")
 def shapley_importance(spark, sf):
-    run = _run(spark, sf)
-    return N.global_importance(explain_cluster(run, S.ROW_ID, min(run.models), permutations=2))
+    return N.global_importance(explain_clusters(_run(spark, sf), S.ROW_ID), "Cluster")
 
 
 @case("cluster_embeddings", "SELECT count(*) AS rows, 10::BIGINT AS clusters FROM embeddings")

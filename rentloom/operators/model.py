@@ -150,8 +150,8 @@ def shapley_importance(df: DataFrame, row_id: str, columns: Sequence[str], score
         F.avg("g.gain").alias("attribution"))
 
 
-def global_importance(attributions: DataFrame) -> DataFrame:
-    return attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"))
+def global_importance(attributions: DataFrame, *groups: str) -> DataFrame:
+    return attributions.groupBy(*groups, "feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"))
 
 
 def clean_feature_label(name: str, columns: Sequence[str]) -> str:

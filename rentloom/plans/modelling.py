@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -55,3 +56,9 @@ def explain_cluster(run: ModelRun, row_id: str, group: int, permutations: int =
     rows = run.predictions.where(F.col("Cluster") == group)
     background = background_rows(run.train.where(F.col("Cluster") == group), row_id, columns, seed=seed)
     return shapley_importance(rows, row_id, columns, score, background, permutations, seed)
+
+
+def explain_clusters(run: ModelRun, row_id: str, permutations: int = 4, seed: int = 42) -> DataFrame:
+    """Attributions of the test rows of every cluster with a model, with their ``Cluster``."""
+    parts = [explain_cluster(run, row_id, g, permutations, seed).withColumn("Cluster", F.lit(g)) for g in sorted(run.models)]
+    return reduce(DataFrame.unionByName, parts)

@@ -12,8 +12,9 @@ from rentloom.operators import model as N
 from rentloom.operators import relational as R
 from rentloom.operators import replies as P
 from rentloom.operators import stats as M
+from rentloom.plans import modelling
 from rentloom.plans.cleaning import add_features, clean_listings
-from rentloom.plans.modelling import explain_cluster, run_model
+from rentloom.plans.modelling import ModelRun, explain_cluster, run_model
 
 
 def test_ledger_accounts_for_every_row(spark, sf):
@@ -173,3 +174,21 @@ def test_unknown_category_encodes_to_zeros(spark):
     got = [r[0] for r in encoder.transform(spark.createDataFrame([("z", 3.0), ("b", 3.0)], "c string, x double")).select(vector_to_array("features")).collect()]
     assert got == [[0.0, 0.0, 0.0], [0.0, 1.0, 0.0]]
     assert encoder.names == ["a", "b", "x"]
+
+
+def test_registered_models_use_the_defaults_and_explain_every_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from rentloom.cases import models
+    rows = spark.createDataFrame([(i, float(i), i % 3) for i in range(30)], f"`{S.ROW_ID}` long, a double, Cluster int")
+    pipeline = SimpleNamespace(categoricals=[], numerics=["a"], transform=lambda df: df)
+    score = {g: SimpleNamespace(transform=lambda df, g=g: df.withColumn("_pred", (g + 1) * F.col("a"))) for g in range(3)}
+    run = ModelRun(rows, None, score, pipeline, rows)
+    calls, explained = [], []
+    monkeypatch.setattr(models, "features", lambda spark, sf: None)
+    monkeypatch.setattr(models, "run_model", lambda *args, **options: calls.append(options) or run)
+    whole = modelling.shapley_importance
+    monkeypatch.setattr(modelling, "shapley_importance", lambda *args: explained.append(args[5]) or whole(*args))
+    got = models.shapley_importance(spark, "").collect()
+    assert sorted((r.Cluster, r.feature) for r in got) == [(0, "a"), (1, "a"), (2, "a")] and all(r.mean_abs > 0 for r in got)
+    assert calls == [{}] and explained == [4, 4, 4]
