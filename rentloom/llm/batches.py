@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,20 @@ def raw_texts(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.large_binary()).to_pylist()
 
 
+def bounded(batches: Iterator[pa.RecordBatch], name: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices whose texts hold at most ``limit`` bytes together, or one longer text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
+        start = held = 0
+        for i, size in enumerate(sizes):
+            if held and held + size > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if start < len(sizes):
+            yield batch.slice(start)
+
+
 def words_of(raw: bytes | None) -> list[bytes]:
     """Words between ASCII white space, unchanged; none for null."""
     return raw.split() if raw else []

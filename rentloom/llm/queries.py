@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentloom.llm.chat import format_conversations
+from rentloom.llm.collocations import collocations
+from rentloom.llm.compressed_quality import classify_quality
 from rentloom.llm.decontaminate import contamination
 from rentloom.llm.fingerprints import fingerprints
 from rentloom.llm.language import identify, page_evidence
 from rentloom.llm.pages import extract_pages
 from rentloom.llm.piece_codec import round_trip
+from rentloom.llm.ranked_search import ranked_search
 from rentloom.llm.repeated_spans import remove_repeats
 from rentloom.llm.shingle_links import similar_documents
 from rentloom.llm.token_counts import token_counts
@@ -87,6 +90,18 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(table(spark, folder, "pages"))
 
 
+def op11_compressed_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_chat_format": op2_chat_format,
@@ -99,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_records": op8_token_records,
     "op9_token_counts": op9_token_counts,
     "op10_main_text": op10_main_text,
+    "op11_compressed_quality": op11_compressed_quality,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_collocations": op13_collocations,
 }
 
 _CONTAMINATION = r"""
@@ -146,6 +164,43 @@ _LINKS = r"""
     lows AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
     SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM lows LEFT JOIN n USING (doc_id)"""
 
+_SEARCH = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    totals AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS nw FROM d WHERE len(w) > 0),
+    postings AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY ALL),
+    asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+    weights AS (SELECT t, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w
+                FROM postings, totals WHERE t IN (SELECT t FROM asked) GROUP BY t, nd),
+    norms AS (SELECT doc_id, 10 + (90 * len(w) * nd) // nw AS m FROM d, totals WHERE len(w) > 0),
+    scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+               FROM asked JOIN weights USING (t) JOIN postings USING (t) JOIN norms USING (doc_id) GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= 10"""
+
+_PHRASES = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS p FROM worded),
+    total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+    grams AS (SELECT lang, array_to_string(w[p:p + size - 1], ' ') AS phrase, size, count(*) AS f
+              FROM places, range(1, 6) s(size) WHERE p + size - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+    cuts AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM grams WHERE size > 1),
+    scored AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, n,
+                      ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+               FROM cuts c JOIN total USING (lang) JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+               JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (SELECT DISTINCT lang, array_to_string(w[p:p + m - 1], ' ') AS phrase, a
+               FROM (SELECT lang, w, size, a, unnest(range(1, size)) AS p FROM (SELECT DISTINCT lang, w, size, a FROM cuts)), range(2, 5) t(m)
+               WHERE m < size AND p + m - 1 <= size)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM lowest WHERE NOT EXISTS (SELECT 1 FROM longer g WHERE g.lang = lowest.lang AND g.phrase = lowest.phrase AND g.a >= lowest.a)
+    QUALIFY rank <= 2000"""
+
 #: Twins in SQL, for the queries that SQL can express.
 SQL: dict[str, str] = {
     "op2_chat_format": r"""
@@ -166,4 +221,6 @@ SQL: dict[str, str] = {
     "op4_decontamination": _CONTAMINATION,
     "op6_repeated_spans": _REPEATS,
     "op7_shingle_links": _LINKS,
+    "op12_ranked_search": _SEARCH,
+    "op13_collocations": _PHRASES,
 }
