@@ -1,7 +1,7 @@
 """Phrases whose words stand together more often than chance, per language.
 
 Counts come from suffixes: every place of a text points to the words that
-follow it. Words and word pairs that are too rare end a suffix. The suffixes
+follow it. Words, pairs and triples that are too rare end a suffix. The suffixes
 are routed by their leading words, and each task sorts its own with a multikey
 three-way quicksort, where the sizes of the equal parts are the counts.
 """
@@ -19,11 +19,12 @@ from pyspark.sql.window import Window
 
 from rentloom.llm.batches import bounded, raw_texts, stored
 from rentloom.llm.hashing import BASES, mix
+from rentloom.operators.scale import skew_join
 
 LONGEST = 5                 # words of a phrase
 LEAST = 100                 # occurrences of a candidate
 FIRST = 2000                # phrases returned per language
-FILTER_BITS = 24            # a filter has 2**24 bits, 2 MB, whatever the corpus
+FILTER_BITS = 26            # a filter has 2**26 bits, 8 MB, whatever the corpus
 BUCKET_ROWS = 250_000       # suffixes sorted by one task at a time
 SLICE_BYTES = 8 << 20       # text handled at a time in a task
 _STOP = b"."
@@ -31,49 +32,49 @@ _CUT = bytes(0x2E if b in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if b == 9 else b +
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
+class Numbers(dict):
+    """Numbers words in the order of their first use; 0 is the end of a piece."""
+
+    def __init__(self) -> None:
+        super().__init__({_STOP: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Slice:
     """The words of some texts as numbers, 0 between pieces and between texts, and the language of every place."""
 
     def __init__(self, batch: pa.RecordBatch) -> None:
-        numbers, runs, kinds = {_STOP: 0}, [], []
-        self.langs = sorted({k for k in batch.column("_lang").to_pylist()})
+        numbers, runs, langs = Numbers(), [], batch.column("_lang").to_pylist()
+        self.langs = sorted(set(langs))
         of_lang = {k: i for i, k in enumerate(self.langs)}
-        for raw, lang in zip(raw_texts(batch, "_text"), batch.column("_lang").to_pylist(), strict=True):
+        for raw in raw_texts(batch, "_text"):
             words = (raw or b"").translate(_CUT).replace(_STOP, b" . ").split()
             words.append(_STOP)
-            for word in set(words):
-                numbers.setdefault(word, len(numbers))
             runs.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-            kinds.append(np.full(len(words), of_lang[lang]))
         self.words = list(numbers)
-        self.codes, self.lang = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (runs, kinds))
+        self.codes = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+        self.lang = np.repeat([of_lang[k] for k in langs], [len(r) for r in runs]).astype(np.int64)
 
     def word_hashes(self) -> np.ndarray:
         """Hash of every place's word and language."""
         plain = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        return word_hash(plain[self.codes], _lang_hashes(self.langs)[self.lang])
-
-
-def _lang_hashes(langs: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k.encode()) for k in langs), np.uint64, len(langs))
-
-
-def word_hash(word: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    return mix(word ^ mix(lang))
+        langs = mix(np.fromiter((xxhash.xxh3_64_intdigest(k.encode()) for k in self.langs), np.uint64, len(self.langs)))
+        return mix(plain[self.codes] ^ langs[self.lang])
 
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def joined_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(BASES[0]) + second * np.uint64(BASES[1]))
 
 
 class Filter:
     """A set of hashes as a bitmap of fixed size: never misses a member, may take others for one."""
 
-    def __init__(self, rows: list[tuple[int, int]]) -> None:
+    def __init__(self, at: np.ndarray, bits: np.ndarray) -> None:
         self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        if rows:
-            at, bits = np.array(rows, np.int64).T
-            self.bits[at] = bits.view(np.uint64) if bits.flags.c_contiguous else np.ascontiguousarray(bits).view(np.uint64)
+        self.bits[at] = bits
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         slots = hashes & np.uint64((1 << FILTER_BITS) - 1)
@@ -81,64 +82,75 @@ class Filter:
 
     @classmethod
     def of(cls, hashes: DataFrame) -> Filter:
-        """From a column ``h``; the driver gets at most 2**18 numbers."""
-        slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        """From a column ``h``; the driver gets at most 2**FILTER_BITS bits."""
+        slot = F.col("h").cast("long").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
         bits = hashes.select(F.shiftright(slot, 6).alias("at"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-        words = bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-        return cls([(r["at"], r["bits"]) for r in words.collect()])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in bounded(batches, "_text", SLICE_BYTES):
-        s = Slice(batch)
-        size = len(s.words)
-        keys, counts = np.unique((s.lang * size + s.codes)[s.codes > 0], return_counts=True)
-        words = [s.words[c] for c in (keys % size).tolist()]
-        plain = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        hashes = word_hash(plain, _lang_hashes(s.langs)[keys // size]) if len(words) else plain
-        yield pa.RecordBatch.from_arrays([
-            pa.array([s.langs[k] for k in (keys // size).tolist()], pa.string()), pa.array(words, pa.binary()), pa.array(hashes.view(np.int64)),
-            pa.array(counts, pa.int64())], ["lang", "phrase", "h", "f"])
-
-
-def _count_pairs(frequent):
-    """Hashes of the pairs of two frequent words, with their counts."""
+        words = bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+        return cls(words["at"].to_numpy(), words["bits"].to_numpy().view(np.uint64))
+
+
+class Frequent:
+    """Which words, pairs and triples of a slice can be frequent, as far as their filters are known."""
+
+    def __init__(self, part: Slice, filters: list[Filter]) -> None:
+        hashes = [part.word_hashes()]
+        there = [part.codes > 0]
+        for size in range(1, 4):
+            if size > 1:
+                shorter = there[-1]
+                both = shorter[:-1] & shorter[1:]
+                value = np.zeros(len(both), np.uint64)
+                value[both] = joined_hash(hashes[-1][:-1][both], hashes[0][size - 1:][both])
+                hashes.append(value)
+                there.append(both)
+            if size > len(filters):
+                break
+            there[-1][there[-1]] = filters[size - 1](hashes[-1][there[-1]])
+        self.hashes, self.there = hashes, there
+
+
+def _count_hashes(filters: list):
+    """Hashes of the words, pairs or triples whose parts can all be frequent, with their counts.
+
+    32 bits of them will do: they only choose what the next pass looks at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [f.value for f in filters]
         for batch in bounded(batches, "_text", SLICE_BYTES):
-            s = Slice(batch)
-            hashes = s.word_hashes()
-            usable = (s.codes > 0) & frequent.value(hashes)
-            both = usable[:-1] & usable[1:]
-            pairs, counts = np.unique(pair_hash(hashes[:-1][both], hashes[1:][both]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(counts, pa.int64())], ["h", "f"])
+            frequent = Frequent(Slice(batch), known)
+            hashes, counts = np.unique(frequent.hashes[-1][frequent.there[-1]].astype(np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int32)), pa.array(counts, pa.int64())], ["h", "f"])
 
     return run
 
 
-def _suffixes(frequent, pairs):
-    """Different suffixes of frequent pairs, each a row of up to LONGEST words, with their counts."""
+def _suffixes(filters: list):
+    """Different suffixes of frequent words, each a row of up to LONGEST words, with their counts; without words, all words of a language.
+
+    A suffix ends before the word that makes a pair or a triple rare.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [f.value for f in filters]
         for batch in bounded(batches, "_text", SLICE_BYTES):
             s = Slice(batch)
-            hashes = s.word_hashes()
-            usable = (s.codes > 0) & frequent.value(hashes)
-            joined = usable[:-1] & usable[1:]
-            joined[joined] = pairs.value(pair_hash(hashes[:-1][joined], hashes[1:][joined]))
-            joined = np.concatenate([joined, np.zeros(LONGEST, bool)])
-            start = np.flatnonzero(joined)
-            rows, going = np.full((len(start), LONGEST + 1), -1), np.ones(len(start), bool)
+            word, pair, triple = (np.append(x, np.zeros(LONGEST, bool)) for x in Frequent(s, known).there)
+            start = np.flatnonzero(word)
+            rows, going = np.full((len(start), LONGEST + 1), len(s.words)), np.ones(len(start), bool)
             rows[:, 0], rows[:, 1] = s.lang[start], s.codes[start]
             for i in range(1, LONGEST):
-                going = going & joined[start + i - 1]
+                going = going & (pair[start] if i == 1 else triple[start + i - 2])
                 rows[going, i + 1] = s.codes[start[going] + i]
             order = np.lexsort(rows.T[::-1])
             rows = rows[order]
-            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.zeros(0, bool)
+            new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1)) if len(rows) else np.zeros(0, bool)
             counts = np.diff(np.append(np.flatnonzero(new), len(rows)))
-            names = pa.array([*s.words, None], pa.binary())      # -1 takes the last: no word
-            rows = np.where(rows[new] < 0, len(s.words), rows[new])
+            totals = np.bincount(s.lang[s.codes > 0], minlength=len(s.langs))
+            no_words = np.full((len(totals), LONGEST + 1), len(s.words))
+            no_words[:, 0] = np.arange(len(totals))
+            rows, counts = np.concatenate([rows[new], no_words]), np.append(counts, totals)
+            names = pa.array([*s.words, None], pa.binary())
             yield pa.RecordBatch.from_arrays([
                 pa.array(s.langs, pa.string()).take(pa.array(rows[:, 0])), *(names.take(pa.array(rows[:, i])) for i in range(1, LONGEST + 1)),
                 pa.array(counts, pa.int64())], ["lang", *_WORDS, "c"])
@@ -226,31 +238,32 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     """Phrases of 1 to LONGEST words with at least ``least`` occurrences: ``lang``, ``phrase``, ``words``, ``f``, and ``n`` words of the language.
 
     Occurrences are counted within pieces, overlaps included. Three passes over
-    the texts: words, pairs of frequent words, suffixes of frequent pairs. What
-    is frequent reaches the tasks as a bitmap of fixed size; a hash that two
-    share lets a rare one pass, which the counts, over the words themselves,
-    then drop. All counts combine before their shuffles, so a text that stands
-    in a third of all rows is a few rows per task.
+    the texts find which words, pairs and triples can be frequent, by counting
+    hashes; that reaches the tasks of the next pass as a bitmap of fixed size.
+    A hash that two share lets a rare one pass, which the counts, over the words
+    themselves, then drop. The fourth pass makes the suffixes. All counts
+    combine before their shuffles, so a text that stands in a third of all rows
+    is a few rows per task.
     """
     spark = docs.sparkSession
     picked = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("_lang"), F.col(text).alias("_text"))
-    words = picked.mapInArrow(_count_words, "lang string, phrase binary, h long, f long")
-    words = stored(words.groupBy("lang", "phrase", "h").agg(F.sum("f").alias("f")), "words")
-    total = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    common = words.where(F.col("f") >= least)
-    frequent = spark.sparkContext.broadcast(Filter.of(common))
-    pairs = picked.mapInArrow(_count_pairs(frequent), "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    frequent_pairs = spark.sparkContext.broadcast(Filter.of(pairs))
-    suffixes = picked.mapInArrow(_suffixes(frequent, frequent_pairs), f"lang string, {', '.join(f'{w} binary' for w in _WORDS)}, c long")
+    filters: list = []
+    for _ in ("words", "pairs", "triples"):
+        counts = picked.mapInArrow(_count_hashes(list(filters)), "h int, f long").groupBy("h").agg(F.sum("f").alias("f"))
+        filters.append(spark.sparkContext.broadcast(Filter.of(counts.where(F.col("f") >= least))))
+    suffixes = picked.mapInArrow(_suffixes(filters), f"lang string, {', '.join(f'{w} binary' for w in _WORDS)}, c long")
     suffixes = stored(suffixes.groupBy("lang", *_WORDS).agg(F.sum("c").alias("c")), "suffixes")
-    routed, counted = _routed(suffixes, least, bucket_rows)
-    buckets = -(-suffixes.count() // bucket_rows) or 1
+    total = suffixes.where("w1 IS NULL").select("lang", F.col("c").alias("n"))
+    words = suffixes.where("w1 IS NOT NULL").groupBy("lang", F.col("w1").alias("phrase")).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    pointers = suffixes.where("w2 IS NOT NULL")
+    routed, counted = _routed(pointers, least, bucket_rows)
+    buckets = -(-pointers.count() // bucket_rows) or 1
     lead: Column = F.xxhash64("lang", *[F.when(F.col("route") >= i, F.col(w)) for i, w in enumerate(_WORDS, 1)])
     dealt = routed.withColumn("bucket", F.pmod(lead, F.lit(buckets))).repartition(buckets, "bucket").groupBy("bucket")
     sorted_ = dealt.applyInArrow(_sorted_bucket(least), "lang string, phrase binary, words int, f long")
-    found = _union([common.select("lang", "phrase", F.lit(1).alias("words"), "f"), sorted_, *counted])
+    found = _union([words.select("lang", "phrase", F.lit(1).alias("words"), "f"), sorted_, *counted])
     found = found.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f")
-    return stored(found.join(total, "lang").select("lang", "phrase", "words", "f", "n"), "phrases")
+    return stored(skew_join(found, total, ["lang"], "inner").select("lang", "phrase", "words", "f", "n"), "phrases")
 
 
 def _part(words: Column, start: Column, length: Column) -> Column:
