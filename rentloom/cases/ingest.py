@@ -15,6 +15,7 @@ from rentloom.operators.quality import (
 from rentloom.operators.lists import rank_score
 from rentloom.operators.relational import null_blanks
 from rentloom.session import new_shared_path
+from rentloom.sources.csv_splits import read_split_csv
 from rentloom.sources.listings import (
     align_by_position, assign_row_key, bool_default, drop_pii, majority_types, numeric_cast, numeric_shares,
     parse_dates, rank_defaults, read_listings, rename_headers, stack, string_cast, truthy_encode,
@@ -37,6 +38,16 @@ def read_listings_csv(spark, sf):
     return numeric_cast(raw, numeric).withColumn("id", F.col("id").cast("bigint")).select("id", "name", "segment", "balance")
 
 
+@case("read_multiline_csv", "SELECT doc_id, lang, n_chars, md5(coalesce(text, '')) AS text FROM documents")
+def read_multiline_csv(spark, sf):
+    """Texts with line breaks, commas and quotes in their cells, from files read in splits."""
+    path = new_shared_path(spark, "csv")
+    table(spark, sf, "documents").select("doc_id", "lang", "n_chars", "text").write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_split_csv(spark, path).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.col("n_chars").cast("bigint").alias("n_chars"), F.md5(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 @case("read_rates_json", f"WITH {RATES} SELECT CAST(date AS VARCHAR) AS date, currency, rate FROM rates")
 def read_rates_json(spark, sf):
     days = rates(spark, sf).groupBy("Date").agg(F.map_from_entries(F.collect_list(F.struct("Currency", "USD"))).alias("m"))

@@ -12,15 +12,17 @@ from rentloom.functions.casts import (
 )
 from rentloom.operators.scale import dense_positions, scan_positions
 from rentloom.schema import HEADERS, NA_TOKENS, NUMERIC_SHARE
+from rentloom.sources.csv_splits import read_split_csv
 
 
 def read_listings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with a header; every column is text, missing-value words become NULL.
 
-    Cells may hold line breaks, so a file is one split. Data known to have none
-    can be read with ``multi_line=False``, which splits large files.
+    Cells may hold line breaks; files are split all the same, at the cost of a
+    second pass that finds which line breaks are inside quotes. Data known to
+    have none can be read with ``multi_line=False`` in one pass.
     """
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', encoding="UTF-8", inferSchema=False)
+    raw = read_split_csv(spark, path) if multi_line else spark.read.csv(path, header=True, escape='"', encoding="UTF-8", inferSchema=False)
     return raw.select(*[F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
 
 
