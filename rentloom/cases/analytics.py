@@ -10,6 +10,7 @@ from rentloom.cases.registry import case
 from rentloom.cases.tables import LISTING, listings, table
 from rentloom.functions.geo import boxes_at, distance_km, place_label
 from rentloom.operators import clusters as C
+from rentloom.operators import spellings
 from rentloom.operators import profile as P
 from rentloom.operators import stats as M
 from rentloom.operators.model import evaluate
@@ -420,6 +421,38 @@ def infer_city(spark, sf):
     return C.infer_city(df).select("id", F.col(S.TOWN).alias("town"))
 
 
+MISSPELT = """names AS (SELECT DISTINCT p_name AS name, p_partkey % 4 AS kind, 2 + p_partkey % 5 AS pos FROM part),
+t AS (SELECT DISTINCT CASE kind WHEN 0 THEN name WHEN 1 THEN left(name, pos::INTEGER) || substr(name, pos::INTEGER + 2)
+      WHEN 2 THEN left(name, pos::INTEGER) || 'x' || substr(name, pos::INTEGER + 1) ELSE left(name, pos::INTEGER) || 'z' || substr(name, pos::INTEGER + 2) END AS t FROM names),
+padded AS (SELECT t, ' ' || lower(t) || ' ' AS p FROM t),
+g AS (SELECT DISTINCT t, substr(p, i, 3) AS g FROM (SELECT t, p, unnest(range(1, greatest(length(p) - 2, 1) + 1)) AS i FROM padded)),
+n AS (SELECT t, count(*) AS n FROM g GROUP BY 1),
+alike AS (SELECT x.t AS a, y.t AS b, count(*) AS i FROM g x JOIN g y ON x.g = y.g AND x.t < y.t GROUP BY 1, 2),
+links AS (SELECT a, b, i / (p.n + q.n - i) AS likeness FROM alike JOIN n p ON p.t = a JOIN n q ON q.t = b WHERE i / (p.n + q.n - i) >= 0.6)"""
+
+
+def _misspelt(spark, sf) -> DataFrame:
+    """Part names with a letter left out, put in or replaced."""
+    p, at, name = table(spark, sf, "part"), (2 + F.col("p_partkey") % 5).cast("int"), F.col("p_name")
+    rest = F.substring(name, at + 2, F.lit(99))
+    kind = F.col("p_partkey") % 4
+    return p.select(F.when(kind == 0, name).when(kind == 1, F.concat(F.left(name, at), rest)).when(
+        kind == 2, F.concat(F.left(name, at), F.lit("x"), F.substring(name, at + 1, F.lit(99)))).otherwise(F.concat(F.left(name, at), F.lit("z"), rest)).alias("t"))
+
+
+@case("spelling_links", f"WITH {MISSPELT} SELECT a, b, round(likeness, 6) AS likeness FROM links")
+def spelling_links(spark, sf):
+    return spellings.spelling_links(_misspelt(spark, sf), "t").withColumn("likeness", F.round("likeness", 6))
+
+
+@case("spelling_clusters", f"""
+WITH RECURSIVE {MISSPELT}, ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT t AS x, t AS y FROM t UNION SELECT x, b FROM reach JOIN ways ON y = a)
+SELECT x AS text, min(y) AS cluster FROM reach GROUP BY 1""")
+def spelling_clusters(spark, sf):
+    return spellings.spelling_clusters(_misspelt(spark, sf).distinct(), "t").select(F.col("t").alias("text"), "cluster")
+
+
 @case("simplified_address", f"""
 WITH {LISTING} SELECT id, concat_ws(', ', CASE WHEN id % 3 <> 0 THEN street WHEN id % 2 = 0 THEN province END, district) AS address FROM listing""")
 def simplified_address(spark, sf):

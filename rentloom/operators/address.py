@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -227,34 +228,109 @@ def select_untranslated(df: DataFrame, text: str = S.ADDRESS) -> DataFrame:
     return df.select(text).where(non_ascii_flag(text)).distinct()
 
 
-def pack_batches(df: DataFrame, text: str, items: int = S.BATCH_ITEMS, size: int = S.BATCH_BYTES) -> DataFrame:
-    """Greedy batches limited by item count and JSON bytes: (part, batch_no, texts).
+def _weights(texts: Sequence[str]) -> list[int]:
+    return [len(json.dumps(t, ensure_ascii=False).encode("utf-8")) for t in texts]
+
+
+def _range_summary(items: int, size: int):
+    """What a range of texts does to the batch that is open when it is entered, one row per way to enter it.
 
-    Every partition packs its own rows in text order and holds one batch at a
-    time. A text over the byte limit goes alone.
+    An open batch takes fewer than ``items`` texts of the range before a new one
+    begins, so that is how many places there are where the range's first new
+    batch can begin. For each the row has the bytes before it and of its first
+    text, the batches begun from there on, and for the last of them its texts,
+    its bytes and how many texts that go alone came before it. ``place`` -1 is a
+    range without other texts.
     """
+    columns = ["part", "place", "before", "first", "items", "used", "begun", "alone_at", "alone"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights, total, alone = [], 0, 0
+        count, used, begun, alone_at = (np.zeros(items, np.int64) for _ in range(4))     # one entry per place; those in use come first
+        for frame in frames:
+            for weight in _weights(frame["_t"]):
+                if weight > size:
+                    alone += 1
+                    continue
+                n = len(weights)
+                full = (count[:n] >= items) | (used[:n] + weight > size)
+                count[:n] = np.where(full, 1, count[:n] + 1)
+                used[:n] = np.where(full, weight, used[:n] + weight)
+                begun[:n] += full
+                alone_at[:n] = np.where(full, alone, alone_at[:n])
+                if n < items:
+                    count[n], used[n], begun[n], alone_at[n] = 1, weight, 1, alone
+                    weights.append(weight)
+        part, n = TaskContext.get().partitionId(), len(weights)
+        if not n:
+            yield pd.DataFrame([(part, -1, 0, 0, 0, 0, 0, 0, alone)], columns=columns)
+            return
+        before = np.cumsum(weights) - weights
+        yield pd.DataFrame(dict(zip(columns, (part, np.arange(n), before, weights, count[:n], used[:n], begun[:n], alone_at[:n], alone), strict=True)))
+
+    return run
+
+
+def _entries(rows: Sequence, items: int, size: int) -> dict[int, tuple[int, int, int, int]]:
+    """For every range: texts, bytes and number of the batch that is open when it is entered, and the next number."""
+    by_part: dict[int, list] = {}
+    for row in sorted(rows, key=lambda r: (r["part"], r["place"])):
+        by_part.setdefault(row["part"], []).append(row)
+    entries, count, used, own, number = {}, 0, 0, -1, 0
+    for part, ways in by_part.items():
+        entries[part] = (count, used, own, number)
+        alone = ways[0]["alone"]
+        ways = [r for r in ways if r["place"] >= 0]
+        new = next((r for r in ways if not count or count + r["place"] >= items or used + r["before"] + r["first"] > size), None)
+        if new is not None:
+            count, used, own = new["items"], new["used"], number + new["begun"] - 1 + new["alone_at"]
+            number += new["begun"]
+        elif ways:                  # the whole range goes into the batch that is open
+            count, used = count + len(ways), used + ways[-1]["before"] + ways[-1]["first"]
+        number += alone
+    return entries
+
+
+def pack_batches(df: DataFrame, text: str, items: int = S.BATCH_ITEMS, size: int = S.BATCH_BYTES) -> DataFrame:
+    """Greedy batches of the sorted texts, limited by item count and JSON bytes: (batch_no, texts).
+
+    A text over the byte limit goes alone. The batches are those of one packer
+    that walks over all texts, whatever the partitions are: ranges of the sorted
+    texts are summed up by what they do to any batch they may be entered with,
+    the summaries are chained, then all ranges are packed side by side and a
+    batch that reaches over a border is put together. Batches are numbered from
+    0 in the order of their first texts; missing texts are left out and equal
+    ones may lie in several ranges. The driver gets at most ``items`` rows of a
+    range.
+    """
+    texts = df.select(F.col(text).alias("_t")).where("_t IS NOT NULL").withColumn("_s", F.monotonically_increasing_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = checkpointed(texts.repartitionByRange(parts, "_t", "_s").sortWithinPartitions("_t", "_s").select("_t"))
+    summary = ranges.mapInPandas(_range_summary(items, size), ", ".join(
+        f"{c} long" for c in ("part", "place", "before", "first", "items", "used", "begun", "alone_at", "alone")))
+    entries = _entries(summary.collect(), items, size)
+
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        batch, used, number = [], 0, 0
-        ready: list[list[str]] = []
+        count, used, own, number = entries.get(part, (0, 0, -1, 0))
+        held: list[str] = []
         for frame in frames:
-            for value in frame[text]:
-                weight = len(json.dumps(value, ensure_ascii=False).encode("utf-8"))
+            ready = []
+            for value, weight in zip(frame["_t"], _weights(frame["_t"]), strict=True):
                 if weight > size:
-                    ready.append([value])
-                elif batch and (len(batch) >= items or used + weight > size):
-                    ready.append(batch)
-                    batch, used = [value], weight
+                    ready.append((number, part, [value]))
+                    number += 1
+                elif not count or count >= items or used + weight > size:
+                    if held:
+                        ready.append((own, part, held))
+                    own, number = number, number + 1
+                    count, used, held = 1, weight, [value]
                 else:
-                    batch.append(value)
-                    used += weight
-            if ready:
-                numbers = range(number, number + len(ready))
-                yield pd.DataFrame({"part": part, "batch_no": list(numbers), "texts": ready})
-                number += len(ready)
-                ready = []
-        if batch:
-            yield pd.DataFrame({"part": [part], "batch_no": [number], "texts": [batch]})
-
-    ordered = df.select(text).where(F.col(text).isNotNull()).sortWithinPartitions(text)
-    return ordered.mapInPandas(pack, "part int, batch_no int, texts array<string>")
+                    count, used = count + 1, used + weight
+                    held.append(value)
+            yield pd.DataFrame(ready, columns=["batch_no", "part", "texts"])
+        yield pd.DataFrame([(own, part, held)] if held else [], columns=["batch_no", "part", "texts"])
+
+    packed = ranges.mapInPandas(pack, "batch_no long, part int, texts array<string>")
+    joined = packed.groupBy("batch_no").agg(F.sort_array(F.collect_list(F.struct("part", "texts"))).alias("_p"))
+    return joined.select("batch_no", F.flatten(F.transform("_p", lambda p: p["texts"])).alias("texts"))

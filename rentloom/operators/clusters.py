@@ -28,27 +28,53 @@ def fill_coordinates(df: DataFrame, street: str = S.STREET, town: str = S.TOWN,
     return out.withColumns({lat: F.coalesce(F.col(lat), F.col("_lat")), lon: F.coalesce(F.col(lon), F.col("_lon"))}).drop("_lat", "_lon")
 
 
-def infer_city(df: DataFrame, town: str = S.TOWN, lat: str = S.LATITUDE, lon: str = S.LONGITUDE, cell: float = 0.1) -> DataFrame:
-    """A missing town is the one whose coordinate range holds the point; the smallest range, then the name, decides.
+LEVELS = 40                 # cells of level k are WORLD / 2**k degrees wide
+WORLD = 512.0
 
-    Ranges are spread over grid cells, one look-up row per cell, so the range
-    test is an equi join on the point's cell.
-    """
+
+def _box_level(height: Column, width: Column) -> Column:
+    """The finest level whose cells are no smaller than the box, so that it lies in at most four of them."""
+    extent = F.greatest(height, width)
+    level = F.floor(F.log2(F.lit(WORLD) / F.greatest(extent, F.lit(WORLD / 2 ** LEVELS))))
+    exact = level - F.when(WORLD / F.pow(F.lit(2.0), level) < extent, 1).otherwise(0)      # the logarithm may round up
+    return F.least(exact, F.lit(LEVELS)).cast("int")
+
+
+def _cell(c: str | Column, level: Column) -> Column:
+    return F.floor((F.col(c) if isinstance(c, str) else c) * F.pow(F.lit(2.0), level) / WORLD)
+
+
+def city_boxes(df: DataFrame, town: str = S.TOWN, lat: str = S.LATITUDE, lon: str = S.LONGITUDE) -> DataFrame:
+    """Coordinate range of every town, once per cell: at most four rows a town, however wide it is."""
     ranges = df.where(~blank(town)).groupBy(F.col(town).alias("_town")).agg(
         F.min(lat).alias("a0"), F.max(lat).alias("a1"), F.min(lon).alias("o0"), F.max(lon).alias("o1")).dropna()
     area = ((F.col("a1") - F.col("a0")) * (F.col("o1") - F.col("o0"))).alias("area")
+    level = _box_level(F.col("a1") - F.col("a0"), F.col("o1") - F.col("o0")).alias("_level")
 
     def cells(low: str, high: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
-
-    spread = ranges.select("*", area).select("*", cells("a0", "a1").alias("_cy")).select("*", cells("o0", "o1").alias("_cx"))
-    lookup = spread.groupBy("_cy", "_cx").agg(
-        F.sort_array(F.collect_list(F.struct("area", "_town", "a0", "a1", "o0", "o1"))).alias("_boxes"))
-    keyed = df.withColumns({"_cy": F.floor(F.col(lat) / cell), "_cx": F.floor(F.col(lon) / cell)})
-    out = skew_join(keyed, checkpointed(lookup), ["_cy", "_cx"])
-    holds = F.filter("_boxes", lambda b: F.col(lat).between(b["a0"], b["a1"]) & F.col(lon).between(b["o0"], b["o1"]))
-    found = F.try_element_at(holds, F.lit(1))["_town"]
-    return out.withColumn(town, F.coalesce(filled(town), found)).drop("_cy", "_cx", "_boxes")
+        return F.explode(F.sequence(_cell(low, F.col("_level")), _cell(high, F.col("_level"))))
+
+    return ranges.select("*", area, level).select("*", cells("a0", "a1").alias("_cy")).select("*", cells("o0", "o1").alias("_cx"))
+
+
+def infer_city(df: DataFrame, town: str = S.TOWN, lat: str = S.LATITUDE, lon: str = S.LONGITUDE) -> DataFrame:
+    """A missing town is the one whose coordinate range holds the point; the smallest range, then the name, decides.
+
+    Every range is kept at the level of cells that are about its size; the
+    points in question, each coordinate once, are looked up at every level in
+    use, which makes the range test an equi join on the cell. The best range of
+    a point is an aggregate, so no list of ranges is built anywhere.
+    """
+    boxes = checkpointed(city_boxes(df, town, lat, lon))
+    used = boxes.agg(F.collect_set("_level").alias("levels"))
+    points = df.where(blank(town)).select(F.col(lat).alias("_y"), F.col(lon).alias("_x")).dropna().distinct()
+    levels = F.coalesce(used.scalar(), F.array().cast("array<int>"))
+    asked = points.select("_y", "_x", F.explode(levels).alias("_level"))
+    asked = asked.withColumns({"_cy": _cell("_y", F.col("_level")), "_cx": _cell("_x", F.col("_level"))})
+    met = asked.join(boxes, ["_level", "_cy", "_cx"]).where(F.col("_y").between(F.col("a0"), F.col("a1")) & F.col("_x").between(F.col("o0"), F.col("o1")))
+    found = met.groupBy(F.col("_y").alias(lat), F.col("_x").alias(lon)).agg(F.min(F.struct("area", "_town"))["_town"].alias("_found"))
+    out = skew_join(df, checkpointed(found), [lat, lon])
+    return out.withColumn(town, F.coalesce(filled(town), F.when(blank(town), F.col("_found")))).select(*df.columns)
 
 
 def simplified_address(street: str = S.STREET, area: str = S.NEIGHBOURHOOD, town: str = S.TOWN) -> Column:

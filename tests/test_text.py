@@ -1,5 +1,7 @@
 """Golden rows of the text rules, and a comparison with Python's own Unicode functions."""
 
+import json
+import random
 import unicodedata
 
 import pytest
@@ -116,4 +118,35 @@ def test_pack_batches_limits(spark):
     assert sorted(x for r in rows for x in r["texts"]) == sorted(texts)
     assert all(len(r["texts"]) <= S.BATCH_ITEMS for r in rows)
     assert all(s <= S.BATCH_BYTES or len(r["texts"]) == 1 for s, r in zip(size, rows))
-    assert len({(r["part"], r["batch_no"]) for r in rows}) == len(rows)
+    assert sorted(r["batch_no"] for r in rows) == list(range(len(rows)))
+
+
+def _packed_one_by_one(texts, items, size):
+    batches, opened, used = [], None, 0
+    for t in sorted(texts, key=lambda t: t.encode()):
+        weight = len(json.dumps(t, ensure_ascii=False).encode())
+        if weight > size:
+            batches.append([t])
+        elif opened is None or len(opened) >= items or used + weight > size:
+            opened, used = [t], weight
+            batches.append(opened)
+        else:
+            opened.append(t)
+            used += weight
+    return batches
+
+
+@pytest.mark.parametrize("items, size", [(7, 60), (50, 40)])
+def test_batches_are_the_same_on_any_number_of_partitions(spark, items, size):
+    rng = random.Random(items)
+    texts = ["".join(rng.choices("ab\"\\é日", k=rng.randint(0, 30))) for _ in range(400)] + ["same"] * 60 + ["long" * 60] * 3
+    want = _packed_one_by_one(texts, items, size)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 2, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(parts)
+            assert [r.texts for r in A.pack_batches(df, "t", items, size).orderBy("batch_no").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert A.pack_batches(spark.createDataFrame([], "t string"), "t").collect() == []
