@@ -21,6 +21,7 @@ from rentloom.sources.listings import (
     parse_dates, rank_defaults, read_listings, rename_headers, stack, string_cast, truthy_encode,
 )
 from rentloom.sources.reference_data import flatten_hierarchy, read_rates
+from rentloom.sources.snapshots import input_key
 from rentloom.sources.stages import stage, write_stage
 
 
@@ -111,6 +112,21 @@ def stage_reuse(spark, sf):
     return stage(spark, path, never)
 
 
+@case("stage_rebuilt", """
+SELECT l_returnflag AS flag, count(*) AS rows, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_quantity > 10 GROUP BY 1""")
+def stage_rebuilt(spark, sf):
+    """A stage of one parameter is there; asked for another one it is built anew, from the same input."""
+    path, items = new_shared_path(spark, "stage"), table(spark, sf, "lineitem")
+
+    def staged(least):
+        rows = items.where(F.col("l_quantity") > least).groupBy(F.col("l_returnflag").alias("flag")).agg(
+            F.count(F.lit(1)).alias("rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+        return stage(spark, path, lambda: rows, key=input_key(items, least=least))
+
+    staged(0)
+    return staged(10)
+
+
 @case("rename_headers", 'SELECT p_partkey AS id, p_size AS "Rooms", p_type AS "Construction", p_retailprice AS other FROM part')
 def rename_headers_query(spark, sf):
     return rename_headers(table(spark, sf, "part").select(

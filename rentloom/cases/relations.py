@@ -14,7 +14,7 @@ from rentloom.operators import sampling as P
 from rentloom.operators.lists import split_clean_list
 from rentloom.operators.quality import trim_grouped_outliers
 from rentloom.session import new_shared_path
-from rentloom.sources.stages import load_in_order
+from rentloom.sources.stages import load_in_order, load_model
 
 
 def r(c, digits=6):
@@ -377,6 +377,75 @@ def upsert(spark, sf):
     return R.upsert(c, changed.unionByName(new), ["key"])
 
 
+def _segments(spark, sf):
+    """Customers and what their orders change: one row per order, many per customer, some without one."""
+    target = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"), F.lit(0).cast("bigint").alias("seq"))
+    o = table(spark, sf, "orders")
+    change = o.select(F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey") * 2).alias("key"), F.col("o_orderpriority").alias("segment"), F.col("o_orderkey").alias("seq"))
+    return target, change
+
+
+SEGMENTS = """t AS (SELECT c_custkey AS key, c_mktsegment AS segment, 0::BIGINT AS seq FROM customer),
+s AS (SELECT CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey * 2 END AS key, o_orderpriority AS segment, o_orderkey AS seq FROM orders)"""
+LAST_WRITER = f"""WITH {SEGMENTS}, l AS (SELECT key, arg_max(segment, seq) AS segment, max(seq) AS seq FROM s WHERE key IS NOT NULL GROUP BY 1)
+SELECT * FROM t WHERE key NOT IN (SELECT key FROM l) UNION ALL SELECT * FROM l"""
+
+
+@case("upsert_last_writer", LAST_WRITER)
+def upsert_last_writer(spark, sf):
+    return R.upsert(*_segments(spark, sf), ["key"], "seq")
+
+
+@case("upsert_snapshot", LAST_WRITER)
+def upsert_snapshot(spark, sf):
+    """The same by two versions of a bucketed table."""
+    target, change = _segments(spark, sf)
+    root = new_shared_path(spark, "segments")
+    R.upsert_snapshot(spark, root, target, ["key"], "seq", buckets=16)
+    return R.upsert_snapshot(spark, root, change, ["key"], "seq", buckets=16).read(spark)
+
+
+@case("upsert_refused", f"""WITH {SEGMENTS}
+SELECT key, count(*) AS rows, CASE WHEN key IS NULL THEN 'missing key' ELSE 'conflict' END AS reason FROM s
+GROUP BY key HAVING key IS NULL OR count(DISTINCT segment) > 1""")
+def upsert_refused(spark, sf):
+    return R.refused_rows(_segments(spark, sf)[1].drop("seq"), ["key"])
+
+
+MODEL = {"lineitem": ["l_orderkey", "l_linenumber"], "orders": ["o_orderkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"],
+         "nation": ["n_nationkey"], "region": ["r_regionkey"]}
+MODEL_REFERENCES = [
+    ("nation", {"n_regionkey": "r_regionkey"}, "region"), ("customer", {"c_nationkey": "n_nationkey"}, "nation"),
+    ("supplier", {"s_nationkey": "n_nationkey"}, "nation"), ("orders", {"o_custkey": "c_custkey"}, "customer"),
+    ("lineitem", {"l_orderkey": "o_orderkey"}, "orders"), ("lineitem", {"l_partkey": "p_partkey"}, "part"),
+    ("lineitem", {"l_suppkey": "s_suppkey"}, "supplier")]
+
+
+def _model_counts(count: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{t}' AS \"table\", {count.format(key=k[0])} FROM {t}" for t, k in MODEL.items() if t != "lineitem")
+
+
+@case("load_model", f"""
+WITH lines AS (SELECT row_number() OVER (PARTITION BY l_orderkey, l_linenumber) AS n, * FROM lineitem
+               WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT s_suppkey FROM supplier))
+{_model_counts("count(*) AS rows, sum({key})::BIGINT AS keys")}
+UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey)::BIGINT FROM lines WHERE n = 1""")
+def load_model_query(spark, sf):
+    """All tables as one load; line items are first freed of repeated keys and of rows without a parent, which would stop it."""
+    tables = {t: table(spark, sf, t) for t in MODEL}
+    lines = tables["lineitem"].dropDuplicates(MODEL["lineitem"])
+    for child, columns, parent in MODEL_REFERENCES[-3:]:
+        (c, p), = columns.items()
+        lines = lines.join(tables[parent].select(F.col(p).alias(c)), c, "left_semi")
+    tables["lineitem"] = lines.select(*tables["lineitem"].columns)
+    loaded = load_model(spark, tables, MODEL, MODEL_REFERENCES, new_shared_path(spark, "model"))
+    counts = [loaded.read(spark, t).agg(F.lit(t).alias("table"), F.count(F.lit(1)).alias("rows"), F.sum(k[0]).cast("bigint").alias("keys")) for t, k in MODEL.items()]
+    whole = counts[0]
+    for c in counts[1:]:
+        whole = whole.unionByName(c)
+    return whole
+
+
 @case("check_keys", """
 SELECT o_custkey AS cust, o_orderstatus AS status, count(*) AS rows FROM (SELECT CASE WHEN o_custkey % 9 <> 0 THEN o_custkey END AS o_custkey, o_orderstatus FROM orders)
 GROUP BY ALL HAVING count(*) > 1 OR o_custkey IS NULL""")
