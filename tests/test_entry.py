@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 
 
-@pytest.mark.parametrize("absent", ["sentencepiece", "tokenizers", "public_tokenizers", "rentloom.llm", "corpus_pipeline"])
+@pytest.mark.parametrize("absent", ["sentencepiece", "tokenizers", "public_tokenizers", "corpus_pipeline"])
 def test_other_queries_stay(monkeypatch, absent):
     for name in [m for m in sys.modules if m.startswith(("rentloom.llm", "corpus_pipeline")) or m == absent]:
         monkeypatch.delitem(sys.modules, name)
