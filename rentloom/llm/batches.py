@@ -82,9 +82,9 @@ def typed(df: DataFrame, *columns: str) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a narrow table to the shared folder and read it back: later steps start from its files."""
     spark = df.sparkSession
     path = new_shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Main text of web pages: lines that a page shares with its nearest pages go, lines of its article stay."""
+"""Main text of web pages: lines that a page shares with its nearest page go, lines of its article stay."""
 
 from __future__ import annotations
 
@@ -10,13 +10,14 @@ from os.path import commonprefix
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentloom.llm.batches import row_key, stored, typed
 from rentloom.llm.neighbours import with_neighbours
 
-ARTICLE, OTHER = 0, 1
+ARTICLE, OTHER, OUTSIDE = 0, 1, 2
 EMITTED = 256
 TABLE_BITS = 1 << 28       # an alignment of more bits than this is halved
 
@@ -67,37 +68,41 @@ def _is_chrome(name: str, attributes: dict[str, str], in_article: bool) -> bool:
 
 
 def page_lines(page: str) -> list[tuple[int, str]]:
-    """(zone, text) of the blocks of a page in order, without its markup and the parts that are marked as no article.
+    """(zone, text) of the blocks of a page in order, without its markup, scripts and styles.
 
-    Zone ARTICLE is inside an ``article`` or ``main`` element. White space in a
-    block, line breaks included, becomes one space. Open elements are a stack:
-    an end tag closes everything inside its element, an unmatched one nothing.
+    Zone ARTICLE is inside an ``article`` or ``main`` element, zone OUTSIDE in a
+    part that is marked as no article, such as a menu or an advert. White space
+    in a block, line breaks included, becomes one space. Open elements are a
+    stack: an end tag closes everything inside its element, an unmatched one
+    nothing.
     """
     lines: list[tuple[int, str]] = []
     stack: list[tuple[str, bool, bool]] = []      # name, chrome, article
     chrome = article = 0
     text: list[str] = []
+    outside: list[str] = []      # text of a marked part; one inside a paragraph does not cut it in two
 
     def close() -> None:
-        if text:
-            joined = "".join(text)
-            if "&" in joined:
-                joined = html.unescape(joined)
-            if line := " ".join(joined.split()):
-                lines.append((ARTICLE if article else OTHER, line))
-            text.clear()
+        for held, zone in ((text, ARTICLE if article else OTHER), (outside, OUTSIDE)):
+            if held:
+                joined = "".join(held)
+                if "&" in joined:
+                    joined = html.unescape(joined)
+                if line := " ".join(joined.split()):
+                    lines.append((zone, line))
+                held.clear()
 
     at = 0
     for token in _TOKEN.finditer(page):
-        if token.start() > at and not chrome:
-            text.append(page[at:token.start()])
+        if token.start() > at:
+            (outside if chrome else text).append(page[at:token.start()])
         at = token.end()
         name = token["name"]
         if name is None:
             continue
         name = name.lower()
         if name == "br":
-            text.append(" ")
+            (outside if chrome else text).append(" ")
             continue
         if name in BLOCKS:
             close()
@@ -124,8 +129,7 @@ def page_lines(page: str) -> list[tuple[int, str]]:
             stack.append((name, hides, starts))
             chrome += hides
             article += starts
-    if not chrome:
-        text.append(page[at:])
+    (outside if chrome else text).append(page[at:])
     close()
     return lines
 
@@ -195,31 +199,24 @@ def shared_lines(mine: list[str], other: list[str]) -> set[int]:
 
 
 def content(lines: list[tuple[int, str]]) -> list[int]:
-    """Positions of the lines inside articles, of all lines if the markup names no article."""
-    return [i for i, (zone, _) in enumerate(lines) if zone == ARTICLE] or list(range(len(lines)))
+    """Positions of the lines inside articles; if the markup names no article, of all lines in no part marked otherwise."""
+    return [i for i, (zone, _) in enumerate(lines) if zone == ARTICLE] or [i for i, (zone, _) in enumerate(lines) if zone == OTHER]
 
 
-def main_text(lines: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -> str:
-    """The lines a page does not share with the first page of ``near`` that is another article.
+def main_text(lines: list[tuple[int, str]], near: list[tuple[int, str]] | None) -> tuple[str, int, int, int]:
+    """The lines a page does not share with the nearest one; how many it shares, and of how many lines the markup says otherwise.
 
-    The markup is a check of what the alignment leaves: lines outside a marked
-    article go too, and where the shared lines are all of a marked article, or
-    more than half of the longer of both, the other page is a version of it and
-    the next one is tried.
+    All lines of both pages are aligned, menus and footers included. The markup
+    is a check afterwards: shared lines of a marked article are rescued, and
+    lines that are not shared but lie outside the article, or in a part that is
+    marked as something else, go as well. (text, shared, rescued, cut).
     """
-    own = content(lines)
+    own, mine = content(lines), [line for _, line in lines]
+    shared = shared_lines(mine, [line for _, line in near]) if near else set()
     marked = bool(own) and lines[own[0]][0] == ARTICLE
-    mine = [line for _, line in lines]
-    size = sum(len(mine[i]) for i in own)
-    for page in near:
-        shared = shared_lines(mine, [line for _, line in page])
-        left = [i for i in own if i not in shared]
-        if marked:
-            longer = max(size, sum(len(page[i][1]) for i in content(page)))
-            if not left or 2 * (size - sum(len(mine[i]) for i in left)) > longer:
-                continue
-        return "\n".join(mine[i] for i in left)
-    return "\n".join(mine[i] for i in own)
+    kept = [i for i in own if marked or i not in shared]
+    rescued = sum(i in shared for i in kept)
+    return "\n".join(mine[i] for i in kept), len(shared), rescued, len(mine) - len(shared) - (len(kept) - rescued)
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,20 +240,36 @@ def _copies(picked: DataFrame) -> DataFrame:
     return stored(pairs.where("_k1 != l1 OR _k2 != l2"), "copies")
 
 
+def _short(zone: int, line: str) -> str:
+    """A line as it is compared: of long lines outside the article, which no result has, a hash."""
+    return line if zone != OUTSIDE or len(line) <= 16 else xxhash.xxh3_64_hexdigest(line.encode("utf-8", "replace"))
+
+
+def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as their lines, one line of text each with its zone before it, compressed for the shuffle; empty without lines."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        held = ["\n".join(f"{z}{_short(z, t)}" for z, t in page_lines(body)).encode("utf-8", "replace") for body in batch.column("_page").to_pylist()]
+        held = [pack(lines) if lines else b"" for lines in held]
+        others = [n for n in batch.schema.names if n != "_page"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), pa.array(held, pa.binary())], [*others, "_lines"])
+
+
 def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """Main text of every page: ``id``, ``url``, ``text``, ``n_chars``.
+    """Main text of every page: ``id``, ``url``, ``text``, ``n_chars``, ``n_shared``, ``n_rescued``, ``n_cut``.
 
     Pages are sorted by host and path; the page before or after on the same
     host whose path shares the longer beginning (the one after, if equal) is
     the nearest. The lines of both are aligned by their longest common
     subsequence and shared lines are deleted; see :func:`main_text` for what the
-    markup says afterwards. Pages of one host with the same content are one
-    page, at the first path, so copies are nobody's nearest: each gets the text
-    of the first. Equal URLs follow by id, then by html. Pages without URL have
-    no nearest page. Null and empty html gives an empty text. One output row
-    per input row; an empty table gives none; other columns are not read. The
-    pages are read twice and shuffled once, and again only where there are many
-    copies; a task holds three pages at a time.
+    markup says afterwards, and on how many lines. Pages of one host with the
+    same content are one page, at the first path, so copies are nobody's
+    nearest: each gets the text of the first. Equal URLs follow by id, then by
+    their lines. Pages without URL have no nearest page. Null and empty html
+    gives an empty text. One output row per input row; an empty table gives
+    none; other columns are not read. The pages are read twice; what is
+    shuffled are their lines, and where there are many copies the texts again;
+    a task holds three pages at a time.
     """
     host = F.regexp_extract(F.lower(F.col(url)), r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1)
     path = F.regexp_replace(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?[^/?#]*", "")
@@ -264,25 +277,28 @@ def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", page:
                           F.when(F.col(url).isNotNull(), F.concat(host, F.lit("\x01"), path)).alias("_key"))
     picked = picked.select("*", *row_key("_id", "_url", "_page"))
     copies = _copies(picked)
+    found = ["text", "n_chars", "n_shared", "n_rescued", "n_cut"]
+    columns = [F.col("_id").alias(id), F.col("_url").alias(url), *found]
     if copies.isEmpty():
-        return _differences(picked).select(F.col("_id").alias(id), F.col("_url").alias(url), "text", "n_chars")
-    texts = stored(_differences(picked.join(copies, ["_k1", "_k2"], "left_anti")), "texts")
+        return _differences(picked).select(*columns)
+    texts = stored(_differences(picked.join(copies, ["_k1", "_k2"], "left_anti")), "texts", "zstd")
     firsts = texts.join(copies.select(F.col("l1").alias("_k1"), F.col("l2").alias("_k2")).distinct(), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    firsts = firsts.select(F.col("_k1").alias("l1"), F.col("_k2").alias("l2"), "text", "n_chars")
+    firsts = firsts.select(F.col("_k1").alias("l1"), F.col("_k2").alias("l2"), *found)
     copied = picked.select("_id", "_url", "_k1", "_k2").join(copies, ["_k1", "_k2"]).join(firsts, ["l1", "l2"])
-    columns = [F.col("_id").alias(id), F.col("_url").alias(url), "text", "n_chars"]
     return texts.select(*columns).unionByName(copied.select(*columns))
 
 
 def _differences(picked: DataFrame) -> DataFrame:
     """Main text of pages, of which only repeated rows have the same content on one host."""
-    ordered = with_neighbours(picked, "_key", "_id", "_page").select("_id", "_url", "_k1", "_k2", "_page", "_key", "_bucket", "_copy")
-    schema = f"{typed(picked, '_id', '_url')}, _k1 long, _k2 long, text string, n_chars long"
+    kinds = f"{typed(picked, '_id', '_url')}, _key string, _k1 long, _k2 long"
+    lined = picked.select("_id", "_url", "_key", "_k1", "_k2", "_page").mapInArrow(_lines_of, f"{kinds}, _lines binary")
+    ordered = with_neighbours(lined, "_key", "_id", "_lines", keys=picked).select("_id", "_url", "_k1", "_k2", "_lines", "_key", "_bucket", "_copy")
+    schema = f"{typed(picked, '_id', '_url')}, _k1 long, _k2 long, text string, n_chars long, n_shared long, n_rescued long, n_cut long"
 
-    def by_nearness(key: str, others: tuple) -> list[list]:
+    def nearest(key: str, others: tuple) -> list | None:
         host = key.split("\x01", 1)[0] + "\x01"
         there = [o for o in others if o and o[0].startswith(host)]
-        return [o[1] for o in sorted(there, key=lambda o: -len(commonprefix([key, o[0]])))]
+        return min(there, key=lambda o: -len(commonprefix([key, o[0]])))[1] if there else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -292,36 +308,38 @@ def _differences(picked: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
             out.clear()
-            kinds = (*types, pa.int64(), pa.int64(), pa.string(), pa.int64())
+            kinds = (*types, pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                              ["_id", "_url", "_k1", "_k2", "text", "n_chars"])
+                                              ["_id", "_url", "_k1", "_k2", "text", "n_chars", "n_shared", "n_rescued", "n_cut"])
 
         def emit(following: tuple | None) -> Iterator[pa.RecordBatch]:
             if pending:
-                found = main_text(here[1], by_nearness(here[0], (following, before)) if here[0] is not None else [])
+                text, *counts = main_text(here[1], nearest(here[0], (following, before)) if here[0] is not None else None)
                 for times, row in pending:
                     for _ in range(times):
-                        out.append((*row, found, len(found)))
+                        out.append((*row, text, len(text), *counts))
                         if len(out) >= EMITTED:
                             yield flush()
                 pending.clear()
 
-        types = None
+        types, unpack = None, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             types = batch.schema.field("_id").type, batch.schema.field("_url").type
-            for *row, body, key, bucket, copy in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                lines = page_lines(body)
-                same = key and (key.split("\x01", 1)[0], [lines[i] for i in content(lines)])
-                if key is None or here is None or here[2] != bucket or here[3] != same or not lines:
-                    inside = key is not None and here is not None and here[2] == bucket
-                    now = key, lines, bucket, same
-                    yield from emit(now if inside else None)
-                    before, here = here if inside else None, now
-                if copy == 0:
-                    if pending and pending[-1][1] == row:
-                        pending[-1][0] += 1
-                    else:
-                        pending.append([1, row])
+            for start in range(0, batch.num_rows, EMITTED):
+                part = batch.slice(start, EMITTED)
+                for *row, body, key, bucket, copy in zip(*(part.column(i).to_pylist() for i in range(8)), strict=True):
+                    lines = [(int(x[0]), x[1:]) for x in unpack(body).decode().split("\n")] if body else []
+                    same = key and (key.split("\x01", 1)[0], [lines[i] for i in content(lines)])
+                    if key is None or here is None or here[2] != bucket or here[3] != same or not lines:
+                        inside = key is not None and here is not None and here[2] == bucket
+                        now = key, lines, bucket, same
+                        yield from emit(now if inside else None)
+                        before, here = here if inside else None, now
+                    if copy == 0:
+                        if pending and pending[-1][1] == row:
+                            pending[-1][0] += 1
+                        else:
+                            pending.append([1, row])
         yield from emit(None)
         if out:
             yield flush()

@@ -87,7 +87,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
-    return extract_pages(table(spark, folder, "pages"))
+    return extract_pages(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op11_compressed_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -135,7 +135,7 @@ def test_repeated_lines_are_aligned(monkeypatch, bits):
     assert len(shared_lines(["x"] * 3000 + ["y"], ["y"] + ["x"] * 2000)) == 2000
 
 
-def test_articles_lose_shared_lines_and_copies_keep_theirs(spark):
+def test_marked_articles_keep_shared_lines_and_copies_get_one_text(spark):
     def page(*lines, marked=False):
         inner = "".join(f"<div>{x}</div>" for x in lines)
         return f"<body><article>{inner}</article><div>Out {lines[0]}</div></body>" if marked else f"<body>{inner}</body>"
@@ -148,7 +148,7 @@ def test_articles_lose_shared_lines_and_copies_keep_theirs(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = sorted((r.page_id, r.text) for r in extract_pages(frame).collect())
     one, two = first.strip(), second.strip()
-    assert got == [(1, one), (2, two), (3, f"Share this\n{two}\none line more"), *[(i, f"{one}\nHead") for i in (11, 12, 13)],
+    assert got == [(1, f"Share this\n{one}"), (2, f"Share this\n{two}"), (3, f"Share this\n{two}\none line more"), *[(i, f"{one}\nHead") for i in (11, 12, 13)],
                    (14, two), (14, two), (20, "Head\nalone"), (20, "Head\nalone")]
 
 
@@ -164,8 +164,41 @@ def test_attributes_that_hide_nothing(kept):
     "<p hidden>x</p>", '<p class=a HIDDEN="">x</p>', "<div class='main ad'>x</div>", '<div class="cookie-notice">x</div>', "<p role=navigation>x</p>",
     "<section class=related>x</section>"])
 def test_attributes_that_hide(gone):
-    assert page_lines(f"<article>{gone}</article>") == []
-    assert page_lines('<div id="sidebar">x</div><div class="has-sidebar">y</div>') == [(1, "y")]
+    assert page_lines(f"<article>{gone}</article>") == [(2, "x")]
+    assert page_lines('<div id="sidebar">x</div><div class="has-sidebar">y</div>') == [(2, "x"), (1, "y")]
+    assert page_lines("<article><p>one <button>Press</button>two</article>") == [(0, "one two"), (2, "Press")]
+
+
+def test_differences_equal_a_plain_loop_over_the_pages(spark):
+    rng = random.Random(12)
+    frames = [[f"menu {h}", f"menu {h}b", f"foot {h}"] for h in range(3)]
+    pages_of = {}
+    for i in range(120):
+        host = rng.randrange(3)
+        a, b, c = frames[host]
+        inner = [f"line {i}.{k}" for k in range(rng.randint(1, 3))]
+        url = f"http://h{host}.example/" + "/".join(rng.choices("abc", k=rng.randint(1, 4))) + f"/{i}"
+        pages_of[url] = i, [*rng.choice(([a], [a, b], [])), *inner, *rng.choice(([c], []))]
+    want, ordered = {}, sorted(pages_of, key=lambda u: (u.split("/")[2], u.split(".example", 1)[1]))
+    for n, url in enumerate(ordered):
+        near = [u for u in (ordered[n + 1] if n + 1 < len(ordered) else None, ordered[n - 1] if n else None) if u and u.split("/")[2] == url.split("/")[2]]
+
+        def common(u):
+            return next((k for k, (x, y) in enumerate(zip(u, url)) if x != y), min(len(u), len(url)))
+        nearest = max(near, key=common) if near else None
+        want[pages_of[url][0]] = "\n".join(x for x in pages_of[url][1] if not nearest or x not in pages_of[nearest][1])
+    rows = [(i, u, "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>") for u, (i, lines) in pages_of.items()]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == 120
+    assert all(r.n_rescued == r.n_cut == 0 and r.n_chars == len(r.text) for r in got)
+
+
+def test_no_line_of_a_marked_article_is_lost(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in extract_pages(rows).collect()}
+    for r in rows.collect():
+        own = [line for zone, line in page_lines(r.html or "") if zone == 0]
+        assert not own or got[r.page_id] == "\n".join(own)
 
 
 @pytest.mark.parametrize("block", [128, 2])
