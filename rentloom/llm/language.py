@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.batches import row_key, stored, typed
+from rentloom.llm.batches import bounded, row_key, stored, typed
 from rentloom.llm.hashing import mix
 
 BUCKETS = 1 << 15          # hashed letter triples of the model: its size has this bound per language
 BLOCK = 128                # languages of a block of the model: the driver and a task hold one block at a time
+SLICE_BYTES = 4 << 20         # text scored at a time in a task
 EFFECTIVE = 60             # triples overlap; a text counts as at most so many independent ones
 SMOOTHING = 20.0           # weight of the wider unit in the prior of a host, a site and an address suffix
 SURE = 0.5                 # least posterior of an accepted text
@@ -48,7 +49,7 @@ def letter_counts(docs: DataFrame, text: str, label: str) -> DataFrame:
                                                  ["label", "bucket", "n"])
             tables.clear()
 
-        for batch in batches:
+        for batch in bounded(batches, "_text", SLICE_BYTES):
             for name, body in zip(batch.column("label").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 if name not in tables:
                     if len(tables) >= BLOCK:
@@ -94,7 +95,7 @@ def _scores(start: int, model) -> object:
     """Tempered log likelihoods, the best language, its mean score, the share of triples seen with it and the number of triples of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, unseen = model.value
-        for batch in batches:
+        for batch in bounded(batches, "_text", SLICE_BYTES):
             likely, best, mean, seen, size = [], [], [], [], []
             for body in batch.column("_text").to_pylist():
                 found = triples(body) if body else np.zeros(0, np.int64)
