@@ -292,6 +292,16 @@ def similar_pairs(spark, sf):
     return A.similar_pairs(phrases, p.select(name.alias("name")).distinct(), 80).withColumn("score", F.round("score", 6))
 
 
+@case("ratio_pairs")
+def ratio_pairs(spark, sf):
+    """The same names with a letter left out, put in or replaced, or their words the other way round."""
+    p, at, name = table(spark, sf, "part"), (F.col("p_partkey") % 9).cast("int"), F.col("p_name")
+    changed = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.left(name, at), F.lit("x"), F.substring(name, at + 2, F.lit(99)))).otherwise(
+        F.array_join(F.reverse(F.split(name, " ")), " "))
+    phrases = p.select(changed.alias("phrase")).distinct()
+    return A.ratio_pairs(phrases, p.select(name.alias("name")).distinct(), 90).withColumn("score", F.round("score", 6))
+
+
 def _title(c: Column) -> Column:
     return F.initcap(F.replace(c, F.lit("_"), F.lit("")))
 

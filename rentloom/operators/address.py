@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -130,6 +130,13 @@ def similar_pairs(phrases: DataFrame, names: DataFrame, cutoff: int = S.FUZZY_CU
     With a low cutoff a name may take more edits than it has letters; such names
     meet the phrases by length.
     """
+    both = F.length("phrase") + F.length("name")
+    score = 100 * (1 - F.levenshtein("phrase", "name") / both)
+    return _near(phrases, names, cutoff).withColumn("score", score).where(F.col("score") >= cutoff)
+
+
+def _near(phrases: DataFrame, names: DataFrame, cutoff: int) -> DataFrame:
+    """(phrase, name) of all pairs whose edit distance can be small enough for ``cutoff``, and some others."""
     ratio = (200 - cutoff) / cutoff           # longest length a match can have, relative to the name
     size = F.length("name")
     longest = F.floor(size * F.lit(ratio) + F.lit(1e-9)).cast("int")
@@ -148,20 +155,72 @@ def similar_pairs(phrases: DataFrame, names: DataFrame, cutoff: int = S.FUZZY_CU
     near = spots.join(pieces, "_piece").where(
         (F.abs(F.col("_pos") - F.col("_at")) <= F.col("_k")) & (F.abs(F.length("phrase") - F.length("name")) <= F.col("_k")))
     by_length = phrases.select("phrase", F.length(text).alias("_length")).join(short, "_length")
-    near = near.select("phrase", "name").unionByName(by_length.select("phrase", "name")).distinct()
-    both = F.length("phrase") + F.length("name")
-    score = 100 * (1 - F.levenshtein("phrase", "name") / both)
-    return near.withColumn("score", score).where(F.col("score") >= cutoff)
+    return near.select("phrase", "name").unionByName(by_length.select("phrase", "name")).distinct()
+
+
+ORDER_FREE = 0.95     # fixed value: what a match of the sorted words counts of a match of the words as they stand
+
+
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence; one row of the table is the bits of a number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def _ratio_of(phrase: Column, name: Column) -> Column:
+    """100 less the share of letters to be left out or put in, of all letters of both."""
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([200.0 * common_letters(x, y) / (len(x) + len(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratio(phrase, name)
+
+
+def _sorted_words(text: str) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(text, " "), lambda w: w != "")), " ")
+
+
+def ratio_pairs(phrases: DataFrame, names: DataFrame, cutoff: int = S.FUZZY_CUTOFF) -> DataFrame:
+    """(phrase, name, score) for every pair scoring at least ``cutoff``; inputs as for :func:`similar_pairs`.
+
+    score = 100 (1 - letters left out or put in / length a + length b), where a
+    replaced letter counts twice; or ORDER_FREE of the same for the words in
+    sorted order, if that is more. No pair is lost: the edit distance is never
+    above the letters left out and put in, so the candidates of an edit distance
+    hold all; that distance drops most of the others before letters are matched.
+    """
+
+    def scored(phrases: DataFrame, names: DataFrame, least: int) -> DataFrame:
+        close = F.levenshtein("phrase", "name") <= _max_distance(F.length("phrase"), F.length("name"), least)
+        return _near(phrases, names, least).where(close).withColumn("score", _ratio_of(F.col("phrase"), F.col("name")))
+
+    found = scored(phrases, names, cutoff)
+    least = int(cutoff / ORDER_FREE)
+    if least < 100:
+        by_words = [df.select(c, _sorted_words(c).alias("_f")).where("_f != ''") for df, c in ((phrases, "phrase"), (names, "name"))]
+        forms = scored(*[df.select(F.col("_f").alias(c)).distinct() for df, c in zip(by_words, ("phrase", "name"), strict=True)], least)
+        forms = forms.select(F.col("phrase").alias("_p"), F.col("name").alias("_n"), (ORDER_FREE * F.col("score")).alias("score"))
+        again = forms.join(by_words[0].withColumnRenamed("_f", "_p"), "_p").join(by_words[1].withColumnRenamed("_f", "_n"), "_n")
+        found = found.unionByName(again.select("phrase", "name", "score"))
+    return found.groupBy("phrase", "name").agg(F.max("score").alias("score")).where(F.col("score") >= cutoff)
 
 
-def fuzzy_lookup(df: DataFrame, row_id: str, text: str, choices: DataFrame, choice: str, cutoff: int = S.FUZZY_CUTOFF) -> DataFrame:
+def fuzzy_lookup(df: DataFrame, row_id: str, text: str, choices: DataFrame, choice: str, cutoff: int = S.FUZZY_CUTOFF,
+                 pairs: Callable[..., DataFrame] = similar_pairs) -> DataFrame:
     """(row id, match): the first word that is a choice, else the best similar run of words, else ''.
 
     Runs are as long as the choice with the most words, two at least.
 
     Exact words are found by an equi join. Only rows without one go on; their
     distinct phrases are compared once each, so a frequent phrase costs nothing.
-    Ties go to the smaller name.
+    Ties go to the smaller name. ``pairs`` scores phrases and names:
+    :func:`similar_pairs` by edit distance or :func:`ratio_pairs`.
     """
     names = choices.select(F.col(choice).alias("name")).where(~blank("name")).distinct()
     words = df.select(row_id, F.posexplode(_title_words(F.col(f"`{text}`"))).alias("pos", "name"))
@@ -177,7 +236,7 @@ def fuzzy_lookup(df: DataFrame, row_id: str, text: str, choices: DataFrame, choi
 
     phrases = rest.where(F.size(lower) > 0).select(row_id, F.explode(F.array_distinct(F.concat(*map(runs, range(1, most + 1))))).alias("phrase"))
     lowered = names.groupBy(F.lower("name").alias("name")).agg(F.min("name").alias("_proper"))
-    similar = similar_pairs(phrases.select("phrase").distinct(), lowered.select("name"), cutoff).join(lowered, "name")
+    similar = pairs(phrases.select("phrase").distinct(), lowered.select("name"), cutoff).join(lowered, "name")
     best = similar.groupBy("phrase").agg(
         F.max("score").alias("score"), F.min_by("_proper", F.struct(-F.col("score"), F.col("_proper"))).alias("_proper"))
     scored = skew_join(phrases, checkpointed(best), ["phrase"], "inner")

@@ -150,3 +150,37 @@ def test_batches_are_the_same_on_any_number_of_partitions(spark, items, size):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", usual)
     assert A.pack_batches(spark.createDataFrame([], "t string"), "t").collect() == []
+
+
+def _ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+    return 200.0 * row[-1] / (len(a) + len(b))
+
+
+def test_ratio_pairs_equal_all_pairs(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdé", k=rng.randint(2, 7))) for _ in range(40)]
+    names = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)})
+
+    def changed(n):
+        at, kind = rng.randrange(len(n)), rng.randrange(4)
+        if kind == 3:
+            return " ".join(reversed(n.split()))
+        return n[:at] + ("" if kind == 0 else "e") + n[at + (kind != 1):]
+    phrases = sorted({changed(rng.choice(names)) for _ in range(150)} - {""})
+    p, n = (spark.createDataFrame([(x,) for x in v], f"{c} string") for v, c in ((phrases, "phrase"), (names, "name")))
+    for cutoff in (90, 70):
+        want = {}
+        for a in phrases:
+            for b in names:
+                score = max(_ratio(a, b), 0.95 * _ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))) if a.split() else 0)
+                if score >= cutoff:
+                    want[a, b] = pytest.approx(score)
+        assert {(r.phrase, r.name): r.score for r in A.ratio_pairs(p, n, cutoff).collect()} == want and want
+    rows = spark.createDataFrame([(1, "Old kentrn road"), (2, "nothing here")], "id int, t string")
+    choice = spark.createDataFrame([("Kentron",), ("Arabkir",)], "c string")
+    assert {r.id: r.match for r in A.fuzzy_lookup(rows, "id", "t", choice, "c", pairs=A.ratio_pairs).collect()} == {1: "Kentron", 2: ""}
