@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rentloom.llm.batches import raw_texts, row_key, stored, typed, words_of
 from rentloom.llm.hashing import BASES, RunHashes, WordHashes, anchors, mix
+from rentloom.operators.scale import skew_join
 
 WINDOW = 35        # words of an edge
 GRAM = 8           # words of an anchor
@@ -110,10 +111,11 @@ def _covered(spans: list | None, n: int) -> np.ndarray:
 def repeated_spans(source: DataFrame, dealt: DataFrame, text: str, window: int = WINDOW) -> DataFrame:
     """Spans whose words are covered by a window that starts more than once: ``_k1``, ``_k2``, ``spans``.
 
-    ``source`` has the row key and ``_text``; ``dealt`` has the same rows dealt
-    out by the key, so that opened paths and the caller read one shuffle.
+    ``source`` has the row key and ``_text``, each key once; a row marked
+    ``_twin`` stands for several and counts twice. ``dealt`` has the same rows
+    dealt out by the key, so that opened paths and the caller read one shuffle.
     """
-    texts = source.select("_k1", "_k2", "_text").where(F.col("_text").isNotNull())
+    texts = source.unionByName(source.where("_twin")).select("_k1", "_k2", "_text").where(F.col("_text").isNotNull())
     paths = texts.mapInArrow(_paths(window), f"{_KEY}, place long, anchor long, whole long")
     same = paths.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("_k1", "_k2", "place")).alias("chosen"))
     same = stored(same, "contents")
@@ -129,7 +131,7 @@ def repeated_spans(source: DataFrame, dealt: DataFrame, text: str, window: int =
     judged = judged.select("_k1", "_k2", "place", repeated.alias("repeated"), opens.alias("opens")).where("repeated OR opens")
     judged = stored(judged, "paths")
     opened = judged.where("opens").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("place", (~F.col("repeated")).alias("wanted"))).alias("opened"))
-    edges = dealt.join(opened, ["_k1", "_k2"]).drop(text).mapInArrow(_open(window), f"{_KEY}, first int, wanted boolean, one long, two long")
+    edges = dealt.join(opened, ["_k1", "_k2"]).drop(text, "_twin").mapInArrow(_open(window), f"{_KEY}, first int, wanted boolean, one long, two long")
     twice = edges.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.bitwise_not("one").alias("_o"), F.bitwise_not("two").alias("_t"))
     wanted = edges.where("wanted").withColumns({"_o": F.bitwise_not("one"), "_t": F.bitwise_not("two")})
     edge_spans = wanted.join(twice, ["_o", "_t"], "left_semi").select("_k1", "_k2", "first", F.lit(window).alias("words"))
@@ -139,6 +141,21 @@ def repeated_spans(source: DataFrame, dealt: DataFrame, text: str, window: int =
     return spans.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("first", "words")).alias("spans"))
 
 
+def _equal_rows(source: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``source`` with each row key once, ``_twin`` where it stands for equal rows; and all equal rows, if there are any.
+
+    Equal rows are found by a count of keys and brought together by a combining
+    aggregate, so a row repeated without end neither meets itself nor fills a task.
+    """
+    keys = ["_k1", "_k2"]
+    twins = stored(source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(*keys), "equal_rows")
+    if twins.isEmpty():
+        return source.withColumn("_twin", F.lit(False)), None
+    told = skew_join(source, twins.withColumn("_twin", F.lit(True)), keys, "left").withColumn("_twin", F.coalesce("_twin", F.lit(False)))
+    equal = told.where("_twin")
+    return told.where("NOT _twin").unionByName(stored(equal.dropDuplicates(keys), "one_of_equal_rows")), equal
+
+
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
     """Remove every word covered by a run of ``window`` words that also starts anywhere else, same document included.
 
@@ -148,7 +165,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     are added. With ``digest`` the columns are ``id``, ``n_words``,
     ``n_removed``, ``kept_sha256`` (of the kept words joined by one space).
 
-    Repeats are judged on the input. Equal rows repeat each other; tied ids with
+    Repeats are judged on the input. Equal rows repeat each other, so all words
+    of one that has a window go, and one of them stands for all in the search
+    for partners; tied ids with
     different texts are different documents; a null or empty text and a text
     shorter than the window keep what they have; a null text stays null; an
     empty table gives no rows. Content is compared by 128 bits of hash: of the anchor
@@ -159,18 +178,21 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     names = [id, text] if digest else list(docs.columns)
     carried, body = [f"_c{i}" for i in range(len(names))], f"_c{names.index(text)}"      # no clash with inner names
     source = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, carried, strict=True)], *row_key(id, text))
+    source, equal = _equal_rows(source)
     dealt = source.repartition("_k1", "_k2").withColumn("_text", F.col(body))
     spans = repeated_spans(source.withColumn("_text", F.col(body)), dealt, body, window)
-    judged = dealt.join(spans, ["_k1", "_k2"], "left").select(*carried, "spans")
+    judged = dealt.join(spans, ["_k1", "_k2"], "left").where("NOT _twin").select(*carried, "spans", F.lit(False).alias("all"))
+    if equal is not None:
+        judged = judged.unionByName(equal.select(*carried, F.lit(None).cast(judged.schema["spans"].dataType).alias("spans"), F.lit(True).alias("all")))
     counts_of = "n_words long, n_removed long, kept_sha256 string" if digest else "_n_words long, _n_removed long"
     schema = f"{typed(docs, *names[:1] if digest else names)}, {counts_of}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, removed = [], [], []
-            for raw, found in zip(raw_texts(batch, body), batch.column("spans").to_pylist(), strict=True):
+            for raw, found, whole in zip(raw_texts(batch, body), *(batch.column(c).to_pylist() for c in ("spans", "all")), strict=True):
                 words = words_of(raw)
-                gone = _covered(found, len(words))
+                gone = np.full(len(words), len(words) >= window) if whole else _covered(found, len(words))
                 total.append(len(words))
                 removed.append(int(gone.sum()))
                 left = words if not removed[-1] else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]

@@ -110,6 +110,20 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_equal_rows_do_not_meet_each_other(docs_of):
+    """Thousands of equal rows lose all their windows, and so do the passages that others share with them."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    common, other = rng.choices(words, k=300), rng.choices(words, k=50)
+    rows = [(1, " ".join(common))] * 4000 + [(2, " ".join([*other, *common[100:160]])), (3, " ".join([*other[5:45], *common[:34]])), (4, " ".join(common[:34]))]
+    rows += [(5, " ".join(common[:34]))] * 3 + [(None, None)] * 3
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(docs_of(rows), digest=True).collect())
+    assert got == {(1, 300, 300): 4000, (2, 110, 100): 1, (3, 74, 40): 1, (4, 34, 0): 1, (5, 34, 0): 3, (None, 0, 0): 3}
+    whole = remove_repeats(docs_of(rows))
+    assert Counter((r.text, r.lang) for r in whole.where("doc_id = 1").collect()) == {("", "en"): 4000}
+    assert whole.where("doc_id IS NULL AND text IS NULL").count() == 3
+
+
 def item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
