@@ -144,6 +144,32 @@ def correlation_matrix(spark, sf):
     return _matrix(M.correlation_matrix(l, ["quantity", "price", "discount", "flag"], ["flag"]))
 
 
+_GAPS = {"quantity": "q", "price": "p", "discount": "d", "tax": "x"}
+_GAP_ROWS = """t AS (SELECT l_quantity AS q, CASE WHEN l_linenumber <> 2 THEN l_extendedprice END AS p, CASE WHEN l_quantity > 5 THEN l_discount END AS d,
+  CASE WHEN l_linestatus <> 'O' THEN l_tax END AS x FROM lineitem)"""
+
+
+def _gaps_sql() -> str:
+    """Every pair on the rows that have both columns; ranks are taken among those."""
+    cells = []
+    for a, x in _GAPS.items():
+        for b, y in _GAPS.items():
+            if a == b:
+                cells.append(f"SELECT '{a}' AS \"row\", '{b}' AS col, CAST(1 AS DOUBLE) AS r, count({x}) AS n FROM t")
+            else:
+                both = f"(SELECT {x}, {y} FROM t WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
+                cells.append(f"SELECT '{a}', '{b}', corr(rx, ry), count(*) FROM (SELECT {_rank_sql(x)} AS rx, {_rank_sql(y)} AS ry FROM {both})")
+    return f'WITH {_GAP_ROWS}, m AS ({" UNION ALL ".join(cells)}) SELECT "row", col, round(r, 8) AS r, n FROM m'
+
+
+@case("correlation_matrix_with_gaps", _gaps_sql())
+def correlation_matrix_with_gaps(spark, sf):
+    l = table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("quantity"), F.when(F.col("l_linenumber") != 2, F.col("l_extendedprice")).alias("price"),
+        F.when(F.col("l_quantity") > 5, F.col("l_discount")).alias("discount"), F.when(F.col("l_linestatus") != "O", F.col("l_tax")).alias("tax"))
+    return M.correlation_matrix(l, list(_GAPS)).select("row", "col", r("r", 8).alias("r"), "n")
+
+
 @case("fisher_ci", """
 WITH g AS (SELECT l_suppkey AS supp, corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT supp, round(tanh(atanh(r) - 1.959964 / sqrt(n - 3)), 8) AS lo, round(tanh(atanh(r) + 1.959964 / sqrt(n - 3)), 8) AS hi FROM g""")

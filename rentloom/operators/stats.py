@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rentloom.functions.casts import col
 from rentloom.functions.probability import correlation_p, normal_two_sided_p
@@ -77,10 +78,9 @@ def _centred(df: DataFrame, columns: int) -> DataFrame:
     return out.withColumns({f"_d{i}": F.col(f"_r{i}") - (F.col("_n") + 1) / 2 for i in range(columns)})
 
 
-def _weighted_corr(a: str, b: str) -> Column:
-    w = F.col("_w").cast("double")
-    return F.sum(w * F.col(a) * F.col(b)) / F.sqrt(
-        F.nullif(F.sum(w * F.col(a) * F.col(a)) * F.sum(w * F.col(b) * F.col(b)), F.lit(0.0)))
+def _weighted_corr(a: str | Column, b: str | Column) -> Column:
+    a, b, w = col(a), col(b), F.col("_w").cast("double")
+    return F.sum(w * a * b) / F.sqrt(F.nullif(F.sum(w * a * a) * F.sum(w * b * b), F.lit(0.0)))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -90,17 +90,51 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return out.withColumn("p", correlation_p("r", F.col("n").cast("double")))
 
 
+def _pairwise_ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct combinations with their count ``_w`` and ``_d``, the centred ranks of every column for every partner.
+
+    ``_d[i][j]`` is the rank of column i among the rows that also have column j,
+    less the mean rank there; null where either is missing. A value is counted
+    once for every partner, so running sums over the values of a column give its
+    ranks for all partners together, whichever columns have gaps.
+    """
+    k = range(len(columns))
+    number = [F.col(f"`{c}`").cast("double") for c in columns]
+    held = F.array(*[F.when(~F.isnan(x), x) for x in number])
+    base = df.select(held.alias("_x")).where(F.size(F.filter("_x", lambda x: x.isNotNull())) >= 2)
+    base = checkpointed(base.groupBy("_x").agg(F.count(F.lit(1)).alias("_w")).withColumn("_id", F.monotonically_increasing_id()))
+    cells = base.select("_id", "_w", "_x", F.posexplode("_x").alias("_i", "_v")).where("_v IS NOT NULL")
+    partners = [F.sum(F.when(F.col("_x")[j].isNotNull(), F.col("_w")).otherwise(0)).alias(f"_n{j}") for j in k]
+    values = cells.groupBy("_i", "_v").agg(*partners)
+    # Ranges of values are written with their number, so that every later step sees the same ones.
+    values = checkpointed(values.repartitionByRange("_i", "_v").withColumn("_range", F.spark_partition_id()))
+    sums = values.groupBy("_i", "_range").agg(*[F.sum(f"_n{j}").alias(f"_t{j}") for j in k])
+    column = Window.partitionBy("_i")
+    before = column.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_i", "_range", *[F.coalesce(F.sum(f"_t{j}").over(before), F.lit(0)).alias(f"_before{j}") for j in k],
+                          *[F.sum(f"_t{j}").over(column).alias(f"_all{j}") for j in k])
+    upto = Window.partitionBy("_i", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = values.withColumns({f"_end{j}": F.sum(f"_n{j}").over(upto) for j in k}).join(F.broadcast(offsets), ["_i", "_range"])
+    rank = [F.col(f"_before{j}") + F.col(f"_end{j}") - (F.col(f"_n{j}") - 1) / 2 - (F.col(f"_all{j}") + 1) / 2 for j in k]
+    ranks = ends.select("_i", "_v", F.array(*rank).alias("_r"))
+    ranked = skew_join(cells.select("_id", "_w", "_i", "_v"), ranks, ["_i", "_v"], "inner")
+    rows = ranked.groupBy("_id", "_w").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_r"))).alias("_m"))
+    both = lambda i, j: F.when(F.col("_m")[j].isNotNull(), F.col("_m")[i][j])
+    return rows.select("_w", F.array(*[F.array(*[both(i, j) for j in k]) for i in k]).alias("_d"))
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str], binary: Sequence[str] = ()) -> DataFrame:
     """Every ordered pair: (row, col, method, r, p, n, lo, hi, label).
 
     Pairs with a binary column use the point-biserial method, others ranks. All
     pairs come from two aggregates, one over the rows and one over ranked value
     counts. Every pair uses the rows in which both columns are present, and
-    ``n`` is their number; where a third column has gaps in them, the pair is
-    ranked on its own.
+    ``n`` is their number. Where gaps differ, each column is ranked for every
+    partner in the same pass; the number of jobs does not grow with the pairs.
+    A value that is not a number is a gap; a pair without rows has no ``r``.
     """
     columns = list(columns)
-    number = {c: F.col(f"`{c}`").cast("double") for c in columns}
+    number = {c: F.when(~F.isnan(x), x) for c in columns for x in [F.col(f"`{c}`").cast("double")]}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     is_binary = {(a, b): a in binary or b in binary for a, b in pairs}
     direct = [F.corr(number[a], number[b]).alias(f"c_{a}_{b}") for a, b in pairs if is_binary[a, b]]
@@ -109,16 +143,18 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], binary: Sequence[s
     figures = df.agg(*sizes, *direct)
     ranked_columns = sorted({c for p in pairs if not is_binary[p] for c in p}, key=columns.index)
     if ranked_columns:
-        at = {c: f"_d{i}" for i, c in enumerate(ranked_columns)}
-        ranked = _centred(_ranked_counts(df, ranked_columns), len(ranked_columns))
+        at = {c: i for i, c in enumerate(ranked_columns)}
         by_pair = [(a, b) for a, b in pairs if not is_binary[a, b]]
         whole = reduce(lambda x, y: x & y, (number[c].isNotNull() for c in ranked_columns))
         complete, *each = df.agg(F.count_if(whole), *[F.count_if(present[pair]) for pair in by_pair]).first()
-        alike = [pair for pair, rows in zip(by_pair, each, strict=True) if rows == complete]
-        apart = {pair: spearman(df, *pair) for pair in by_pair if pair not in alike}
-        by_rank = ranked.agg(*[_weighted_corr(at[a], at[b]).alias(f"c_{a}_{b}") for a, b in alike], F.count(F.lit(1)).alias("_rows")).drop("_rows")
-        figures = figures.select("*", *[own.select("r").scalar().alias(f"c_{a}_{b}") for (a, b), own in apart.items()])
-        figures = figures.select("*", *[by_rank.select(f"`{c}`").scalar().alias(c) for c in by_rank.columns])
+        if all(rows == complete for rows in each):
+            ranked = _centred(_ranked_counts(df, ranked_columns), len(ranked_columns))
+            sides = {(a, b): (F.col(f"_d{at[a]}"), F.col(f"_d{at[b]}")) for a, b in by_pair}
+        else:
+            ranked = _pairwise_ranked(df, ranked_columns)
+            sides = {(a, b): (F.col("_d")[at[a]][at[b]], F.col("_d")[at[b]][at[a]]) for a, b in by_pair}
+        by_rank = checkpointed(ranked.agg(F.struct(*[_weighted_corr(*both).alias(f"c_{a}_{b}") for (a, b), both in sides.items()]).alias("ranked")))
+        figures = figures.select("*", by_rank.scalar().alias("ranked")).select("*", "ranked.*")
     cells = []
     for a in columns:
         for b in columns:

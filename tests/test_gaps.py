@@ -59,5 +59,35 @@ def test_a_gap_in_a_third_column_changes_no_pair(spark):
     assert abs(got["a", "b"].r - alone.r) < 1e-12 and abs(got["b", "a"].p - alone.p) < 1e-12 and abs(got["c", "a"].r - part.r) < 1e-12
 
 
+def test_many_columns_with_gaps_are_ranked_pair_by_pair(spark):
+    """Equal to ranking each pair on its own, with ties, empty columns, values that are no numbers; no more jobs for more columns."""
+    rng = random.Random(4)
+    names = [f"c{i}" for i in range(8)]
+    rows = [tuple(None if i == 7 or rng.random() < 0.1 * i else float("nan") if i == 3 and rng.random() < 0.1 else float(rng.randint(0, 9 * (i + 1)))
+                  for i in range(8)) for _ in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+
+    def jobs(columns):
+        context.setJobGroup(f"gaps {len(columns)}", "")
+        got = correlation_matrix(df, columns).collect()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return got, len(tracker.getJobIdsForGroup(f"gaps {len(columns)}"))
+
+    got, many = jobs(names)
+    assert 0 < many <= jobs(names[:3])[1] + 3
+    by_pair = {(r.row, r.col): r for r in got}
+    frame = df.toPandas()
+    for i, a in enumerate(names):
+        for b in names[i + 1:]:
+            both = frame[[a, b]].dropna()
+            r, n = by_pair[a, b].r, by_pair[a, b].n
+            assert n == len(both) == by_pair[b, a].n
+            if b == "c7":
+                assert r is None and by_pair[a, b].label == "NaN"
+            else:
+                assert abs(r - both[a].rank().corr(both[b].rank())) < 1e-9 and by_pair[b, a].r == r
+
+
 def test_posthoc_label_breaks_its_line(spark):
     assert spark.range(1).select(posthoc_label(F.lit(0.0001))).first()[0] == "P < 0.001\nVERY SIGNIFICANT"

@@ -11,7 +11,7 @@ USUAL = """
 read_rates_json read_hierarchy_json assign_row_key parse_dates normalize_text_columns require_key_fields exclusion_ledger
 trim_outliers trim_grouped_outliers dedupe_keep_first monthly_usd_price one_hot_wide reindex_addresses apply_translations
 streetwise_change_by_district group_price_median order_categories sample_per_group bridge_tables upsert check_references
-extract_all_components fuzzy_lookup similar_pairs resolve_region merge_providers spearman correlation_matrix dunn_posthoc
+extract_all_components fuzzy_lookup similar_pairs resolve_region merge_providers spearman correlation_matrix correlation_matrix_with_gaps dunn_posthoc
 box_summary infer_city feature_vectors
 """.split()
 
