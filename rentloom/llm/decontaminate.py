@@ -1,23 +1,26 @@
-"""Passages of benchmark items inside documents, by winnowed fingerprints that are extended to whole windows."""
+"""Passages of benchmark items inside documents: winnowed fingerprints of both sides are joined and extended to whole windows."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.batches import raw_texts, typed
+from rentloom.llm.batches import bounded, raw_texts, row_key, stored
+from rentloom.llm.collocations import Filter
 from rentloom.llm.hashing import BASES, RunHashes, WordHashes, anchors
+from rentloom.operators.scale import skew_join
 
 WINDOW = 13                     # words that must agree in a row
 GRAM = 7                        # words per fingerprint
 REACH = WINDOW - GRAM + 1       # fingerprints per winnowing window: any shared WINDOW words share one
-BLOCK_BYTES = 16 << 20          # benchmark text per broadcast
+SLICE_BYTES = 4 << 20           # text handled at a time in a task
+_KEY = ["_k1", "_k2"]
+_SAME = ["gram", "one", "two"]  # fingerprint of a window and two hashes of all its words
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"      # words as item_words finds them
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -26,93 +29,115 @@ def item_words(raw: bytes | None) -> list[bytes]:
     return raw.translate(_LOWER).split() if raw else []
 
 
-@dataclass
-class Block:
-    """Windows of some benchmark items, sorted by hash; short items are one window of their own length."""
+class Windows:
+    """Windows of a text: the fingerprint that winnowing keeps in each, and hashes of its words."""
 
-    names: list[str]
-    grams: np.ndarray                                        # winnowed fingerprints of the long items
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]      # length -> hash, second hash, item number
+    def __init__(self) -> None:
+        self.words, self.first, self.second = WordHashes(), RunHashes(BASES[0]), RunHashes(BASES[1])
 
-    @classmethod
-    def build(cls, items: list[tuple[str, bytes | None]]) -> Block:
-        words, first, second = WordHashes(), RunHashes(BASES[0]), RunHashes(BASES[1])
-        names = sorted({name for name, _ in items})
-        number = {name: i for i, name in enumerate(names)}
-        grams, found = [np.zeros(0, np.uint64)], {}
-        for name, raw in items:
-            hashes = words(item_words(raw))
+    def kept(self, hashes: np.ndarray, width: int) -> np.ndarray:
+        """The fingerprint of every window: the smallest gram hash, or all words where a window is short."""
+        if width < WINDOW:
+            return self.first.windows(hashes, width)
+        grams = self.first.windows(hashes, GRAM)
+        return grams[anchors(grams, REACH)]
+
+    def whole(self, hashes: np.ndarray, starts: np.ndarray, width: int) -> list[np.ndarray]:
+        return [h.runs(h.sums(hashes), starts, starts + width) for h in (self.first, self.second)]
+
+
+def _long(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.uint64).view(np.int64))
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of the items; an item of fewer words is one window of its own length."""
+    windows = Windows()
+    for batch in batches:
+        for name, raw in zip(batch.column("name"), raw_texts(batch, "_text"), strict=True):
+            hashes = windows.words(item_words(raw))
             if not len(hashes):
                 continue
             width = min(WINDOW, len(hashes))
-            if width == WINDOW:
-                gram = first.windows(hashes, GRAM)
-                grams.append(gram[np.unique(anchors(gram, REACH))])
-            one, two = first.windows(hashes, width), second.windows(hashes, width)
-            found.setdefault(width, []).append((one, two, np.full(len(one), number[name])))
-        windows = {}
-        for width, parts in found.items():
-            one, two, item = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((item, one))
-            keep = order[np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(item[order]) != 0)])]
-            windows[width] = one[keep], two[keep], item[keep]
-        return cls(names, np.unique(np.concatenate(grams)), windows)
-
-
-def _member(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(listed, values)
-    at[at == len(listed)] = 0
-    return listed[at] == values if len(listed) else np.zeros(len(values), bool)
-
-
-class Matcher:
-    """Finds the windows of a block in a text."""
-
-    def __init__(self, block: Block) -> None:
-        self.block, self.words = block, WordHashes()
-        self.first, self.second = RunHashes(BASES[0]), RunHashes(BASES[1])
-
-    def _starts(self, hashes: np.ndarray, width: int) -> np.ndarray:
-        """Places where a window of a given width can start: all for short ones, around shared fingerprints else."""
-        if width < WINDOW:
-            return np.arange(len(hashes) - width + 1)
-        gram = self.first.windows(hashes, GRAM)
-        chosen = np.unique(anchors(gram, REACH))
-        hit = chosen[_member(gram[chosen], self.block.grams)]
-        reach = np.unique((hit[:, None] - np.arange(REACH)).ravel())
-        return reach[(reach >= 0) & (reach <= len(hashes) - width)]
-
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(which words are inside a window of an item, numbers of the items found)."""
-        hashes = self.words(words)
-        edges, items = np.zeros(len(words) + 1, np.int32), []
-        for width, (one, two, item) in self.block.windows.items():
-            if len(words) < width:
-                continue
-            starts = self._starts(hashes, width)
-            if not len(starts):
-                continue
-            keys = self.first.runs(self.first.sums(hashes), starts, starts + width)
-            low, high = np.searchsorted(one, keys, "left"), np.searchsorted(one, keys, "right")
-            hit = high > low
-            starts, low, high = starts[hit], low[hit], high[hit]
-            if not len(starts):
+            starts = np.arange(len(hashes) - width + 1)
+            columns = [windows.kept(hashes, width), *windows.whole(hashes, starts, width)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name.as_py()] * len(starts), pa.string()), pa.array(np.full(len(starts), width, np.int32)), *map(_long, columns)],
+                ["name", "width", *_SAME])
+
+
+def _candidates(listed, widths: list[int]):
+    """Windows of documents whose fingerprint may be one of an item: a row for each that differs, with all its starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, known = Windows(), listed.value
+        for batch in bounded(batches, "_text", SLICE_BYTES):
+            rows, found = [], []
+            for i, raw in enumerate(raw_texts(batch, "_text")):
+                hashes = windows.words(item_words(raw))
+                for width in widths:
+                    if len(hashes) < width:
+                        continue
+                    kept = windows.kept(hashes, width)
+                    starts = np.flatnonzero(known(kept))
+                    if not len(starts):
+                        continue
+                    one, two = windows.whole(hashes, starts, width)
+                    order = np.argsort(one, kind="stable")
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(one[order]) != 0]))
+                    at = order[first]
+                    rows.append(np.full(len(at), i))
+                    found.append((np.full(len(at), width), kept[starts[at]], one[at], two[at], np.diff(np.append(first, len(order))), starts[order]))
+            if not rows:
                 continue
-            exact = self.second.runs(self.second.sums(hashes), starts, starts + width) == two[low]
-            np.add.at(edges, starts[exact], 1)
-            np.add.at(edges, starts[exact] + width, -1)
-            for a, b in {*zip(low[exact].tolist(), high[exact].tolist(), strict=True)}:
-                items.append(item[a:b])
-        return np.cumsum(edges[:-1]) > 0, np.unique(np.concatenate(items)) if items else np.zeros(0, np.int64)
+            row = np.concatenate(rows)
+            width, *same, count, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+            keys = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]) for c in _KEY]
+            ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(starts.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(width.astype(np.int32)), *map(_long, same), lists], [*_KEY, "width", *_SAME, "starts"])
+
+    return run
 
 
-def _blocks(benchmark: DataFrame, id: str, text: str) -> list[list[tuple[str, bytes | None]]]:
-    """The items in blocks of about BLOCK_BYTES, each collected on its own."""
-    items = benchmark.select(F.coalesce(F.col(id).cast("string"), F.lit("null")).alias("name"), F.col(text).alias("text")).distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = -(-size // BLOCK_BYTES) or 1
-    dealt = items.withColumn("_b", F.pmod(F.xxhash64("name", "text"), F.lit(count)))
-    return [[(r["name"], r["text"] and r["text"].encode()) for r in dealt.where(F.col("_b") == b).collect()] for b in range(count)]
+def covered(spans: list[dict]) -> int:
+    """How many words lie in at least one window."""
+    start = np.concatenate([np.asarray(s["starts"], np.int64) for s in spans])
+    end = start + np.repeat([s["width"] for s in spans], [len(s["starts"]) for s in spans])
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], end[order]
+    before = np.concatenate([[0], np.maximum.accumulate(end)[:-1]])
+    return int(np.maximum(end - np.maximum(start, before), 0).sum())
+
+
+def _count_covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = pa.array([covered(spans) for spans in batch.column("spans").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEY), counts], [*_KEY, "n_hit"])
+
+
+def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents with windows of items: ``_k1``, ``_k2``, ``n_hit``, ``n_items``, ``items_sha256``.
+
+    ``docs`` has the row key and ``_text``, ``items`` has ``name`` and ``_text``.
+    """
+    spark = docs.sparkSession
+    windows = stored(items.mapInArrow(_item_windows, "name string, width int, gram long, one long, two long").distinct(), "item_windows")
+    # Windows with the same items are told by a hash of the set, so that a document meets each set once and not each window.
+    sets = [F.bit_xor(F.xxhash64("name")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "name")).alias("s2")]
+    known = stored(windows.groupBy(*_SAME).agg(*sets), "windows")
+    widths = sorted(r["width"] for r in windows.select("width").distinct().collect())
+    listed = spark.sparkContext.broadcast(Filter.of(known.select(F.col("gram").alias("h"))))
+    found = docs.select(*_KEY, "_text").where("_text IS NOT NULL").mapInArrow(
+        _candidates(listed, widths), "_k1 long, _k2 long, width int, gram long, one long, two long, starts array<int>")
+    matched = stored(skew_join(stored(found, "candidates"), known, _SAME, "inner").drop(*_SAME), "matches")
+    spans = matched.groupBy(*_KEY).agg(F.collect_set(F.struct("width", "starts")).alias("spans"))
+    words = spans.mapInArrow(_count_covered, "_k1 long, _k2 long, n_hit long")
+    example = known.groupBy("s1", "s2").agg(F.min(F.struct(*_SAME)).alias("w")).select("s1", "s2", "w.*")
+    members = windows.join(example, _SAME).select("s1", "s2", "name")
+    names = matched.select(*_KEY, "s1", "s2").distinct().join(members, ["s1", "s2"])
+    names = names.groupBy(*_KEY).agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return words.join(names.select(*_KEY, F.size("names").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "names"), 256).alias("items_sha256")), _KEY)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -123,56 +148,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     ``contaminated``; with ``keep`` all columns of ``docs`` come along, prefixed
     results (``_n_words`` ...) beside them. Fingerprints of both sides are the
     smallest gram hashes of every REACH grams in a row, so any WINDOW shared
-    words share one; a shared fingerprint is extended to every window around
-    it, which is then compared by two independent hashes. Items of fewer words
-    are compared as a whole at every place. One pass, no shuffle; a benchmark
-    of more than BLOCK_BYTES is worked through in blocks, one pass each, in the
-    same job. One output row per input row; null and empty texts have no words
+    words share one. A bitmap of fixed size tells which fingerprints of
+    documents may be those of items; these are joined with the items' and
+    extended to their windows, which are compared by two independent hashes.
+    Items of fewer words are compared as a whole at every place. Neither side
+    passes through the driver, and keys with many rows are split. One output row
+    per input row; null and empty texts have no words
     and no hits, rows of one item id count as one item, an item without an id
     is called null, items without words never occur, an empty benchmark hits
     nothing, tied and repeated rows give equal rows.
     """
-    spark = docs.sparkSession
-    results = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     names = list(docs.columns) if keep else [id]
     carried = [f"_c{i}" for i in range(len(names))]      # no clash with inner names
-    state = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, carried, strict=True)], F.col(text).alias("_text_"),
-                        F.array().cast("array<int>").alias("_hits_"), F.array().cast("array<string>").alias("_found_"))
-    plain = typed(state, *carried)
-    blocks = _blocks(benchmark, item_id, item_text)
-    for number, items in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(Block.build(items))
-        state = state.mapInArrow(_block_pass(shared, number == len(blocks) - 1, carried, results, "_" if keep else ""), f"{plain}, " + (
-            ", ".join(f"`{'_' if keep else ''}{n}` {t}" for n, t in zip(results, ("long", "long", "long", "string", "boolean"), strict=True))
-            if number == len(blocks) - 1 else "_text_ string, _hits_ array<int>, _found_ array<string>"))
-    return state.select(*[F.col(c).alias(n) for n, c in zip(names, carried, strict=True)], *state.columns[len(carried):])
-
-
-def _block_pass(shared, last: bool, carried: list[str], results: list[str], prefix: str):
-    """One block over all rows; the last one sums up. Hits are first and one-past-last word positions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value)
-        for batch in batches:
-            rows = []
-            for raw, hits, found in zip(raw_texts(batch, "_text_"), batch.column("_hits_").to_pylist(), batch.column("_found_").to_pylist(), strict=True):
-                words = item_words(raw)
-                inside, items = matcher(words)
-                for a, b in zip(hits[::2], hits[1::2], strict=True):
-                    inside[a:b] = True
-                names = sorted({*found, *(matcher.block.names[i] for i in items)})
-                if last:
-                    hit = int(inside.sum())
-                    rows.append((len(words), hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 20 * hit >= len(words)))
-                else:
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-                    rows.append((edges.tolist(), names))
-            kinds = ([pa.int64()] * 3 + [pa.string(), pa.bool_()]) if last else [pa.list_(pa.int32()), pa.list_(pa.string())]
-            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            made = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-            names_out = [prefix + r for r in results] if last else ["_hits_", "_found_"]
-            if not last:
-                made, names_out = [batch.column("_text_"), *made], ["_text_", *names_out]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carried))), *made], [*carried, *names_out])
-
-    return run
+    rows = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, carried, strict=True)], *row_key(id, text), F.col(f"`{text}`").alias("_text"))
+    items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("name"), F.col(f"`{item_text}`").alias("_text"))
+    found = stored(hits(rows, items), "hits")
+    words = F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
+    out = skew_join(rows.select(*carried, *_KEY, words), found, _KEY, "left")
+    hit = F.coalesce("n_hit", F.lit(0))
+    results = {"n_words": F.col("n_words"), "n_hit": hit, "n_items": F.coalesce("n_items", F.lit(0)),
+               "items_sha256": F.coalesce("items_sha256", F.sha2(F.lit(""), 256)), "contaminated": (hit > 0) & (20 * hit >= F.col("n_words"))}
+    prefix = "_" if keep else ""
+    return out.select(*[F.col(c).alias(n) for n, c in zip(names, carried, strict=True)], *[v.alias(prefix + n) for n, v in results.items()])

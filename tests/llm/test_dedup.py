@@ -7,12 +7,13 @@ from collections import Counter
 
 import pytest
 
-from rentloom.llm import decontaminate, shingle_links
+from rentloom.llm import shingle_links
 from rentloom.llm.components import components
 from rentloom.llm.decontaminate import contamination
 from rentloom.llm.fingerprints import containment, fingerprints, merged, short_text_containment
 from rentloom.llm.repeated_spans import remove_repeats
 from rentloom.llm.shingle_links import similar_documents
+from rentloom.operators import scale
 
 
 def sha(text):
@@ -128,11 +129,11 @@ def item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
-@pytest.mark.parametrize("block", [None, 40])
-def test_contamination(spark, docs_of, odd_texts, monkeypatch, block):
-    if block:      # several blocks, one pass each
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
-    docs = corpus() + [(i and i + 1000, t) for i, t in odd_texts]
+@pytest.mark.parametrize("small", [True, False])
+def test_contamination(spark, docs_of, odd_texts, monkeypatch, small):
+    if not small:      # shuffled joins, keys with many rows split off
+        monkeypatch.setattr(scale, "fits_broadcast", lambda lookup: False)
+    docs = corpus() + [(i and i + 1000, t) for i, t in odd_texts] + [(6, corpus()[6][1])] * 2
     passage = docs[6][1].split()
     items = [(1, " ".join(passage[5:40])), (2, "One, two THREE"), (3, None), (4, "--"), (5, "tied"), (5, "a a a a a a a a a a a a a a"),
              (10, " ".join(passage[20:33])), (None, "it s 12"), (7, "not there at all")]
