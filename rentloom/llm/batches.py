@@ -82,6 +82,17 @@ def typed(df: DataFrame, *columns: str) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in columns)
 
 
+def added(names: list[str], taken: list[str]) -> list[str]:
+    """Names for columns that are added to ``taken``: with as many further underscores as it needs to clash with none."""
+    lower, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name = f"_{name}"
+        lower.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a narrow table to the shared folder and read it back: later steps start from its files."""
     spark = df.sparkSession

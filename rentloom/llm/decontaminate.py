@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.batches import bounded, raw_texts, row_key, stored
+from rentloom.llm.batches import added, bounded, raw_texts, row_key, stored
 from rentloom.llm.collocations import Filter
 from rentloom.llm.hashing import BASES, RunHashes, WordHashes, anchors
 from rentloom.operators.scale import skew_join
@@ -146,7 +146,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
 
     Columns ``id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``,
     ``contaminated``; with ``keep`` all columns of ``docs`` come along, prefixed
-    results (``_n_words`` ...) beside them. Fingerprints of both sides are the
+    results (``_n_words`` ..., one more underscore where a column has that name)
+    beside them. Fingerprints of both sides are the
     smallest gram hashes of every REACH grams in a row, so any WINDOW shared
     words share one. A bitmap of fixed size tells which fingerprints of
     documents may be those of items; these are joined with the items' and
@@ -168,5 +169,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     hit = F.coalesce("n_hit", F.lit(0))
     results = {"n_words": F.col("n_words"), "n_hit": hit, "n_items": F.coalesce("n_items", F.lit(0)),
                "items_sha256": F.coalesce("items_sha256", F.sha2(F.lit(""), 256)), "contaminated": (hit > 0) & (20 * hit >= F.col("n_words"))}
-    prefix = "_" if keep else ""
-    return out.select(*[F.col(c).alias(n) for n, c in zip(names, carried, strict=True)], *[v.alias(prefix + n) for n, v in results.items()])
+    called = added([f"_{n}" for n in results], names) if keep else list(results)
+    return out.select(*[F.col(c).alias(n) for n, c in zip(names, carried, strict=True)], *[v.alias(n) for n, v in zip(called, results.values(), strict=True)])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.batches import raw_texts, row_key, stored, typed, words_of
+from rentloom.llm.batches import added, raw_texts, row_key, stored, typed, words_of
 from rentloom.llm.hashing import BASES, RunHashes, WordHashes, anchors, mix
 from rentloom.operators.scale import skew_join
 
@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     Words stand between ASCII white space. All columns of ``docs`` are kept;
     ``text`` becomes the kept words joined by one space where words were
     removed and stays as it is elsewhere, and ``_n_words`` and ``_n_removed``
-    are added. With ``digest`` the columns are ``id``, ``n_words``,
+    are added (one more underscore where a column has that name). With ``digest`` the columns are ``id``, ``n_words``,
     ``n_removed``, ``kept_sha256`` (of the kept words joined by one space).
 
     Repeats are judged on the input. Equal rows repeat each other, so all words
@@ -184,8 +184,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     judged = dealt.join(spans, ["_k1", "_k2"], "left").where("NOT _twin").select(*carried, "spans", F.lit(False).alias("all"))
     if equal is not None:
         judged = judged.unionByName(equal.select(*carried, F.lit(None).cast(judged.schema["spans"].dataType).alias("spans"), F.lit(True).alias("all")))
-    counts_of = "n_words long, n_removed long, kept_sha256 string" if digest else "_n_words long, _n_removed long"
-    schema = f"{typed(docs, *names[:1] if digest else names)}, {counts_of}"
+    counted = ["n_words", "n_removed"] if digest else added(["_n_words", "_n_removed"], names)
+    counts_of = ", ".join(f"`{c}` long" for c in counted)
+    schema = f"{typed(docs, *names[:1] if digest else names)}, {counts_of}{', kept_sha256 string' if digest else ''}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,9 +203,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
                     kept.append(raw if not removed[-1] else b" ".join(left))
             counts = [pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
             if digest:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(kept, pa.string())], [id, "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(kept, pa.string())], [id, *counted, "kept_sha256"])
                 continue
             columns = [pa.array(kept, pa.binary()).cast(pa.string()) if c == text else batch.column(i) for i, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*columns, *counts], [*names, "_n_words", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, *counts], [*names, *counted])
 
     return judged.mapInArrow(cut, schema)

@@ -3,8 +3,12 @@
 import corpus_pipeline
 import pytest
 from compare import compare, oracle_connection
+from corpus_pipeline import STAGES
+from pyspark.sql import functions as F
 
+from rentloom.llm.decontaminate import contamination
 from rentloom.llm.queries import QUERIES, SQL
+from rentloom.llm.repeated_spans import remove_repeats
 
 
 @pytest.mark.parametrize("name", list(SQL))
@@ -41,3 +45,19 @@ def test_a_copy_with_one_other_passage_goes(spark, sf, docs_of):
     words = [f"w{i}" for i in range(240)]
     rows = [(1, " ".join(words)), (2, " ".join(words[:100] + [f"x{i}" for i in range(20)] + words[120:])), (3, "something else")]
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs_of(rows), sf).collect()) == [1, 3]
+
+
+def test_clashing_columns_come_through_unchanged(spark, sf, docs_of):
+    """Columns named like inner ones pass all filtering stages with their values."""
+    names = ["_row_key_1", "_n_words", "_n_removed", "_contaminated", "_n_hit", "_k1", "_twin", "_root", "spans", "all", "accepted", "n_hit", "_extra_0", "_N_items"]
+    docs = docs_of([(i, f"This is the story of number {i} and it was told by the people of the town to all who came. " * 2) for i in range(3)])
+    docs = docs.drop("ids", "_text", "set").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for _, stage in STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        for row in out.collect():
+            assert all(row[n] == f"{n}{row.doc_id}" for n in names)
+    rows = remove_repeats(docs)
+    assert rows.columns == [*docs.columns, "__n_words", "__n_removed"] and rows.where("__n_words > 0").count() == 3
+    kept = contamination(docs, spark.createDataFrame([(1, "told by the people of the town to all")], "item_id int, text string"), keep=True)
+    assert kept.where("__contaminated AND __n_hit = 18 AND __n_items = 1").count() == 3
