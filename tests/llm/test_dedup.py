@@ -89,16 +89,53 @@ def brute_components(rows):
     return sorted((str(key), len(sets[i]), str(lows.get(find(i)) if sets[i] else key)) for i, (key, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("tight", [False, True])
-def test_similar_documents(docs_of, odd_texts, monkeypatch, tight):
-    if tight:      # every shared token is hot and makes a crowd
-        monkeypatch.setattr(shingle_links, "HOT_SETS", 3)
-        monkeypatch.setattr(shingle_links, "CROWD", 2)
+@pytest.mark.parametrize("limits", [{}, {"HOT_SETS": 3, "CROWD": 2}, {"CROWD": 10_000, "WIDE": 0}])
+def test_similar_documents(docs_of, odd_texts, monkeypatch, limits):
+    """As they are; with every shared token hot and a crowd; with every group asked for its union first."""
+    for name, value in limits.items():
+        monkeypatch.setattr(shingle_links, name, value)
     rows = corpus(n=240) + [(i and i + 1000, t) for i, t in odd_texts]
     got = similar_documents(docs_of(rows)).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
 
 
+def families(n, own, common, seed=11):
+    """Two families of ``n`` near copies each, with ``common`` template words in both."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(5000)]
+    template, rows = rng.choices(words, k=common), []
+    for family in range(2):
+        base = rng.choices(words, k=own) + template
+        for i in range(n):
+            text = list(base)
+            text[rng.randrange(own)] = f"x{family}_{i}"
+            rows.append((family * n + i, " ".join(text)))
+    return rows
+
+
+def test_families_with_a_common_part_do_not_meet_in_all_pairs(docs_of, monkeypatch):
+    verified, compared = shingle_links._verified, []
+
+    def counted(pairs, *rest):
+        pairs = pairs.checkpoint()
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+    monkeypatch.setattr(shingle_links, "_verified", counted)
+    per_member = []
+    for n in (50, 200):
+        compared.clear()
+        rows = families(n, 120, 60)
+        got = similar_documents(docs_of(rows)).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(i, i // n * n) for i in range(2 * n)}
+        per_member.append(sum(compared) / (2 * n))
+    assert per_member[1] <= 1.5 * per_member[0] + 4
+
+
+def test_families_that_are_alike_become_one(docs_of):
+    rows = families(40, 20, 220)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_documents(docs_of(rows)).collect()) == brute_components(rows)
+
+
 def test_similar_documents_of_an_empty_table(docs_of):
     assert similar_documents(docs_of([])).collect() == []
     assert [r.component_id for r in similar_documents(docs_of([(3, None)])).collect()] == [3]
