@@ -19,6 +19,8 @@ from rentloom.operators.sampling import seeded_hash
 from rentloom.session import checkpointed
 
 BACKGROUND_ROWS = 100
+LEAF_ROWS = 20
+FIT_ROWS = 50_000  # weighted rows in a partition of a fit
 
 
 @dataclass
@@ -79,16 +81,42 @@ def cluster(df: DataFrame, features: str = "components", k: int = 3, seed: int =
     return KMeans(k=k, seed=seed, featuresCol=features, predictionCol=output).fit(df).transform(df)
 
 
+def _weighted_rows(df: DataFrame, group: str, features: str, label: str) -> DataFrame:
+    """One row per group and feature vector: the mean label and the number of rows ``_n``.
+
+    Squared error sees rows with equal features as their mean, so a booster
+    splits and predicts as on all rows. A missing label stays missing.
+    """
+    whole = F.count(label) == F.count(F.lit(1))
+    return df.where(F.col(group).isNotNull()).groupBy(group, features).agg(
+        F.when(whole, F.avg(label)).alias(label), F.count(F.lit(1)).cast("double").alias("_n"))
+
+
 def fit_per_cluster(train: DataFrame, label: str, group: str = "Cluster", features: str = "features",
                     rounds: int = 200, rate: float = 0.1, seed: int = 42) -> dict:
-    """One boosted model per cluster label. Each fit is distributed; the few labels are fitted side by side."""
-    labels = [r[0] for r in train.select(group).where(F.col(group).isNotNull()).distinct().collect()]
-    booster = GBTRegressor(
-        featuresCol=features, labelCol=label, predictionCol="_pred", maxIter=rounds, stepSize=rate, maxBins=255,
-        minInstancesPerNode=20, seed=seed, checkpointInterval=10)
-    fit = inheritable_thread_target(train.sparkSession)(lambda g: booster.fit(train.where(F.col(group) == g)))
-    with ThreadPoolExecutor(max_workers=min(8, max(1, len(labels)))) as pool:
-        return dict(zip(sorted(labels), pool.map(fit, sorted(labels))))
+    """One boosted model per cluster label. Each fit is distributed; the few labels are fitted side by side.
+
+    Rows with equal features are fitted as one weighted row, and the least 20
+    rows of a leaf are a share of the weight. A fit makes ``rounds`` times six
+    small jobs, so a cluster has no more partitions than its share of the cores
+    unless these would hold over FIT_ROWS rows.
+    """
+    spark = train.sparkSession
+    weighted = checkpointed(_weighted_rows(train, group, features, label))
+    sizes = {r[0]: r for r in weighted.groupBy(group).agg(F.sum("_n"), F.count(F.lit(1))).collect()}
+    share = max(1, spark.sparkContext.defaultParallelism // max(1, len(sizes)))
+
+    def fit(g):
+        _, total, distinct = sizes[g]
+        booster = GBTRegressor(
+            featuresCol=features, labelCol=label, weightCol="_n", predictionCol="_pred", maxIter=rounds, stepSize=rate, maxBins=255,
+            # Half a row less, as a share, takes exactly the leaves of LEAF_ROWS rows and more; two of them need twice the rows.
+            minWeightFractionPerNode=min(0.49, (LEAF_ROWS - 0.5) / total), maxDepth=5 if total >= 2 * LEAF_ROWS else 0,
+            seed=seed, checkpointInterval=10)
+        return booster.fit(weighted.where(F.col(group) == g).coalesce(max(share, -(-distinct // FIT_ROWS))))
+
+    with ThreadPoolExecutor(max_workers=min(8, max(1, len(sizes)))) as pool:
+        return dict(zip(sorted(sizes), pool.map(inheritable_thread_target(spark)(fit), sorted(sizes))))
 
 
 def predict_per_cluster(df: DataFrame, models: Mapping, group: str = "Cluster", output: str = "Predicted") -> DataFrame:
