@@ -155,10 +155,12 @@ def shapley_importance(df: DataFrame, row_id: str, columns: Sequence[str], score
     """(row id, feature, attribution): permutation Shapley values, features grouped by source column.
 
     Each row walks ``permutations`` seeded orders of the columns from a
-    background row to itself; every step is one row to score. All steps of all
-    rows are scored by one distributed ``score(df) -> df with _pred``. The
-    attributions of a row sum to its prediction minus the mean prediction of its
-    background rows. ``background`` has at most BACKGROUND_ROWS rows.
+    background row to itself; every step is one row to score. Scoring walks all
+    trees of a model, so different steps with equal cells are scored once:
+    ``score(df) -> df with _pred`` sees every mix of cells once, and the steps
+    look their mix up. The attributions of a row sum to its prediction minus the
+    mean prediction of its background rows. ``background`` has at most
+    BACKGROUND_ROWS rows.
     """
     columns = list(columns)
     background = F.broadcast(checkpointed(background))
@@ -170,9 +172,14 @@ def shapley_importance(df: DataFrame, row_id: str, columns: Sequence[str], score
         lambda x: x["c"])
     steps = rows.withColumn("_order", order).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(len(columns)))))
     swapped = F.slice("_order", 1, F.col("_k"))
-    mixed = {c: F.when(F.array_contains(swapped, c), F.col(f"_own.`{c}`")).otherwise(F.col(f"row.`{c}`")) for c in columns}
-    scored = score(steps.select(row_id, "_p", "_k", "_order", *[v.alias(c) for c, v in mixed.items()])).select(row_id, "_p", "_k", "_order", "_pred")
-    walk = scored.groupBy(row_id, "_p", "_order").agg(F.sort_array(F.collect_list(F.struct("_k", "_pred"))).alias("w"))
+    mixed = [F.when(F.array_contains(swapped, c), F.col(f"_own.`{c}`")).otherwise(F.col(f"row.`{c}`")).alias(c) for c in columns]
+    steps = steps.select(row_id, "_p", "_k", F.struct(*mixed).alias("_mix"))
+    # Structs are equal, too, where both have the same missing cells.
+    scored = score(steps.select("_mix").distinct().select("_mix", "_mix.*")).select("_mix", "_pred")
+    scored = steps.join(scored, "_mix").select(row_id, "_p", "_k", "_pred")
+    # Dealt by the row alone, both aggregates find their rows in place; the order of a walk is made again, not shuffled.
+    walk = scored.repartition(row_id).groupBy(row_id, "_p").agg(F.sort_array(F.collect_list(F.struct("_k", "_pred"))).alias("w"))
+    walk = walk.withColumn("_order", order)
     gains = F.transform("_order", lambda c, i: F.struct(c.alias("feature"), (F.col("w")[i + 1]["_pred"] - F.col("w")[i]["_pred"]).alias("gain")))
     return walk.select(row_id, F.explode(gains).alias("g")).groupBy(row_id, F.col("g.feature").alias("feature")).agg(
         F.avg("g.gain").alias("attribution"))
