@@ -131,6 +131,27 @@ def test_families_with_a_common_part_do_not_meet_in_all_pairs(docs_of, monkeypat
     assert per_member[1] <= 1.5 * per_member[0] + 4
 
 
+def test_texts_that_share_a_line_are_told_apart_by_their_prefixes(docs_of, monkeypatch):
+    """Only pairs whose prefixes share enough tokens are compared by their texts."""
+    rng, read, store = random.Random(17), [], shingle_links.stored
+
+    def counted(df, name, *rest):
+        out = store(df, name, *rest)
+        if name == "hopeful-pairs":
+            read.append(out.count())
+        return out
+    monkeypatch.setattr(shingle_links, "stored", counted)
+    line = [f"line{i}" for i in range(60)]
+    rows = [(i, " ".join([f"o{i}_{k}" for k in range(300)] + line[5 * (i % 10):5 * (i % 10) + 8])) for i in range(80)]
+    for i in range(80, 90):
+        near = rows[i - 80][1].split()
+        near[rng.randrange(300)] = f"n{i}"
+        rows.append((i, " ".join(near)))
+    got = similar_documents(docs_of(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
+    assert read and 10 <= sum(read) <= 20
+
+
 def test_families_that_are_alike_become_one(docs_of):
     rows = families(40, 20, 220)
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_documents(docs_of(rows)).collect()) == brute_components(rows)
