@@ -88,6 +88,27 @@ def test_sample_sizes_and_stability(spark, skewed):
     assert {r["k"]: r["count"] for r in taken} == {k: min(n, 120) for k, n in sizes.items() if n >= 500}
 
 
+def test_sample_orders_few_hashes_of_a_group(spark, monkeypatch):
+    """Groups are counted, and no sketch of all their hashes is made; ids that repeat still give the whole sample."""
+    from rentloom.operators import sampling
+
+    sketched, quantiles = [], sampling.exact_quantiles
+
+    def counted(df, *rest, **more):
+        sketched.append(df.count())
+        return quantiles(df, *rest, **more)
+    monkeypatch.setattr(sampling, "exact_quantiles", counted)
+    rows = [("big", i) for i in range(4000)] + [("small", i) for i in range(20)] + [("some", i) for i in range(90)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "k string, id long")
+    got = sample_per_group(df, ["k"], "id", 30, 40)
+    hashes = {(r["k"], r["id"]): r["h"] for r in df.select("k", "id", sampling.seeded_hash("id", 42).alias("h")).collect()}
+    want = {key for k in ("big", "some") for key in sorted((x for x in hashes if x[0] == k), key=hashes.get)[:40]}
+    assert {(r["k"], r["id"]) for r in got.collect()} == want and not sketched
+    # All rows of one id: their hash lies above or below every bound together.
+    same = spark.createDataFrame([(i % 7, i % 7) for i in range(7000)], "k long, id long")
+    assert sample_per_group(same, ["k"], "id", 30, 40).groupBy("k").count().where("count = 1000").count() == 7
+
+
 def test_split_is_exact_and_stable(skewed):
     part = skewed.where("id < 1237")
     a = {r["id"] for r in train_test_split(part, "id").where("is_train").collect()}
