@@ -15,10 +15,11 @@ from pyspark.sql.window import Window
 
 from rentloom.functions.casts import col
 from rentloom.functions.probability import correlation_p, normal_two_sided_p
-from rentloom.operators.scale import exact_quantiles, skew_join, value_ranks
+from rentloom.operators.scale import BROADCAST_ROWS, HOT_ROWS, HOT_SHARE, exact_quantiles, skew_join, value_ranks
 from rentloom.session import checkpointed
 
 Z_95 = 1.959964
+FEW_VALUES = 1_000  # values of a column whose ranks are looked up together with those of others
 
 
 def fisher_ci(r: str | Column, n: str | Column) -> tuple[Column, Column]:
@@ -90,22 +91,19 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return out.withColumn("p", correlation_p("r", F.col("n").cast("double")))
 
 
-def _pairwise_ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct combinations with their count ``_w`` and ``_d``, the centred ranks of every column for every partner.
+def _value_ranks_by_partner(base: DataFrame, columns: int) -> DataFrame:
+    """Every value ``_v`` of a column ``_i`` with ``_c``, the rows of ``base`` that hold it, and ``_r``, its centred ranks for all partners.
 
-    ``_d[i][j]`` is the rank of column i among the rows that also have column j,
-    less the mean rank there; null where either is missing. A value is counted
-    once for every partner, so running sums over the values of a column give its
-    ranks for all partners together, whichever columns have gaps.
+    ``_r[j]`` is the rank among the rows that also have column j, less the mean
+    rank there. A value is counted once for every partner, so running sums over
+    the values of a column give its ranks for all partners together, whichever
+    columns have gaps.
     """
-    k = range(len(columns))
-    number = [F.col(f"`{c}`").cast("double") for c in columns]
-    held = F.array(*[F.when(~F.isnan(x), x) for x in number])
-    base = df.select(held.alias("_x")).where(F.size(F.filter("_x", lambda x: x.isNotNull())) >= 2)
-    base = checkpointed(base.groupBy("_x").agg(F.count(F.lit(1)).alias("_w")).withColumn("_id", F.monotonically_increasing_id()))
-    cells = base.select("_id", "_w", "_x", F.posexplode("_x").alias("_i", "_v")).where("_v IS NOT NULL")
-    partners = [F.sum(F.when(F.col("_x")[j].isNotNull(), F.col("_w")).otherwise(0)).alias(f"_n{j}") for j in k]
-    values = cells.groupBy("_i", "_v").agg(*partners)
+    k = range(columns)
+    x = [f"_x{i}" for i in k]
+    cells = base.select("_w", *x, F.posexplode(F.array(*x)).alias("_i", "_v")).where("_v IS NOT NULL")
+    partners = [F.sum(F.when(F.col(x[j]).isNotNull(), F.col("_w")).otherwise(0)).alias(f"_n{j}") for j in k]
+    values = cells.groupBy("_i", "_v").agg(F.count(F.lit(1)).alias("_c"), *partners)
     # Ranges of values are written with their number, so that every later step sees the same ones.
     values = checkpointed(values.repartitionByRange("_i", "_v").withColumn("_range", F.spark_partition_id()))
     sums = values.groupBy("_i", "_range").agg(*[F.sum(f"_n{j}").alias(f"_t{j}") for j in k])
@@ -116,11 +114,49 @@ def _pairwise_ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     upto = Window.partitionBy("_i", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ends = values.withColumns({f"_end{j}": F.sum(f"_n{j}").over(upto) for j in k}).join(F.broadcast(offsets), ["_i", "_range"])
     rank = [F.col(f"_before{j}") + F.col(f"_end{j}") - (F.col(f"_n{j}") - 1) / 2 - (F.col(f"_all{j}") + 1) / 2 for j in k]
-    ranks = ends.select("_i", "_v", F.array(*rank).alias("_r"))
-    ranked = skew_join(cells.select("_id", "_w", "_i", "_v"), ranks, ["_i", "_v"], "inner")
-    rows = ranked.groupBy("_id", "_w").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_r"))).alias("_m"))
-    both = lambda i, j: F.when(F.col("_m")[j].isNotNull(), F.col("_m")[i][j])
-    return rows.select("_w", F.array(*[F.array(*[both(i, j) for j in k]) for i in k]).alias("_d"))
+    return checkpointed(ends.select("_i", "_v", "_c", F.array(*rank).alias("_r")))
+
+
+def _ranks_of_few(out: DataFrame, ranks: DataFrame, few: Sequence[int]) -> DataFrame:
+    """``out`` with the ranks of all columns that have few values, looked up once per combination of them."""
+    out = out.withColumn("_s", F.array(*[f"_x{i}" for i in few]))
+    cells = checkpointed(out.select("_s").distinct()).select("_s", F.posexplode("_s").alias("_at", "_v")).where("_v IS NOT NULL")
+    cells = cells.select("_s", F.array(*map(F.lit, few))[F.col("_at")].alias("_i"), "_v")
+    ranked = skew_join(cells, ranks.where(F.col("_i").isin(*few)).select("_i", "_v", "_r"), ["_i", "_v"], "inner")
+    sets = ranked.groupBy("_s").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_r"))).alias("_m"))
+    lookup = checkpointed(sets.select("_s", *[F.col("_m")[i].alias(f"_r{i}") for i in few]))
+    return skew_join(out, lookup, ["_s"], "left").drop("_s")
+
+
+def _pairwise_ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct combinations with their count ``_w`` and, for every column, ``_r<i>``: its centred ranks for all partners; null in a gap.
+
+    Rows stay whole: columns of few values are looked up together, every other
+    one by a join of its own. Values that many rows hold are broadcast, at most
+    BROADCAST_ROWS of a column; the rows of all others meet their rank in a
+    shuffle join, through which the rest pass without a key, dealt by their hash.
+    """
+    number = [F.col(f"`{c}`").cast("double") for c in columns]
+    x = [f"_x{i}" for i in range(len(columns))]
+    held = df.select(*[F.when(~F.isnan(v), v).alias(name) for v, name in zip(number, x, strict=True)])
+    held = held.where(reduce(lambda a, b: a + b, (F.col(name).isNotNull().cast("int") for name in x)) >= 2)
+    out = base = checkpointed(held.groupBy(*x).agg(F.count(F.lit(1)).alias("_w")))
+    ranks = _value_ranks_by_partner(base, len(columns))
+    sizes = {r["_i"]: (r["values"], r["rows"]) for r in ranks.groupBy("_i").agg(F.count(F.lit(1)).alias("values"), F.sum("_c").alias("rows")).collect()}
+    few = [i for i in range(len(columns)) if sizes.get(i, (0, 0))[0] <= FEW_VALUES]
+    if few:
+        out = _ranks_of_few(out, ranks, few)
+    for i in (i for i in range(len(columns)) if i not in few):
+        values, rows = sizes[i]
+        least = 0 if values <= BROADCAST_ROWS else min(rows // HOT_SHARE, HOT_ROWS)
+        of_column = ranks.where(F.col("_i") == i).select(F.col("_v").alias(x[i]), "_c", F.col("_r").alias(f"_r{i}"))
+        out = out.join(F.broadcast(of_column.where(F.col("_c") > least).drop("_c")), [x[i]], "left")
+        if least:
+            rare = of_column.where(F.col("_c") <= least).select(F.col(x[i]).alias("_key"), F.lit(0).alias("_salt"), F.col(f"_r{i}").alias("_rare"))
+            key = F.when(F.col(f"_r{i}").isNull(), F.col(x[i]))
+            out = out.withColumns({"_key": key, "_salt": F.when(key.isNull(), F.hash(*x)).otherwise(0)}).join(rare, ["_key", "_salt"], "left")
+            out = out.withColumn(f"_r{i}", F.coalesce(f"_r{i}", "_rare")).drop("_key", "_salt", "_rare")
+    return out
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], binary: Sequence[str] = ()) -> DataFrame:
@@ -140,21 +176,24 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], binary: Sequence[s
     direct = [F.corr(number[a], number[b]).alias(f"c_{a}_{b}") for a, b in pairs if is_binary[a, b]]
     present = {(a, b): number[a].isNotNull() & number[b].isNotNull() for a, b in pairs}
     sizes = [F.count(number[c]).alias(f"n_{c}") for c in columns] + [F.count_if(both).alias(f"n_{a}_{b}") for (a, b), both in present.items()]
-    figures = df.agg(*sizes, *direct)
     ranked_columns = sorted({c for p in pairs if not is_binary[p] for c in p}, key=columns.index)
     if ranked_columns:
         at = {c: i for i, c in enumerate(ranked_columns)}
         by_pair = [(a, b) for a, b in pairs if not is_binary[a, b]]
         whole = reduce(lambda x, y: x & y, (number[c].isNotNull() for c in ranked_columns))
-        complete, *each = df.agg(F.count_if(whole), *[F.count_if(present[pair]) for pair in by_pair]).first()
+        figures = checkpointed(df.agg(*sizes, *direct, F.count_if(whole).alias("complete")))
+        complete, *each = figures.select("complete", *[f"`n_{a}_{b}`" for a, b in by_pair]).first()
         if all(rows == complete for rows in each):
             ranked = _centred(_ranked_counts(df, ranked_columns), len(ranked_columns))
             sides = {(a, b): (F.col(f"_d{at[a]}"), F.col(f"_d{at[b]}")) for a, b in by_pair}
         else:
             ranked = _pairwise_ranked(df, ranked_columns)
-            sides = {(a, b): (F.col("_d")[at[a]][at[b]], F.col("_d")[at[b]][at[a]]) for a, b in by_pair}
+            side = lambda a, b: F.when(F.col(f"_r{at[b]}").isNotNull(), F.col(f"_r{at[a]}")[at[b]])
+            sides = {(a, b): (side(a, b), side(b, a)) for a, b in by_pair}
         by_rank = checkpointed(ranked.agg(F.struct(*[_weighted_corr(*both).alias(f"c_{a}_{b}") for (a, b), both in sides.items()]).alias("ranked")))
         figures = figures.select("*", by_rank.scalar().alias("ranked")).select("*", "ranked.*")
+    else:
+        figures = df.agg(*sizes, *direct)
     cells = []
     for a in columns:
         for b in columns:

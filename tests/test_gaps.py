@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from rentloom import schema as S
+from rentloom.operators import stats
 from rentloom.operators.address import fuzzy_lookup, similar_pairs
 from rentloom.operators.aggregates import group_count_column
 from rentloom.operators.joins import reindex_addresses
@@ -89,5 +90,26 @@ def test_many_columns_with_gaps_are_ranked_pair_by_pair(spark):
                 assert abs(r - both[a].rank().corr(both[b].rank())) < 1e-9 and by_pair[b, a].r == r
 
 
+def test_rows_stay_whole_while_their_columns_are_ranked(spark, monkeypatch):
+    """Columns of few, of more and of many values, hot ones among them: equal to ranking each pair alone; no cells are gathered into rows."""
+    for name, value in (("FEW_VALUES", 4), ("BROADCAST_ROWS", 20), ("HOT_SHARE", 5)):
+        monkeypatch.setattr(stats, name, value, raising=False)
+    rng = random.Random(6)
+    sizes = {"few": 3, "more": 15, "many": 200, "none": 0, "two": 2, "most": 90}
+    rows = [tuple(None if not n or rng.random() < 0.2 else 0.0 if rng.random() < 0.4 else float(rng.randint(-n, n) // 2) for n in sizes.values()) for _ in range(400)]
+    rows += rows[:50] + [(None,) * 6, (-0.0, -0.0, float("nan"), None, -0.0, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in sizes))
+    by_pair = {(r.row, r.col): r for r in correlation_matrix(df, list(sizes)).collect()}
+    frame = df.toPandas()
+    for a in sizes:
+        for b in sizes:
+            both = frame[[a, b]].dropna() if a != b else frame[[a]].dropna()
+            assert by_pair[a, b].n == len(both)
+            if a != b and "none" not in (a, b):
+                assert abs(by_pair[a, b].r - both[a].rank().corr(both[b].rank())) < 1e-9
+    plan = stats._pairwise_ranked(df, list(sizes))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "collect_list" not in plan
+
+
 def test_posthoc_label_breaks_its_line(spark):
     assert spark.range(1).select(posthoc_label(F.lit(0.0001))).first()[0] == "P < 0.001\nVERY SIGNIFICANT"
