@@ -27,6 +27,8 @@ FIRST = 2000                # phrases returned per language
 FILTER_BITS = 26            # a filter has 2**26 bits, 8 MB, whatever the corpus
 BUCKET_ROWS = 250_000       # suffixes sorted by one task at a time
 SLICE_BYTES = 8 << 20       # text handled at a time in a task
+HELD_ROWS = 500_000         # different suffixes a task holds before it gives them out
+TASKS_PER_CORE = 2          # of the suffix pass, however many splits the texts have
 _STOP = b"."
 _CUT = bytes(0x2E if b in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
@@ -125,35 +127,86 @@ def _count_hashes(filters: list):
     return run
 
 
-def _suffixes(filters: list):
+def _same_added(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every different row once, with the sum of its counts."""
+    order = np.lexsort(rows.T[::-1])
+    rows, counts = rows[order], counts[order]
+    new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1)) if len(rows) else np.zeros(0, bool)
+    return rows[new], np.add.reduceat(counts, np.flatnonzero(new)) if len(rows) else counts
+
+
+class Held:
+    """Suffixes of the slices a task has read since it last gave them out: equal ones are one row.
+
+    Words and languages are numbered for all these slices; -1 is no word. As
+    every word of a suffix starts one, there are no more words than rows.
+    Rows are added up once there are twice as many as after the last time.
+    """
+
+    def __init__(self) -> None:
+        self.words, self.langs = {}, {}
+        self.rows, self.counts, self.fresh = np.zeros((0, LONGEST + 1), np.int32), np.zeros(0, np.int64), []
+
+    def __len__(self) -> int:
+        return len(self.rows) + sum(len(rows) for rows, _ in self.fresh)
+
+    def add(self, part: Slice, rows: np.ndarray, counts: np.ndarray) -> None:
+        """Rows of a slice: the number of the language, then of each word, ``len(part.words)`` for none."""
+        number = np.full(len(part.words) + 1, -1, np.int32)
+        for code in np.unique(rows[:, 1:]).tolist():
+            if code < len(part.words):
+                number[code] = self.words.setdefault(part.words[code], len(self.words))
+        langs = np.array([self.langs.setdefault(k, len(self.langs)) for k in part.langs], np.int32)
+        self.fresh.append((np.column_stack([langs[rows[:, 0]], number[rows[:, 1:]]]), counts))
+        if len(self) > 2 * len(self.rows):
+            self.merge()
+
+    def merge(self) -> None:
+        self.rows, self.counts = _same_added(*map(np.concatenate, zip((self.rows, self.counts), *self.fresh, strict=True)))
+        self.fresh = []
+
+    def batch(self) -> pa.RecordBatch:
+        self.merge()
+        words, langs = pa.array(list(self.words), pa.binary()), pa.array(list(self.langs), pa.string())
+        columns = (pa.array(self.rows[:, i], mask=self.rows[:, i] < 0) for i in range(1, LONGEST + 1))
+        return pa.RecordBatch.from_arrays([langs.take(pa.array(self.rows[:, 0])), *(words.take(c) for c in columns), pa.array(self.counts)], ["lang", *_WORDS, "c"])
+
+
+def _add_suffixes(held: Held, batch: pa.RecordBatch, known: list[Filter]) -> None:
+    """The suffixes of a slice, and its words per language; none of its arrays outlives the call."""
+    s = Slice(batch)
+    word, pair, triple = (np.append(x, np.zeros(LONGEST, bool)) for x in Frequent(s, known).there)
+    start = np.flatnonzero(word)
+    rows, going = np.full((len(start), LONGEST + 1), len(s.words), np.int32), np.ones(len(start), bool)
+    rows[:, 0], rows[:, 1] = s.lang[start], s.codes[start]
+    for i in range(1, LONGEST):
+        going = going & (pair[start] if i == 1 else triple[start + i - 2])
+        rows[going, i + 1] = s.codes[start[going] + i]
+    rows, counts = _same_added(rows, np.ones(len(rows), np.int64))
+    totals = np.bincount(s.lang[s.codes > 0], minlength=len(s.langs))
+    no_words = np.full((len(totals), LONGEST + 1), len(s.words), np.int32)
+    no_words[:, 0] = np.arange(len(totals))
+    held.add(s, np.concatenate([rows, no_words]), np.append(counts, totals))
+
+
+def _suffixes(filters: list, held_rows: int = HELD_ROWS):
     """Different suffixes of frequent words, each a row of up to LONGEST words, with their counts; without words, all words of a language.
 
-    A suffix ends before the word that makes a pair or a triple rare.
+    A suffix ends before the word that makes a pair or a triple rare. A task
+    gives out its suffixes at its end, or when more than ``held_rows`` are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [f.value for f in filters]
-        for batch in bounded(batches, "_text", SLICE_BYTES):
-            s = Slice(batch)
-            word, pair, triple = (np.append(x, np.zeros(LONGEST, bool)) for x in Frequent(s, known).there)
-            start = np.flatnonzero(word)
-            rows, going = np.full((len(start), LONGEST + 1), len(s.words)), np.ones(len(start), bool)
-            rows[:, 0], rows[:, 1] = s.lang[start], s.codes[start]
-            for i in range(1, LONGEST):
-                going = going & (pair[start] if i == 1 else triple[start + i - 2])
-                rows[going, i + 1] = s.codes[start[going] + i]
-            order = np.lexsort(rows.T[::-1])
-            rows = rows[order]
-            new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1)) if len(rows) else np.zeros(0, bool)
-            counts = np.diff(np.append(np.flatnonzero(new), len(rows)))
-            totals = np.bincount(s.lang[s.codes > 0], minlength=len(s.langs))
-            no_words = np.full((len(totals), LONGEST + 1), len(s.words))
-            no_words[:, 0] = np.arange(len(totals))
-            rows, counts = np.concatenate([rows[new], no_words]), np.append(counts, totals)
-            names = pa.array([*s.words, None], pa.binary())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(s.langs, pa.string()).take(pa.array(rows[:, 0])), *(names.take(pa.array(rows[:, i])) for i in range(1, LONGEST + 1)),
-                pa.array(counts, pa.int64())], ["lang", *_WORDS, "c"])
+        known, held = [f.value for f in filters], Held()
+        for batch in bounded(batches, "_text", SLICE_BYTES // 2):
+            _add_suffixes(held, batch, known)
+            if len(held) > held_rows:
+                held.merge()
+            if len(held) > held_rows:
+                yield held.batch()
+                held = Held()
+        if len(held):
+            yield held.batch()
 
     return run
 
@@ -251,7 +304,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     for _ in ("words", "pairs", "triples"):
         counts = picked.mapInArrow(_count_hashes(list(filters)), "h int, f long").groupBy("h").agg(F.sum("f").alias("f"))
         filters.append(spark.sparkContext.broadcast(Filter.of(counts.where(F.col("f") >= least))))
-    suffixes = picked.mapInArrow(_suffixes(filters), f"lang string, {', '.join(f'{w} binary' for w in _WORDS)}, c long")
+    wide = picked.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    suffixes = wide.mapInArrow(_suffixes(filters), f"lang string, {', '.join(f'{w} binary' for w in _WORDS)}, c long")
     suffixes = stored(suffixes.groupBy("lang", *_WORDS).agg(F.sum("c").alias("c")), "suffixes")
     total = suffixes.where("w1 IS NULL").select("lang", F.col("c").alias("n"))
     words = suffixes.where("w1 IS NOT NULL").groupBy("lang", F.col("w1").alias("phrase")).agg(F.sum("c").alias("f")).where(F.col("f") >= least)

@@ -3,13 +3,16 @@
 import math
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rentloom.llm import collocations as collocation_module
 from rentloom.llm import ranked_search as search_module
-from rentloom.llm.collocations import Filter, collocations, frequent_prefixes
+from rentloom.llm.collocations import Filter, _suffixes, collocations, frequent_prefixes
 from rentloom.llm.compressed_quality import Calibration, Sizes, build_dictionary, classify_quality, fit_quality, quality_scores
 from rentloom.llm.ranked_search import ShardSearcher, build_index, pack, ranked_search, search, terms_of, unpack
 
@@ -174,6 +177,31 @@ def test_collocations_equal_brute_force(spark, docs_of, odd_texts, bucket_rows):
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
+@pytest.mark.parametrize("held_rows", [0, 40, 500_000])
+def test_a_task_gives_out_equal_suffixes_once(monkeypatch, held_rows):
+    """However many slices it reads; when it holds too many, what it has is given out and the sums stay."""
+    monkeypatch.setattr(collocation_module, "SLICE_BYTES", 60)
+    texts = ["a b c d. a b", "b a, c", None, "", "d c b a e f", "a b c d é"] * 30
+    langs = [["en", "de", "und"][i % 7 % 3] for i in range(len(texts))]
+    batch = pa.record_batch([pa.array(langs), pa.array(texts)], ["_lang", "_text"])
+    full = Filter(np.arange(1 << 20), np.full(1 << 20, ~np.uint64(0), np.uint64))
+    run = _suffixes([SimpleNamespace(value=full)] * 3, held_rows) if held_rows < 500_000 else _suffixes([SimpleNamespace(value=full)] * 3)
+    out = [tuple(r.values()) for b in run(iter([batch] * 4)) for r in b.to_pylist()]
+    want = Counter()
+    for text, lang in zip(texts, langs, strict=True):
+        pieces = [p.split() for p in (text or "").replace(",", ".").split(".")]
+        want[(lang, *[None] * 5)] += 4 * sum(map(len, pieces))
+        for words in pieces:
+            for p in range(len(words)):
+                row = [w.encode() for w in words[p:p + 5]]
+                want[(lang, *row, *[None] * (5 - len(row)))] += 4
+    got = Counter()
+    for *row, count in out:
+        got[tuple(row)] += count
+    assert got == want
+    assert len(out) == len(want) if held_rows == 500_000 else len(out) > len(want)
+
+
 def test_collocations_of_nothing(docs_of):
     assert collocations(docs_of([])).collect() == [] == collocations(docs_of([(1, None), (2, "a b")])).collect()
 
