@@ -166,7 +166,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], binary: Sequence[s
     pairs come from two aggregates, one over the rows and one over ranked value
     counts. Every pair uses the rows in which both columns are present, and
     ``n`` is their number. Where gaps differ, each column is ranked for every
-    partner in the same pass; the number of jobs does not grow with the pairs.
+    partner in the same pass; the number of jobs does not grow with the pairs,
+    only with the columns of over FEW_VALUES values.
     A value that is not a number is a gap; a pair without rows has no ``r``.
     """
     columns = list(columns)
