@@ -122,7 +122,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``docs`` has the row key and ``_text``, ``items`` has ``name`` and ``_text``.
     """
     spark = docs.sparkSession
-    windows = stored(items.mapInArrow(_item_windows, "name string, width int, gram long, one long, two long").distinct(), "item_windows")
+    windows = stored(items.mapInArrow(_item_windows, "name string, width int, gram long, one long, two long").distinct(), "item_windows", batch_bytes=SLICE_BYTES)
     # Windows with the same items are told by a hash of the set, so that a document meets each set once and not each window.
     sets = [F.bit_xor(F.xxhash64("name")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "name")).alias("s2")]
     known = stored(windows.groupBy(*_SAME).agg(*sets), "windows")
@@ -130,7 +130,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     listed = spark.sparkContext.broadcast(Filter.of(known.select(F.col("gram").alias("h"))))
     found = docs.select(*_KEY, "_text").where("_text IS NOT NULL").mapInArrow(
         _candidates(listed, widths), "_k1 long, _k2 long, width int, gram long, one long, two long, starts array<int>")
-    matched = stored(skew_join(stored(found, "candidates"), known, _SAME, "inner").drop(*_SAME), "matches")
+    matched = stored(skew_join(stored(found, "candidates", batch_bytes=SLICE_BYTES), known, _SAME, "inner").drop(*_SAME), "matches")
     spans = matched.groupBy(*_KEY).agg(F.collect_set(F.struct("width", "starts")).alias("spans"))
     words = spans.mapInArrow(_count_covered, "_k1 long, _k2 long, n_hit long")
     example = known.groupBy("s1", "s2").agg(F.min(F.struct(*_SAME)).alias("w")).select("s1", "s2", "w.*")
@@ -163,7 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     carried = [f"_c{i}" for i in range(len(names))]      # no clash with inner names
     rows = docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, carried, strict=True)], *row_key(id, text), F.col(f"`{text}`").alias("_text"))
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("name"), F.col(f"`{item_text}`").alias("_text"))
-    found = stored(hits(rows, items), "hits")
+    found = stored(hits(rows, items), "hits", batch_bytes=SLICE_BYTES)
     words = F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words")
     out = skew_join(rows.select(*carried, *_KEY, words), found, _KEY, "left")
     hit = F.coalesce("n_hit", F.lit(0))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rentloom.llm.batches import bounded, row_key, stored, typed
+from rentloom.llm.batches import batches_of, bounded, row_key, stored, typed
 from rentloom.llm.hashing import mix
 
 BUCKETS = 1 << 15          # hashed letter triples of the model: its size has this bound per language
@@ -76,13 +76,14 @@ def fit_letters(docs: DataFrame, text: str = "text", label: str = "lang") -> tup
     names = sorted(r["label"] for r in labels.collect())
     counts = letter_counts(docs, text, label)
     if len(names) > BLOCK:
-        counts = stored(counts, "letters")
+        counts = stored(counts, "letters", batch_bytes=SLICE_BYTES)
 
     def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for start in range(0, len(names), BLOCK):
             part = names[start:start + BLOCK]
             number = {name: i for i, name in enumerate(part)}
-            found = (counts if len(names) <= BLOCK else counts.where(F.col("label").between(part[0], part[-1]))).toPandas()
+            with batches_of(docs.sparkSession, SLICE_BYTES):
+                found = (counts if len(names) <= BLOCK else counts.where(F.col("label").between(part[0], part[-1]))).toPandas()
             table = np.full((BUCKETS, len(part)), 0.5)
             table[found["bucket"].to_numpy(), found["label"].map(number).to_numpy(np.int64)] += found["n"].to_numpy()
             total = table.sum(axis=0)
@@ -123,14 +124,14 @@ def _scored(picked: DataFrame, names: list[str], blocks: Iterator[tuple[np.ndarr
         model = spark.sparkContext.broadcast(block)
         if scored is None:
             schema = f"{typed(picked, '_id')}, _k1 long, _k2 long, declared string, host string, site string, suffix string, {result}"
-            scored = stored(picked.mapInArrow(_scores(start, model), schema), "scores")
+            scored = stored(picked.mapInArrow(_scores(start, model), schema), "scores", batch_bytes=SLICE_BYTES)
             continue
         more = picked.select("_k1", "_k2", "_text").mapInArrow(_scores(start, model), f"_k1 long, _k2 long, {result}").dropDuplicates(["_k1", "_k2"])
         more = more.select("_k1", "_k2", *[F.col(c).alias(f"{c}_2") for c in ("likely", "best", "mean", "seen")])
         better = F.col("mean_2") > F.col("mean")
         scored = stored(scored.join(more, ["_k1", "_k2"]).withColumns({
             "likely": F.concat("likely", "likely_2"), **{c: F.when(better, F.col(f"{c}_2")).otherwise(F.col(c)) for c in ("best", "mean", "seen")},
-        }).select(*scored.columns), "scores")
+        }).select(*scored.columns), "scores", batch_bytes=SLICE_BYTES)
     return scored
 
 

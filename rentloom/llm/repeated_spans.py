@@ -26,6 +26,7 @@ from rentloom.operators.scale import skew_join
 WINDOW = 35        # words of an edge
 GRAM = 8           # words of an anchor
 PLACE_BITS = 16    # a place is the first edge of a path and, in its lower bits, the number of edges
+SLICE_BYTES = 4 << 20  # text that a task gets at a time where paths are made
 _KEY = "_k1 long, _k2 long"
 
 
@@ -118,7 +119,7 @@ def repeated_spans(source: DataFrame, dealt: DataFrame, text: str, window: int =
     texts = source.unionByName(source.where("_twin")).select("_k1", "_k2", "_text").where(F.col("_text").isNotNull())
     paths = texts.mapInArrow(_paths(window), f"{_KEY}, place long, anchor long, whole long")
     same = paths.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("_k1", "_k2", "place")).alias("chosen"))
-    same = stored(same, "contents")
+    same = stored(same, "contents", batch_bytes=SLICE_BYTES)
     # Aggregated sides are keyed by complements, so that they are dealt out anew and hot keys of the other side can be split.
     shared = same.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total")).where("total >= 2")
     shared = shared.select(F.bitwise_not("anchor").alias("_a"), "contents")
@@ -129,7 +130,7 @@ def repeated_spans(source: DataFrame, dealt: DataFrame, text: str, window: int =
     # A path that repeats as a whole needs its edges only as partners, and only once.
     opens = (F.col("contents") >= 2) & (~repeated | (F.col("chosen") == F.xxhash64("_k1", "_k2", "place")))
     judged = judged.select("_k1", "_k2", "place", repeated.alias("repeated"), opens.alias("opens")).where("repeated OR opens")
-    judged = stored(judged, "paths")
+    judged = stored(judged, "paths", batch_bytes=SLICE_BYTES)
     opened = judged.where("opens").groupBy("_k1", "_k2").agg(F.collect_list(F.struct("place", (~F.col("repeated")).alias("wanted"))).alias("opened"))
     edges = dealt.join(opened, ["_k1", "_k2"]).drop(text, "_twin").mapInArrow(_open(window), f"{_KEY}, first int, wanted boolean, one long, two long")
     twice = edges.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.bitwise_not("one").alias("_o"), F.bitwise_not("two").alias("_t"))

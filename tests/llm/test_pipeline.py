@@ -6,6 +6,8 @@ from compare import compare, oracle_connection
 from corpus_pipeline import STAGES
 from pyspark.sql import functions as F
 
+from rentloom.llm import decontaminate, language, repeated_spans, shingle_links
+from rentloom.llm.batches import BATCH_BYTES
 from rentloom.llm.decontaminate import contamination
 from rentloom.llm.queries import QUERIES, SQL
 from rentloom.llm.repeated_spans import remove_repeats
@@ -61,3 +63,42 @@ def test_clashing_columns_come_through_unchanged(spark, sf, docs_of):
     assert rows.columns == [*docs.columns, "__n_words", "__n_removed"] and rows.where("__n_words > 0").count() == 3
     kept = contamination(docs, spark.createDataFrame([(1, "told by the people of the town to all")], "item_id int, text string"), keep=True)
     assert kept.where("__contaminated AND __n_hit = 18 AND __n_items = 1").count() == 3
+
+
+def _small_only(make):
+    """The same function of tasks; it fails on a batch far over the size of a slice."""
+    def made(*args):
+        run = make(*args)
+
+        def look(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 2 * (4 << 20), f"a batch of {batch.nbytes} bytes"
+                    yield batch
+            return run(small())
+        return look
+    return made
+
+
+def test_python_gets_batches_of_few_bytes(spark, monkeypatch):
+    """12 MB of texts in one partition reach Python in slices, and the session is left as it was."""
+    for module, name in ((language, "_scores"), (shingle_links, "_sets"), (shingle_links, "_alike"), (repeated_spans, "_paths"), (decontaminate, "_candidates")):
+        monkeypatch.setattr(module, name, _small_only(getattr(module, name)))
+    words = "concat_ws(' ', transform(sequence(1, 1000), x -> concat('w', (id div 2) * 1100 + x + id % 2)))"
+    docs = spark.range(0, 1600, 1, 1).selectExpr("id doc_id", f"{words} text", "'en' lang", "'src' source")
+    items = docs.where("doc_id = 7").selectExpr("doc_id item_id", "text")
+    assert language.identify(docs).count() == 1600
+    assert shingle_links.similar_documents(docs).where("component_id = doc_id - doc_id % 2").count() == 1600
+    assert remove_repeats(docs).where("_n_removed = 999").count() == 1600
+    assert sorted(r.doc_id for r in contamination(docs, items).where("contaminated").collect()) == [6, 7]
+    assert spark.conf.get(BATCH_BYTES, None) is None
+
+
+def test_a_limit_of_the_session_holds(spark):
+    spark.conf.set(BATCH_BYTES, "1000")
+    try:
+        docs = spark.range(0, 40, 1, 1).selectExpr("id doc_id", "repeat(concat('w', id div 2, ' '), 50) text")
+        assert shingle_links.similar_documents(docs).where("component_id = doc_id - doc_id % 2").count() == 40
+        assert spark.conf.get(BATCH_BYTES) == "1000"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
