@@ -152,6 +152,37 @@ def test_texts_that_share_a_line_are_told_apart_by_their_prefixes(docs_of, monke
     assert read and 10 <= sum(read) <= 20
 
 
+@pytest.mark.parametrize("like, shingle", [(85, 4), (80, 5)])
+def test_no_list_that_grows_with_the_pairs_is_sent(docs_of, monkeypatch, like, shingle):
+    """What is sent to all tasks stays below the bits of a bitmap, however many pairs there are; texts of busy sets go to several places."""
+    monkeypatch.setattr(shingle_links, "MARK_BITS", 1 << 15, raising=False)
+    monkeypatch.setattr(shingle_links, "FOLLOWERS", 7, raising=False)
+    sent, broadcast = [], shingle_links.F.broadcast
+
+    def weighed(df):
+        cells = df.selectExpr(*[f"octet_length(`{c}`) AS c{i}" for i, (c, kind) in enumerate(df.dtypes) if kind == "binary"])
+        sent.append(sum(map(sum, cells.collect())))
+        return broadcast(df)
+    monkeypatch.setattr(shingle_links.F, "broadcast", weighed)
+    rows = families(150, 150, 40)
+    got = similar_documents(docs_of(rows), like=like, shingle=shingle).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i // 150 * 150) for i in range(300)}
+    assert sent and max(sent) <= (1 << 15) // 8
+
+
+def test_marks_lose_no_row(spark, monkeypatch):
+    """Rows whose set is named stay, in a sparse bitmap and in one that is far too small; few others stay in the sparse one."""
+    rows = spark.range(0, 4000, 1, 3).selectExpr("unhex(md5(string(id))) AS set", "id")
+    names = rows.where("id % 4 = 0").select("set")
+    names = names.unionByName(names)
+    for bits in (1 << 26, 1 << 10):
+        monkeypatch.setattr(shingle_links, "MARK_BITS", bits)
+        left = [r.id for r in shingle_links._marked(rows, names, 2000).collect()]
+        assert len(left) == len(set(left)) and set(range(0, 4000, 4)) <= set(left)
+        assert bits == 1 << 10 or len(left) < 1500
+    assert shingle_links._marked(rows, names.limit(0), 0).collect() == []
+
+
 def test_families_that_are_alike_become_one(docs_of):
     rows = families(40, 20, 220)
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in similar_documents(docs_of(rows)).collect()) == brute_components(rows)
